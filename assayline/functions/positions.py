@@ -12,24 +12,18 @@ def running_start(
 
     ``order`` holds uniform 63-bit numbers. The group is cut into ``cells`` equal
     ranges of ``order``; sums per cell are added up in a small table (``cells``
-    rows a group) and only rows of one cell are sorted together.
+    rows a group) and only rows of one cell are sorted together. Columns of ``group``
+    hold no nulls.
     """
     width = (1 << 63) // cells
     keyed = df.withColumn("_cell", F.floor(F.col(order) / F.lit(width)).cast("int"))
     sums = keyed.groupBy(*group, "_cell").agg(F.sum(weight).alias("_sum"))
     before = W.partitionBy(*group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(
-        *[F.col(c).alias(f"_g_{c}") for c in group],
-        F.col("_cell").alias("_c"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"),
-    )
-    same = F.col("_cell") == F.col("_c")
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inside = W.partitionBy(*group, "_cell").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
     return (
         keyed.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(starts, same)
+        .join(starts, [*group, "_cell"])
         .withColumn(out, (F.col("_start") + F.col("_in")).cast("long"))
-        .drop("_cell", "_c", "_start", "_in", *[f"_g_{c}" for c in group])
+        .drop("_cell", "_start", "_in")
     )
