@@ -55,17 +55,28 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most ``max_bytes`` of text and SLICE_ROWS rows; a longer text is a piece alone."""
-    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+def _cuts(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
+    lengths = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
     start, total = 0, 0
     for i, n in enumerate(lengths):
         if i > start and (total + n > max_bytes or i - start >= SLICE_ROWS):
-            yield batch.slice(start, i - start)
+            yield start, i - start
             start, total = i, 0
         total += n
     if len(lengths) > start:
-        yield batch.slice(start)
+        yield start, len(lengths) - start
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``max_bytes`` of text and SLICE_ROWS rows; a longer text is a piece alone."""
+    for start, n in _cuts(batch.column(column), max_bytes):
+        yield batch.slice(start, n)
+
+
+def pieces(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[pa.Array]:
+    """The same for one column."""
+    for start, n in _cuts(column, max_bytes):
+        yield column.slice(start, n)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.scratch import written
 from . import _bytes as B
@@ -73,22 +72,21 @@ def text_counts(raw: np.ndarray, offsets: np.ndarray, window: int = 5) -> list[n
     ]
 
 
-def rule_counts(docs: DataFrame, params: HostRuleParams = HostRuleParams()) -> DataFrame:
-    """``docs``' doc_id and source with COUNTS and ``base_failed``; a null text counts as none."""
+_RULES = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+
+
+def with_rules(docs: DataFrame, params: HostRuleParams = HostRuleParams()) -> DataFrame:
+    """``docs`` with COUNTS and ``base_failed``, which replace columns of these names; a null text counts as none."""
     p = params
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in B.slices(batch):
-                counts = text_counts(*B.utf8(piece.column("text")), p.window)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("source"), *(pa.array(c, pa.int64()) for c in counts)],
-                    ["doc_id", "source", *COUNTS],
-                )
-
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
-    found = slim.mapInArrow(run, "doc_id long, source string, " + ", ".join(f"{c} long" for c in COUNTS))
-    return found.withColumn(
+    def count(texts: pa.Array) -> pa.Array:
+        found = [text_counts(*B.utf8(piece), p.window) for piece in B.pieces(texts)]
+        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(len(COUNTS))]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTS)
+
+    own = [c for c in docs.columns if c not in (*COUNTS, "base_failed", "_rules")]
+    found = docs.select(*own).withColumn("_rules", F.arrow_udf(count, _RULES)(F.col("text")))
+    return found.select(*own, *[F.col("_rules")[c].alias(c) for c in COUNTS]).withColumn(
         "base_failed",
         (F.col("n_words") < p.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * p.repeat_percent),
     )
@@ -128,12 +126,22 @@ def host_rules(docs: DataFrame, params: HostRuleParams = HostRuleParams()) -> Da
     words, so it fails. Null source: a host of its own. Repeated rows are judged
     each. An empty table gives an empty result.
     """
-    judged = written(rule_counts(docs, params), "rules")
-    verdicts = host_verdicts(judged, params)
-    by_host = verdicts.select(F.coalesce("source", F.lit("")).alias("_host"), F.col("source").isNull().alias("_none"), "rate", "host_ok")
+    slim = docs.select("doc_id", "text", "source")
+    judged = written(with_rules(slim, params).drop("text"), "rules")
+    return with_verdicts(judged, host_verdicts(judged, params)).select(
+        "doc_id", *COUNTS, "base_failed", F.col("_rate").alias("host_rate"), "kept"
+    )
+
+
+def with_verdicts(judged: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``judged`` with its host's ``_rate``, and ``kept``: neither the document nor its host fails."""
+    by_host = verdicts.select(
+        F.coalesce("source", F.lit("")).alias("_host"), F.col("source").isNull().alias("_none"), F.col("rate").alias("_rate"), "host_ok"
+    )
     return (
         judged.withColumn("_host", F.coalesce("source", F.lit("")))
         .withColumn("_none", F.col("source").isNull())
         .join(by_host, ["_host", "_none"], "left")
-        .select("doc_id", *COUNTS, "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
+        .withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
+        .drop("_host", "_none", "host_ok")
     )

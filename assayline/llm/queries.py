@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .host_rules import host_rules
+from .mixing import mix_plan
 from .near_dup import near_duplicates
+from .packing import pack
 from .toxicity import toxicity
 
 
@@ -17,6 +19,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -25,10 +31,18 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = F.col("size") * F.size("copies")
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("copies.shard").alias("shards"))
+
+
 QUERIES = {
     "op5_toxicity": op5_toxicity,
+    "op7_best_fit": op7_best_fit,
     "op8_near_dup": op8_near_dup,
     "op9_host_rules": op9_host_rules,
+    "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {}
