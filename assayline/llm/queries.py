@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .fingerprints import fingerprints
 from .host_rules import host_rules
 from .mixing import mix_plan
 from .near_dup import near_duplicates
 from .packing import pack
+from .sharding import shuffle_into_shards
 from .toxicity import toxicity
 
 
@@ -15,6 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+    )
+    return shuffle_into_shards(digest, stable=True).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -38,6 +55,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_sharding": op3_sharding,
+    "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op7_best_fit": op7_best_fit,
     "op8_near_dup": op8_near_dup,
