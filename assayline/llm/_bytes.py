@@ -67,13 +67,13 @@ def _cuts(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths) - start
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most ``max_bytes`` of text and SLICE_ROWS rows; a longer text is a piece alone."""
     for start, n in _cuts(batch.column(column), max_bytes):
         yield batch.slice(start, n)
 
 
-def pieces(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[pa.Array]:
+def pieces(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[pa.Array]:
     """The same for one column."""
     for start, n in _cuts(column, max_bytes):
         yield column.slice(start, n)
