@@ -10,6 +10,7 @@ from .mixing import mix_plan
 from .near_dup import near_duplicates
 from .packing import pack
 from .sharding import shuffle_into_shards
+from .token_output import TokenParams, ids_round_trip
 from .toxicity import toxicity
 
 
@@ -17,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    params = TokenParams(tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+    return ids_round_trip(_table(spark, sf_dir, "documents"), params)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = _table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -55,6 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
