@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .fingerprints import fingerprints
 from .host_rules import host_rules
+from .licenses import scan_licenses
 from .mixing import mix_plan
 from .near_dup import near_duplicates
 from .packing import pack
@@ -25,6 +26,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_round_trip(_table(spark, sf_dir, "documents"), params)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = _table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -64,6 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_licenses": op2_licenses,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
