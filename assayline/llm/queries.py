@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chat_format import repair_chats
 from .fingerprints import fingerprints
 from .host_rules import host_rules
 from .licenses import scan_licenses
@@ -49,6 +50,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
+    "op6_chat_format": op6_chat_format,
     "op7_best_fit": op7_best_fit,
     "op8_near_dup": op8_near_dup,
     "op9_host_rules": op9_host_rules,
