@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.ranks import rounded
+from . import sql
 from .chat_format import repair_chats
 from .fingerprints import fingerprints
 from .host_rules import host_rules
@@ -63,7 +65,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules(_table(spark, sf_dir, "documents"))
+    return host_rules(_table(spark, sf_dir, "documents")).withColumn("host_rate", rounded("host_rate"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +87,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op2_licenses": sql.licenses(), "op8_near_dup": sql.near_dup(), "op9_host_rules": sql.host_rules()}
