@@ -11,7 +11,7 @@ from . import count_queries as CQ, demo_views as V, ranking_queries as RQ
 
 # Contrasts, screens, designs and samples over parts, suppliers and customers.
 _CONTRAST = [
-    "concat('S', p_partkey % 40) as screen_id", "concat('C', p_partkey) as contrast_id",
+    "concat('S', p_partkey % 10) as screen_id", "concat('C', p_partkey) as contrast_id",
     "case p_partkey % 4 when 0 then 'vehicle' when 1 then 'untreated' when 2 then 'sorted_population' end as control_type",
     "case when p_partkey % 3 = 0 then 0.0 when p_partkey % 3 = 1 then cast(p_size as double) end as recovery_days",
     "case when p_partkey % 5 = 0 then cast(p_size as double) end as treatment_dose",
@@ -25,7 +25,7 @@ _DESIGN = [
     "case s_suppkey % 2 when 0 then 'positive_selection' else 'unknown' end as selection_strategy", "'independent_infection' as replicate_unit",
 ]
 _SAMPLE = [
-    "concat('S', (c_custkey % 2000) % 40) as screen_id", "concat('C', c_custkey % 2000) as contrast_id",
+    "concat('S', (c_custkey % 2000) % 10) as screen_id", "concat('C', c_custkey % 2000) as contrast_id",
     "case c_custkey % 3 when 0 then 'control' when 1 then 'treatment' else 'baseline' end as condition_role",
     "case when c_custkey % 5 = 0 then ' ' else concat('I', c_custkey % 2) end as infection_replicate_id",
     "case when c_custkey % 4 <> 0 then concat('P', c_custkey % 3) end as pair_id", "case when c_custkey % 6 = 0 then '3' when c_custkey % 6 = 1 then 'x' end as timepoint_days",

@@ -1 +1 @@
-
+"""Nothing here yet: the tables this library works on are batches, and so are its jobs."""
