@@ -17,9 +17,9 @@ _CONTRAST = [
     "case when p_partkey % 5 = 0 then cast(p_size as double) end as treatment_dose",
     "case p_partkey % 3 when 0 then 'yes' when 1 then 'No' end as vehicle_control_present",
 ]
-_SCREEN = ["concat('S', s_suppkey - 1) as screen_id", "concat('N', s_nationkey) as study_id", "concat('F', s_nationkey % 7) as source_family_id", "'from screen' as control_type"]
+_SCREEN = ["concat('S', s_suppkey) as screen_id", "concat('N', s_nationkey) as study_id", "concat('F', s_nationkey % 7) as source_family_id", "'from screen' as control_type"]
 _DESIGN = [
-    "concat('S', s_suppkey - 1) as screen_id", "case when s_suppkey % 2 = 0 then 0.3 end as library_moi",
+    "concat('S', s_suppkey) as screen_id", "case when s_suppkey % 2 = 0 then 0.3 end as library_moi",
     "case when s_suppkey % 3 = 0 then 500.0 end as coverage_transduction", "case when s_suppkey % 4 = 0 then 200.0 end as coverage_selection",
     "case s_suppkey % 3 when 0 then 'genome_wide' when 1 then 'targeted' end as screen_scale",
     "case s_suppkey % 2 when 0 then 'positive_selection' else 'unknown' end as selection_strategy", "'independent_infection' as replicate_unit",
