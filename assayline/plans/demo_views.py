@@ -50,7 +50,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 25 = 0").selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "concat('SC', user_id % 4) as screen_id",
         "concat('C', user_id % 2) as contrast_id",
         "case event_id % 2 when 0 then 'resistance' else 'sensitization' end as phenotype_direction",

@@ -97,11 +97,17 @@ _META = {
 }
 
 
+def score_meta(spark, sf_dir):
+    """A row for each supplier; what every tenth doesn't report is null."""
+    values = [e if n == "SCREEN ID" else f"case when s_suppkey % 10 <> 0 then {e} end" for n, e in _META.items()]
+    return table(spark, sf_dir, "supplier").selectExpr(*values).toDF(*_META)
+
+
 def _parsed(spark, sf_dir):
     from ..sources.delimited import normalize_table
 
     raw = table(spark, sf_dir, "lineitem").selectExpr(*_SCORES.values()).toDF(*_SCORES)
-    meta = normalize_table(table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").selectExpr(*_META.values()).toDF(*_META))[0]
+    meta = normalize_table(score_meta(spark, sf_dir))[0]
     return X.parse_scores(raw, release=_RELEASE, index=meta)
 
 
