@@ -212,9 +212,10 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     shingle is placed by the first, and coordinate k is its least image under the
     second shifted circularly by k. Representatives that share a band are
     candidates. First each is verified, on full sets, with the least member and
-    with one drawn member of its buckets; then buckets that still hold several
-    components are searched, in blocks of bounded size, for links between them, so
-    that no link is lost and no large group is written out pair by pair.
+    with one drawn member of its buckets, and buckets of two with their pair; then
+    larger buckets that still hold several components are searched, in blocks of
+    bounded size, for links between them, so that no link is lost and no large group
+    is written out pair by pair.
 
     Null or blank text: no shingles, linked with nothing. Null doc_id: never
     linked, kept. Rows that repeat a doc_id are each judged by their own text.
@@ -238,17 +239,21 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     mask = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
     buckets = (
         banded.groupBy("key")
-        .agg(F.count("*").alias("members"), F.min("rep").alias("least"), F.min(F.col("rep").bitwiseXOR(mask)).alias("drawn"))
+        .agg(F.count("*").alias("members"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.min(F.col("rep").bitwiseXOR(mask)).alias("drawn"))
         .where("members > 1")
         .withColumn("drawn", F.col("drawn").bitwiseXOR(mask))
     )
-    members = written(banded.join(buckets, "key"), "members")
+    buckets = written(buckets, "buckets")
+    # Stars are drawn per member, not per bucket, so a bucket of two gives its pair itself.
+    twos = buckets.where("members = 2 and least < most").select(F.col("least").alias("a"), F.col("most").alias("b"))
+    members = written(banded.join(buckets.drop("most"), "key"), "members")
 
     hubs = members.groupBy("rep").agg(F.min("least").alias("least"), F.min(F.struct(F.xxhash64("drawn"), "drawn")).alias("other"))
     stars = (
         hubs.select("rep", F.explode(F.array("least", "other.drawn")).alias("hub"))
         .where("rep <> hub")
         .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+        .union(twos)
         .distinct()
     )
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -257,7 +262,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     links = written(_verified(_promising(stars, reps, p), sets, p), "links")
     first = connected_components(links)
 
-    # A bucket of two was settled by its star; equal buckets of several bands count once.
+    # A bucket of two was settled by its pair; equal buckets of several bands count once.
     standing = members.where("members > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     standing = standing.select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
     open_keys = (

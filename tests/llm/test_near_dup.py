@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from assayline.llm.near_dup import NearDupParams, near_duplicates
 
 
@@ -62,3 +64,26 @@ def test_nulls_ties_and_extra_columns(spark):
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(5, 5, True), (7, 5, False), (7, 5, False), (9, 9, True), (None, None, True)], key=str)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_pairs_whose_stars_point_elsewhere(spark):
+    """Pairs (a, b) that only buckets of two hold, where b shares single bands with unrelated lower ids."""
+    rng = random.Random(8)
+
+    def some(n):
+        return [f"v{rng.randrange(100000)}" for _ in range(n)]
+
+    ids = [r[0] for r in spark.range(100, 4000).orderBy(F.xxhash64("id")).collect()]
+    docs, free = [], iter(range(0, 3900, 3))
+    for k in free:
+        if len(docs) >= 600:
+            break
+        c, a, b = ids[k : k + 3]
+        if not c < a < b:
+            continue
+        body, passage = some(140), some(26)
+        docs += [(c, " ".join(passage + some(8))), (a, " ".join(body)), (b, " ".join(body + passage))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = _brute(docs)
+    assert sum(component != i for i, (_, component) in want.items()) == len(docs) // 3
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df).collect()} == want
