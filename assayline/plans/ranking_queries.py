@@ -73,7 +73,7 @@ def w03_top_k_rows(spark, sf_dir):
 
 
 def g12_cluster_bootstrap(spark, sf_dir):
-    return G.cluster_bootstrap(V.scored(spark, sf_dir), "study_id", _QUERY, n_bootstrap=200, tie=_TIE)
+    return G.cluster_bootstrap(V.scored(spark, sf_dir), "study_id", _QUERY, tie=_TIE)
 
 
 QUERIES = {

@@ -43,3 +43,10 @@ def test_bootstrap(spark):
         G.cluster_bootstrap(_frame(spark, [r[:5] + (1.0,) + r[6:] for r in rows]), "study_id", Q)
     with pytest.raises(ValueError, match="two studies"):
         G.cluster_bootstrap(_frame(spark, rows[:6]), "study_id", Q)
+
+
+def test_registered_bootstrap_has_all_draws(spark):
+    from assayline.plans.ranking_queries import g12_cluster_bootstrap
+
+    out = {r["metric"]: r for r in g12_cluster_bootstrap(spark, "/root/testdata/sf0.001").collect()}
+    assert out["_requested_draws"]["effective_draws"] == out["_valid_draws"]["effective_draws"] == 1000
