@@ -4,26 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .names import free_names
+
 
 def running_start(
-    df: DataFrame, group: list[str], order: str, ties: list[str | Column], weight: str, out: str, cells: int = 256
+    df: DataFrame, group: list[str], order: str, ties: list[str | Column], weight: str | Column, out: str, cells: int = 256
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over rows that stand before this one in its group.
 
     ``order`` holds uniform 63-bit numbers. The group is cut into ``cells`` equal
     ranges of ``order``; sums per cell are added up in a small table (``cells``
     rows a group) and only rows of one cell are sorted together. Columns of ``group``
-    hold no nulls.
+    hold no nulls. Inner columns take names that ``df`` doesn't have.
     """
+    cell, start, inner, total = free_names(df, "_cell", "_start", "_in", "_sum")
     width = (1 << 63) // cells
-    keyed = df.withColumn("_cell", F.floor(F.col(order) / F.lit(width)).cast("int"))
-    sums = keyed.groupBy(*group, "_cell").agg(F.sum(weight).alias("_sum"))
-    before = W.partitionBy(*group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = W.partitionBy(*group, "_cell").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
+    keyed = df.withColumn(cell, F.floor(F.col(order) / F.lit(width)).cast("int"))
+    sums = keyed.groupBy(*group, cell).agg(F.sum(weight).alias(total))
+    before = W.partitionBy(*group).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.withColumn(start, F.coalesce(F.sum(total).over(before), F.lit(0))).drop(total)
+    inside = W.partitionBy(*group, cell).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
     return (
-        keyed.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(starts, [*group, "_cell"])
-        .withColumn(out, (F.col("_start") + F.col("_in")).cast("long"))
-        .drop("_cell", "_start", "_in")
+        keyed.withColumn(inner, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .join(starts, [*group, cell])
+        .withColumn(out, (F.col(start) + F.col(inner)).cast("long"))
+        .drop(cell, start, inner)
     )
+
+
+def sorted_cells(df: DataFrame, group: list[str], value: str, cell: str, cells: int = 64) -> DataFrame:
+    """``df`` with ``cell``: a range of ``value`` in its group, ascending, so that no task sorts a large group whole.
+
+    Ranges end at the group's approximate quantiles; equal values share a cell, nulls
+    are in cell 0. Columns of ``group`` may be null.
+    """
+    if group:
+        marks, given = free_names(df, "_marks", "_given")
+        steps = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"{given}{i}") for i, c in enumerate(group)]
+        keys += [F.col(c).isNull().alias(f"{given}n{i}") for i, c in enumerate(group)]
+        names = [f"{given}{i}" for i in range(len(group))] + [f"{given}n{i}" for i in range(len(group))]
+        edges = df.select(*keys, F.col(value)).groupBy(*names).agg(F.percentile_approx(value, steps, F.lit(1000)).alias(marks))
+        keyed = df.select("*", *keys).join(edges, names)
+        edge = F.col(marks)
+        out = keyed.withColumn(cell, F.coalesce(F.size(F.filter(edge, lambda m: m < F.col(value))), F.lit(0)))
+        return out.drop(marks, *names)
+    found = df.approxQuantile(value, [i / cells for i in range(1, cells)], 0.005)
+    edge = F.array(*[F.lit(float(x)) for x in sorted(set(found))]).cast("array<double>")
+    return df.withColumn(cell, F.coalesce(F.size(F.filter(edge, lambda m: m < F.col(value))), F.lit(0)))
