@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.names import free_names
 from ..functions.positions import running_start
 from ..functions.scratch import written
 
@@ -41,72 +42,86 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
     return int(max(lo, mode - reach) + rng.choice(len(p), p=p / p.sum()))
 
 
-def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
-    """Partitions by shards: how many rows each partition sends to each shard.
+def _shares(rng: np.random.Generator, room: list[int], n: int) -> list[int]:
+    """How many of ``n`` rows go to each shard with that much room: one multivariate hypergeometric draw."""
+    if sum(room) < 10**9:
+        return rng.multivariate_hypergeometric(room, n, method="marginals").tolist()
+    out, left = [], sum(room)
+    for free in room:
+        left -= free
+        out.append(hypergeometric(rng, free, left, n))
+        n -= out[-1]
+    return out
+
+
+def matrix_rows(rows: dict[int, int], shards: int, seed: int) -> Iterator[tuple[int, list[int]]]:
+    """``(partition, rows sent to each shard)``, one partition after the other.
 
     Shard sizes differ by one at most. A partition's row is drawn from the room
     that is left in the shards, which makes the whole matrix that of a uniform
     permutation.
     """
-    total = sum(rows)
+    total = sum(rows.values())
     room = [total * (s + 1) // shards - total * s // shards for s in range(shards)]
     rng = np.random.default_rng(seed)
-    out = np.zeros((len(rows), shards), np.int64)
-    for p, n in enumerate(rows):
-        left = sum(room)
-        for s in range(shards):
-            left -= room[s]
-            out[p, s] = hypergeometric(rng, room[s], left, n)
-            n -= int(out[p, s])
-            room[s] -= int(out[p, s])
-    return out
+    for p, n in sorted(rows.items()):
+        sent = _shares(rng, room, n)
+        room = [free - x for free, x in zip(room, sent, strict=True)]
+        yield p, sent
 
 
 def shuffle_into_shards(df: DataFrame, params: ShardParams = ShardParams(), stable: bool = False) -> DataFrame:
     """``df`` with ``shard`` and ``slot``, gapless from 0 in each shard: a uniform permutation.
 
     First job: rows per partition. The matrix (partitions by shards) is drawn on the
-    driver. Second job: each partition deals its rows to shards in a random order
-    of exactly its matrix row, which is its local permutation; rows are exchanged,
-    and each shard orders what it got by a second random number. The shard's order
-    is found in cells, so that a shard may be larger than a task.
+    driver and written as a table, of which each task reads its own row. Second
+    job: each partition deals its rows to shards in a random order of exactly its
+    matrix row, which is its local permutation; whole rows are exchanged, and each
+    shard orders what it got by a second random number. The shard's order is found in
+    cells, so that a shard may be larger than a task.
 
     Partitions must hold the same rows in both jobs. Set ``stable`` if ``df`` is a
     plain scan of files; anything else is written to the shared folder first. A
-    partition that changed stops the job. Null values, ties and repeated rows don't
-    matter, as rows are told apart by their place; columns named shard or slot are
-    replaced. An empty table gives an empty result.
+    partition that changed stops the job. Null values, ties, repeated rows and very
+    long texts don't matter, as rows are told apart by their place; columns named
+    shard or slot are replaced, all others stay, whatever their names. An empty
+    table gives an empty result.
     """
     p = params
-    kept = [c for c in df.columns if c not in ("shard", "slot")]
-    df = df.select(*kept)
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    df = df.select(*[F.col(f"`{c}`") for c in kept])
     df = df if stable else written(df, "to-shuffle")
+    spark = df.sparkSession
     found = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
-    counts = [0] * (1 + max((r["p"] for r in found), default=-1))
-    for r in found:
-        counts[r["p"]] = r["n"]
-    matrix = communication_matrix(counts, p.shards, p.seed)
-    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_r", T.LongType())])
+    counts = {r["p"]: r["n"] for r in found}
+    # A row a partition, found by its number in a file: tasks don't carry the others' rows.
+    matrix = written(spark.createDataFrame(list(matrix_rows(counts, p.shards, p.seed)), "part int, sent array<long>"), "matrix")
+    part, sent, second = free_names(df, "_part", "_sent", "_second")
+    own = df.withColumn(part, F.spark_partition_id())
+    # The matrix has a row for each partition of one scan, far below the driver's list of files.
+    dealt = own.join(F.broadcast(matrix.toDF(part, sent)), part)
+    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField(second, T.LongType())])
+    width = len(kept)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        row = matrix[part] if part < len(matrix) else np.zeros(p.shards, np.int64)
-        rng = np.random.default_rng([p.seed, part])
-        to = rng.permutation(np.repeat(np.arange(p.shards, dtype=np.int32), row))
-        at = 0
+        to, rng, at, mine = None, None, 0, None
         for batch in batches:
             n = len(batch)
+            if not n:
+                continue
+            if to is None:
+                mine = batch.column(width)[0].as_py()
+                rng = np.random.default_rng([p.seed, mine])
+                row = np.asarray(batch.column(width + 1)[0].values)
+                to = rng.permutation(np.repeat(np.arange(p.shards, dtype=np.int32), row))
             if at + n > len(to):
                 raise RuntimeError("a partition holds more rows than it did when rows were counted")
-            second = rng.integers(0, 1 << 63, n, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(to[at : at + n]), pa.array(second)], [*batch.schema.names, "shard", "_r"]
+                [*batch.columns[:width], pa.array(to[at : at + n]), pa.array(rng.integers(0, 1 << 63, n, dtype=np.int64))], [*schema.names]
             )
             at += n
-        if at != len(to):
+        if to is not None and at != len(to):
             raise RuntimeError("a partition holds fewer rows than it did when rows were counted")
 
-    dealt = df.mapInArrow(deal, schema).withColumn("_one", F.lit(1))
-    return running_start(dealt, ["shard"], "_r", [], "_one", "slot", p.cells).select(*kept, "shard", "slot")
+    moved = dealt.select(*[F.col(f"`{c}`") for c in kept], part, sent).mapInArrow(deal, schema)
+    return running_start(moved, ["shard"], second, [], F.lit(1), "slot", p.cells).select(*[F.col(f"`{c}`") for c in kept], "shard", "slot")
