@@ -7,10 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.names import free_names
+
 
 @dataclass(frozen=True)
 class FingerprintParams:
-    """A shingle's hash is kept if it is among the lowest 1 / ``scale`` of all hashes."""
+    """A shingle's hash is kept if it is among the lowest 1 / ``scale`` of all hashes.
+
+    ``cell_rows``: about how many rows, next to each other by doc_id, meet in one window task.
+    """
 
     shingle_words: int = 5
     scale: int = 8
@@ -77,36 +82,69 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
+def _rank(value: Column, edges: list[int], width: int = 256) -> Column:
+    """How many of the sorted ``edges`` are below ``value``: first of every ``width``-th edge, then of those between."""
+    groups = [edges[i : i + width] for i in range(0, len(edges), width)]
+    if not groups:
+        return F.lit(0).cast("long")
+    array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    below = let(
+        F.size(F.filter(array([g[0] for g in groups]), lambda e: e < value)),
+        lambda k: F.when(k == 0, 0).otherwise((k - 1) * width + F.size(F.filter(F.get(F.array(*[array(g) for g in groups]), k - 1), lambda e: e < value))),
+    )
+    return below.cast("long")
+
+
 def with_next(docs: DataFrame, columns: list[str], params: FingerprintParams = FingerprintParams()) -> DataFrame:
     """``docs`` with ``next_<c>`` of the row that follows in descending doc_id, and the first after the last.
 
-    Ids are cut into at most ``max_cells`` equal ranges. Each cell's rows meet in a
-    window; the highest row of a cell is also sent to the next cell above that has
-    rows, whose lowest row it follows. Null ids come last, ties by text.
+    Rows are ordered by doc_id, a hash of the text and the text, and cut into cells of about
+    as many rows each: at quantiles of the ids, and an id that has very many
+    rows (or null, which comes last) is cut by ranges of the hash. So neither sparse ids nor repeated ones fill a cell,
+    but for rows that agree in id and text. Each cell's rows meet in a window; the
+    highest row of a cell is also sent to the next cell above that has rows, whose
+    lowest row it follows. Ids are compared, not calculated with, so any will do;
+    columns of ``docs`` keep their names and values.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    cells = max(1, min(params.max_cells, ends["n"] // params.cell_rows))
-    lo = ends["lo"] or 0
-    width = max(1, -(-((ends["hi"] or 0) - lo + 1) // cells))
-    cell = F.coalesce(F.expr(f"(doc_id - {lo}L) div {width}L"), F.lit(-1).cast("long"))
-    placed = docs.withColumn("_key", key).withColumn("_cell", cell).withColumn("_tie", F.xxhash64("text"))
-    tops = placed.groupBy("_cell").agg(F.max("_key").alias("_top"))
-    # At most max_cells + 1 rows of three numbers.
-    around = tops.select(
-        "_cell",
-        "_top",
-        F.coalesce(F.lead("_cell").over(W.orderBy("_cell")), F.min("_cell").over(W.orderBy("_cell"))).alias("_to"),
+    cell, tie, guest, top, to, heavy, slot = free_names(docs, "_cell", "_tie", "_guest", "_top", "_to", "_heavy", "_slot")
+    known = F.col("doc_id").isNotNull()
+    n = docs.select(F.lit(1)).count()
+    cells = max(1, min(params.max_cells, n // params.cell_rows))
+    edges: list[int] = []
+    if cells > 1:
+        found = docs.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 8 * cells).alias("e")).first()["e"]
+        edges = sorted(set(found or []))
+    placed = docs.withColumn(tie, F.xxhash64("text")).withColumn(cell, F.when(known, _rank(F.col("doc_id"), edges)).otherwise(F.lit(-1)))
+    most = 4 * max(params.cell_rows, n // cells)
+    full = placed.groupBy(cell).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    # Ids with that many rows: at most a quarter as many as there are cells, so all of this is fit to be sent out.
+    many = placed.join(F.broadcast(full.select(cell)), cell, "left_semi").groupBy(cell, "doc_id").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    split = many.groupBy(cell).agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.ceil(F.col("n") * 4 / most).alias("parts"))).alias(heavy))
+    placed = placed.join(F.broadcast(split), cell, "left")
+    # Below an id with many rows, at it, above it: three cells in order.
+    under = F.size(F.filter(heavy, lambda x: x["id"] < F.col("doc_id")))
+    parts = F.get(F.filter(heavy, lambda x: x["id"].eqNullSafe(F.col("doc_id"))), F.lit(0))["parts"]
+    at = F.floor((F.col(tie) / F.lit(2.0**64) + 0.5) * parts)
+    none = F.lit(0).cast("long")
+    own = F.struct(
+        F.col(cell).cast("long").alias("rank"),
+        F.when(F.col(heavy).isNull(), none).otherwise(2 * under + parts.isNotNull().cast("int")).cast("long").alias("step"),
+        F.coalesce(at, none).cast("long").alias("part"),
     )
-    marked = placed.join(F.broadcast(around), "_cell")
-    copies = F.when(
-        F.col("_key") == F.col("_top"), F.array(F.struct(F.col("_cell").alias("c"), F.lit(False).alias("g")), F.struct(F.col("_to").alias("c"), F.lit(True).alias("g")))
-    ).otherwise(F.array(F.struct(F.col("_cell").alias("c"), F.lit(False).alias("g"))))
-    sent = marked.withColumn("_p", F.explode(copies)).withColumn("_cell", F.col("_p.c")).withColumn("_guest", F.col("_p.g"))
-    # A guest stands after the cell's own rows; of guests with one id only the first is looked at.
-    order = W.partitionBy("_cell").orderBy(F.col("_guest"), F.col("_key").desc(), "_tie")
-    found = sent.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return found.where("not _guest").drop("_key", "_cell", "_tie", "_top", "_to", "_p", "_guest")
+    keyed = placed.withColumn(cell, own).withColumn(slot, F.struct(known.alias("known"), F.col("doc_id").alias("id"), F.col(tie).alias("tie")))
+    order = W.orderBy(cell)
+    tops = keyed.groupBy(cell).agg(F.max(slot).alias(top))
+    around = tops.select(cell, top, F.coalesce(F.lead(cell).over(order), F.first(cell).over(order)).alias(to))
+    # A few rows of numbers for each cell.
+    marked = keyed.join(F.broadcast(around), cell)
+    stays = F.struct(F.col(cell).alias("c"), F.lit(False).alias("g"))
+    goes = F.struct(F.col(to).alias("c"), F.lit(True).alias("g"))
+    copies = F.when(F.col(slot).eqNullSafe(F.col(top)), F.array(stays, goes)).otherwise(F.array(stays))
+    spread = marked.drop(heavy).withColumn(heavy, F.explode(copies)).withColumn(cell, F.col(f"{heavy}.c")).withColumn(guest, F.col(f"{heavy}.g"))
+    # A guest stands after the cell's own rows; of guests that tie the first in the same order is looked at.
+    down = W.partitionBy(cell).orderBy(F.col(guest), F.col(slot).desc(), F.col("text").desc())
+    with_lead = spread.select("*", *[F.lead(c).over(down).alias(f"next_{c}") for c in columns])
+    return with_lead.where(~F.col(guest)).drop(cell, tie, guest, top, to, heavy, slot)
 
 
 def half_edited(text: Column, following: Column) -> Column:
