@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.graph import connected_components
+from ..functions.names import free_names
 from ..functions.scratch import written
 from . import _bytes as B
 
@@ -150,6 +151,53 @@ def _shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return total[ends] - total[ends - [len(o) for o in others]]
 
 
+def _pairs_ahead(group: pd.DataFrame, p: NearDupParams):
+    """Yields each row of the first block, as a tuple, and which rows of the second may be linked with it by size and sketch.
+
+    Members of the bucket's largest component are never asked about each other. ``answer`` of the
+    yield joins components for the rest of the call.
+    """
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    left = group[group["own"] == i]
+    right = group[group["own"] == j].reset_index(drop=True)
+    sketches = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), -1)
+    ids, sizes, roots = right["rep"].to_numpy(), right["n_shingles"].to_numpy(), right["component"].to_numpy().copy()
+    floor = p.sketch_floor * (255 / 256) + 1 / 256
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    for k, (rep, comp, size, sketch) in enumerate(zip(left["rep"], left["component"], left["n_shingles"], left["sketch"], strict=True)):
+        mine = root(comp)
+        open_ = (roots != mine) & (np.minimum(sizes, size) * 100 >= np.maximum(sizes, size) * p.percent)
+        if i == j:
+            open_ &= ids > rep
+        at = np.flatnonzero(open_)
+        if not len(at):
+            continue
+        alike = (sketches[at] == np.frombuffer(sketch, np.uint8)).mean(axis=1)
+        order = np.argsort(-alike, kind="stable")
+        yield k, rep, size, mine, at[order][alike[order] >= floor], ids, sizes, roots, joined
+
+
+def _survivors(p: NearDupParams):
+    """Of one bucket's members in two blocks, those that size and sketch leave a partner of another component."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        keep: set[int] = set()
+        for _, rep, _, _, at, ids, *_ in _pairs_ahead(group, p):
+            if len(at):
+                keep.add(int(rep))
+                keep.update(ids[at].tolist())
+        found = group[group["rep"].isin(keep)]
+        return found[["key", "i", "j", "rep", "component", "n_shingles", "own"]]
+
+    return run
+
+
 def _across(p: NearDupParams):
     """Verified links that join different components, within one bucket's members of two blocks.
 
@@ -158,32 +206,10 @@ def _across(p: NearDupParams):
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        left = group[group["own"] == i]
-        right = group[group["own"] == j].reset_index(drop=True)
-        sketches = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), -1)
-        ids, sizes = right["rep"].to_numpy(), right["n_shingles"].to_numpy()
-        roots = right["component"].to_numpy().copy()
-        sets = right["shingles"].tolist()
-        joined: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while c in joined:
-                c = joined[c]
-            return c
-
-        floor = p.sketch_floor * (255 / 256) + 1 / 256
+        mine_sets = group[group["own"] == i]["shingles"].tolist()
+        sets = group[group["own"] == j]["shingles"].tolist()
         out: list[tuple[int, int]] = []
-        for rep, comp, size, sketch, own in zip(left["rep"], left["component"], left["n_shingles"], left["sketch"], left["shingles"], strict=True):
-            mine = root(comp)
-            open_ = (roots != mine) & (np.minimum(sizes, size) * 100 >= np.maximum(sizes, size) * p.percent)
-            if i == j:
-                open_ &= ids > rep
-            at = np.flatnonzero(open_)
-            if not len(at):
-                continue
-            alike = (sketches[at] == np.frombuffer(sketch, np.uint8)).mean(axis=1)
-            order = np.argsort(-alike, kind="stable")
-            at = at[order][alike[order] >= floor]
+        for k, rep, size, mine, at, ids, sizes, roots, joined in _pairs_ahead(group, p):
             # First the most alike member of each component, then whatever is still apart.
             best = np.zeros(len(at), bool)
             best[np.unique(roots[at], return_index=True)[1]] = True
@@ -192,11 +218,11 @@ def _across(p: NearDupParams):
                 check = check[roots[check] != mine]
                 if not len(check):
                     continue
-                shared = _shared_counts(own, [sets[k] for k in check])
-                for k in check[shared * 100 >= (size + sizes[check] - shared) * p.percent]:
-                    if roots[k] != mine:
-                        out.append((min(rep, ids[k]), max(rep, ids[k])))
-                        lost = int(roots[k])
+                shared = _shared_counts(mine_sets[k], [sets[x] for x in check])
+                for x in check[shared * 100 >= (size + sizes[check] - shared) * p.percent]:
+                    if roots[x] != mine:
+                        out.append((min(rep, ids[x]), max(rep, ids[x])))
+                        lost = int(roots[x])
                         joined[lost] = int(mine)
                         roots[roots == lost] = mine
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -204,6 +230,52 @@ def _across(p: NearDupParams):
     return run
 
 
+def _one_of_equals(standing: DataFrame) -> DataFrame:
+    """The keys of ``standing(key, rep, component, members)`` that hold several components; of buckets with the same members one.
+
+    Buckets are taken for equal by their number of members and two sums of hashes, and
+    then member by member against the one that stays.
+    """
+    open_keys = standing.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("members").alias("members"),
+        F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("also"),
+    ).where("lo <> hi")
+    open_keys = written(open_keys, "open")
+    alike = ["members", "who", "also"]
+    stays = open_keys.groupBy(*alike).agg(F.min("key").alias("stays"), F.count("*").alias("same"))
+    twins = open_keys.join(stays.where("same > 1"), alike).where("key <> stays").select("key", "stays", "members")
+    there = standing.select("rep", F.col("key").alias("stays")).join(stays.where("same > 1").select("stays"), "stays", "left_semi")
+    equal = (
+        standing.join(twins.drop("members"), "key").join(there, ["stays", "rep"])
+        .groupBy("key").agg(F.count("*").alias("met"), F.first("members").alias("members")).where("met = members").select("key")
+    )
+    return open_keys.select("key", "members").join(equal, "key", "left_anti")
+
+
+def _placed(standing: DataFrame, keys: DataFrame, reps: DataFrame, p: NearDupParams) -> DataFrame:
+    """Members of the open buckets, with sketches, once for each pair of blocks that they meet in.
+
+    A bucket's largest component and its other members have blocks of their own; the former, numbered
+    below zero, only meet the latter's, so a hot group is read as often as its rest has blocks.
+    """
+    sizes = standing.join(keys.select("key"), "key").groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("all"))
+    blocks = largest.select(
+        "key", F.col("big.component").alias("hub"), F.ceil(F.col("big.n") / p.block).cast("int").alias("hubs"),
+        F.ceil((F.col("all") - F.col("big.n")) / p.block).cast("int").alias("rest"),
+    )
+    in_hub = F.col("component") == F.col("hub")
+    own = F.when(in_hub, -1 - F.pmod(F.xxhash64("rep"), F.col("hubs"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("rest") - 1)
+    hubs = F.transform(F.sequence(F.lit(1), F.col("hubs")), lambda x: -x)
+    return (
+        standing.join(blocks, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
+        .withColumn("own", own)
+        .withColumn("with", F.explode(F.when(in_hub, others).otherwise(F.concat(others, hubs))))
+        .select("key", "rep", "component", "n_shingles", "sketch", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    )
+
+
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text)``.
 
@@ -215,11 +287,13 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     with one drawn member of its buckets, and buckets of two with their pair; then
     larger buckets that still hold several components are searched, in blocks of
     bounded size, for links between them, so that no link is lost and no large group
-    is written out pair by pair.
+    is written out pair by pair. Blocks compare sizes and sketches; full sets are sent only
+    where these leave a pair open.
 
     Null or blank text: no shingles, linked with nothing. Null doc_id: never
-    linked, kept. Rows that repeat a doc_id are each judged by their own text.
-    An empty table gives an empty result; further columns are ignored.
+    linked, kept. A doc_id is one node: rows that repeat it with other texts link all
+    that any of these texts is linked with, and all get its component. An empty
+    table gives an empty result; further columns are ignored.
     """
     p = params
     slim = docs.select("doc_id", "text")
@@ -259,28 +333,23 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     in_buckets = slim.join(wanted, "doc_id", "left_semi")
     sets = written(in_buckets.mapInArrow(_sets(p), "rep long, shingles array<long>"), "sets")
-    links = written(_verified(_promising(stars, reps, p), sets, p), "links")
+    # An id that repeats with other texts is one node: its texts' representatives are linked.
+    texts = linkable.groupBy("doc_id").agg(F.min(F.struct(*sets_key)).alias("x"), F.max(F.struct(*sets_key)).alias("y")).where("x <> y")
+    again = linkable.join(texts.select("doc_id"), "doc_id", "left_semi").join(groups, sets_key).groupBy("doc_id")
+    same_id = again.agg(F.collect_set("rep").alias("reps")).select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
+    links = written(_verified(_promising(stars, reps, p), sets, p).union(same_id), "links")
     first = connected_components(links)
 
     # A bucket of two was settled by its pair; equal buckets of several bands count once.
     standing = members.where("members > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    standing = standing.select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    open_keys = (
-        standing.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))).alias("who"), F.first("members").alias("members"))
-        .where("lo <> hi")
-        .groupBy("who", "members")
-        .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("members") / p.block).cast("int").alias("blocks"))
-    )
-    placed = (
-        standing.join(open_keys, "key")
-        .join(reps.select("rep", "n_shingles", "sketch").join(sets, "rep"), "rep")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "rep", "component", "n_shingles", "sketch", "shingles", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    standing = written(standing.select("key", "rep", "members", F.coalesce("component", "rep").alias("component")), "standing")
+    placed = _placed(standing, _one_of_equals(standing), reps, p)
+    # Sketches go to the blocks; full sets only to those members of a block that sketches leave a partner.
+    left = written(
+        placed.groupBy("key", "i", "j").applyInPandas(_survivors(p), "key long, i int, j int, rep long, component long, n_shingles long, own int"), "survivors"
     )
-    more = written(placed.groupBy("key", "i", "j").applyInPandas(_across(p), "a long, b long").distinct(), "links")
+    with_sets = left.join(reps.select("rep", "sketch"), "rep").join(sets, "rep")
+    more = written(with_sets.groupBy("key", "i", "j").applyInPandas(_across(p), "a long, b long").distinct(), "links")
     components = connected_components(links.union(more)) if not more.isEmpty() else first
 
     named = (
@@ -297,3 +366,22 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         )
         .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, that of its least doc_id, with all columns as they are.
+
+    Of rows that repeat this doc_id the one with the least text stays, and of those that repeat the text
+    too the one with the least hash of its columns. Rows with a null doc_id all stay.
+    """
+    found = near_duplicates(docs, params).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    ids = written(found, "kept")
+    once, often = (ids.where(w).select("doc_id") for w in ("n = 1", "n > 1"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    nameless = docs.where(F.col("doc_id").isNull())
+    single = docs.join(once, "doc_id", "left_semi").select(*names)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = F.min_by(F.struct(*names), F.struct(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(*hashed).alias("h")))
+    (row,) = free_names(docs, "_row")
+    chosen = docs.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias(row)).select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return single.unionByName(chosen).unionByName(nameless.select(*names))
