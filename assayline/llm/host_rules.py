@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.names import free_names
 from ..functions.scratch import written
 from . import _bytes as B
 
@@ -75,8 +76,8 @@ def text_counts(raw: np.ndarray, offsets: np.ndarray, window: int = 5) -> list[n
 _RULES = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 
 
-def with_rules(docs: DataFrame, params: HostRuleParams = HostRuleParams()) -> DataFrame:
-    """``docs`` with COUNTS and ``base_failed``, which replace columns of these names; a null text counts as none."""
+def rules(text: Column, params: HostRuleParams = HostRuleParams()) -> Column:
+    """A struct of COUNTS; a null text counts as none."""
     p = params
 
     def count(texts: pa.Array) -> pa.Array:
@@ -84,12 +85,13 @@ def with_rules(docs: DataFrame, params: HostRuleParams = HostRuleParams()) -> Da
         columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(len(COUNTS))]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTS)
 
-    own = [c for c in docs.columns if c not in (*COUNTS, "base_failed", "_rules")]
-    found = docs.select(*own).withColumn("_rules", F.arrow_udf(count, _RULES)(F.col("text")))
-    return found.select(*own, *[F.col("_rules")[c].alias(c) for c in COUNTS]).withColumn(
-        "base_failed",
-        (F.col("n_words") < p.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * p.repeat_percent),
-    )
+    return F.arrow_udf(count, _RULES)(text)
+
+
+def failed(counts: str, params: HostRuleParams = HostRuleParams()) -> Column:
+    """Whether the document whose COUNTS are in the struct ``counts`` fails by itself."""
+    words, repeated = F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")
+    return (words < params.min_words) | (repeated * 100 > words * params.repeat_percent)
 
 
 def host_verdicts(judged: DataFrame, params: HostRuleParams = HostRuleParams()) -> DataFrame:
@@ -124,24 +126,32 @@ def host_rules(docs: DataFrame, params: HostRuleParams = HostRuleParams()) -> Da
     join on the host, which AQE splits where one host holds much of the table. A
     document is kept if neither it nor its host fails. Empty or null text: no
     words, so it fails. Null source: a host of its own. Repeated rows are judged
-    each. An empty table gives an empty result.
+    each. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    slim = docs.select("doc_id", "text", "source")
-    judged = written(with_rules(slim, params).drop("text"), "rules")
-    return with_verdicts(judged, host_verdicts(judged, params)).select(
-        "doc_id", *COUNTS, "base_failed", F.col("_rate").alias("host_rate"), "kept"
-    )
+    counted = docs.select("doc_id", "source", rules(F.col("text"), params).alias("counts"))
+    judged = written(counted.select("doc_id", "source", "counts", failed("counts", params).alias("base_failed")), "rules")
+    found = with_host(judged, host_verdicts(judged, params), "host")
+    return found.select(
+        "doc_id", *[F.col("counts")[c].alias(c) for c in COUNTS], "base_failed", F.col("host.rate").alias("host_rate"),
+        (~F.col("base_failed") & F.col("host.host_ok")).alias("kept"),
+    )
 
 
-def with_verdicts(judged: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``judged`` with its host's ``_rate``, and ``kept``: neither the document nor its host fails."""
-    by_host = verdicts.select(
-        F.coalesce("source", F.lit("")).alias("_host"), F.col("source").isNull().alias("_none"), F.col("rate").alias("_rate"), "host_ok"
-    )
-    return (
-        judged.withColumn("_host", F.coalesce("source", F.lit("")))
-        .withColumn("_none", F.col("source").isNull())
-        .join(by_host, ["_host", "_none"], "left")
-        .withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
-        .drop("_host", "_none", "host_ok")
-    )
+def with_host(rows: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``, the struct ``(rate, host_ok)`` of their source; null sources meet each other."""
+    (key,) = free_names(rows, "_host_key")
+    of = verdicts.select(F.col("source").alias(key), F.struct("rate", "host_ok").alias(name))
+    return rows.join(of, F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
+
+
+def drop_low_quality(docs: DataFrame, params: HostRuleParams = HostRuleParams()) -> DataFrame:
+    """``docs`` without the rows that fail or whose host is turned down; all columns stay as they are.
+
+    Texts are counted twice, for the hosts and for the documents, as that is
+    cheaper than moving them.
+    """
+    counts, host = free_names(docs, "_counts", "_host")
+    slim = docs.select("source", rules(F.col("text"), params).alias("counts"))
+    verdicts = written(host_verdicts(slim.select("source", failed("counts", params).alias("base_failed")), params), "hosts")
+    judged = with_host(docs.withColumn(counts, rules(F.col("text"), params)), verdicts, host)
+    return judged.where(~failed(counts, params) & F.col(f"{host}.host_ok")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.names import free_names
 from ..functions.positions import running_start
 from ..functions.scratch import written
 
@@ -16,7 +17,7 @@ class MixParams:
     """``weights`` repeat over the sources in code point order, null last.
 
     ``blocks`` bounds how many blocks the whole mix is cut into (and with them the
-    tree's numbers on the driver); ``max_sources`` bounds the table of sources.
+    tree's numbers on the driver); up to ``sent_sources`` sources their table is sent out, above that it is joined by shuffle.
     """
 
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
@@ -24,7 +25,7 @@ class MixParams:
     shards: int = 64
     blocks: int = 100_000
     block_words: int = 10_000
-    max_sources: int = 100_000
+    sent_sources: int = 10_000
     cells: int = 256
     seed: int = 20
 
@@ -80,15 +81,30 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _fillers(narrow: DataFrame, p: MixParams) -> DataFrame:
-    """``(_s, _fill)``: of each source, the row past the last that fits whose size best fills what is left."""
-    placed = written(running_start(narrow, ["_s"], "_r", ["doc_id"], "size", "_pos", p.cells), "positions")
-    fits = F.col("_pos") + F.col("size") <= F.col("_rest")
-    gaps = placed.groupBy("_s").agg((F.first("_rest") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("gap"))
+@dataclass(frozen=True)
+class _Names:
+    """Inner columns, named as no column of the input is."""
+
+    source: str
+    r: str
+    passes: str
+    upto: str
+    pos: str
+    rest: str
+    fill: str
+    named: str
+    key: str
+
+
+def _fillers(narrow: DataFrame, n: _Names, send, p: MixParams) -> DataFrame:
+    """``(source, fill)``: of each source, the row past the last that fits whose size best fills what is left."""
+    placed = written(running_start(narrow, [n.source], n.r, [n.key], "size", n.pos, p.cells), "positions")
+    fits = F.col(n.pos) + F.col("size") <= F.col(n.rest)
+    gaps = placed.groupBy(n.source).agg((F.first(n.rest) - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("gap"))
     off = F.abs(F.col("gap") - F.col("size"))
-    past = placed.where(~fits & (F.col("size") > 0)).join(F.broadcast(gaps), "_s").where(off < F.col("gap"))
-    best = past.groupBy("_s").agg(F.min(F.struct(off.alias("off"), F.col("_r"))).alias("best"))
-    return best.select("_s", F.col("best._r").alias("_fill"))
+    past = placed.where(~fits & (F.col("size") > 0)).join(send(gaps), n.source).where(off < F.col("gap"))
+    best = past.groupBy(n.source).agg(F.min(F.struct(off.alias("off"), F.col(n.r).alias("r"))).alias("best"))
+    return best.select(n.source, F.col("best.r").alias(n.fill))
 
 
 def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -97,24 +113,24 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     Sizes are words. Each source's rows are permuted by a seeded hash; as many
     whole passes as the target holds, then rows from the front of the permutation
     as long as they fit, and then the one further row that best fills what is left,
-    are laid end to end and cut into blocks. The splitting tree says how many blocks of each source a shard
+    are laid end to end and cut into blocks. Rows longer than a sixteenth of what the last pass
+    takes stand at the end of the permutation, so that none of them ends that pass early. The splitting tree says how many blocks of each source a shard
     draws; shards draw disjoint runs of the permuted blocks. ``copies`` holds a
     ``(epoch, shard, place)`` for each time a row is taken; sorting a shard by
     ``place`` shuffles it.
 
     Null or blank texts have size 0 and are never taken. A null source is a source
     of its own. Rows that repeat a doc_id and text share a place in the
-    permutation's order and each count. Columns of ``docs`` that clash with the
-    added ones are replaced. An empty table gives an empty result. The table of
-    sources (at most ``max_sources``) and the tree's numbers are all that reaches
-    the driver. Rerun on the same rows it gives the same mix.
+    permutation's order and each count. Columns of ``docs`` named size, source_size, target or copies are
+    replaced; all others stay, whatever their names. An empty table gives an empty result. The
+    driver holds a few numbers, and one for each shard, of each source. Rerun on the same rows it gives the same mix.
     """
     p = params
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = docs.select(*kept).withColumn("size", word_count(F.col("text")))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(p.max_sources + 1).collect()
-    if len(sums) > p.max_sources:
-        raise ValueError(f"more than {p.max_sources} sources")
+    kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
+    base = docs.select(*[F.col(f"`{c}`") for c in kept])
+    n = _Names(*free_names(docs, "_source", "_r", "_passes", "_upto", "_pos", "_rest", "_fill", "_named", "_key"))
+    sized = base.withColumn("size", word_count(F.col("text")))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in sums]
     weights = [p.weights[i % len(p.weights)] for i in range(len(sums))]
@@ -125,39 +141,57 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     spark = docs.sparkSession
     known = spark.createDataFrame(
         [
-            (i, r["source"], int(n), float(g), int(g // n) if n else 0, [int(x) for x in u])
-            for i, (r, n, g, u) in enumerate(zip(sums, sizes, goal, upto, strict=True))
+            (i, r["source"], int(n_), float(g), int(g // n_) if n_ else 0, [int(x) for x in u])
+            for i, (r, n_, g, u) in enumerate(zip(sums, sizes, goal, upto, strict=True))
         ],
-        "_s int, _name string, source_size long, target double, _passes int, _upto array<long>",
+        f"`{n.source}` int, `{n.named}` string, source_size long, target double, `{n.passes}` int, `{n.upto}` array<long>",
     )
-    word_hash = F.xxhash64(F.lit(p.seed), "doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
-    placed = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_r", word_hash)
-    rest = F.col("target") - F.col("_passes") * F.col("source_size")
-    fits = F.col("_pos") + F.col("size") <= rest
-    fill = _fillers(placed.select("_s", "_r", "doc_id", "size", rest.alias("_rest")), p)
-    placed = running_start(placed, ["_s"], "_r", ["doc_id"], "size", "_pos", p.cells).join(F.broadcast(fill), "_s", "left")
-    once_more = fits | F.coalesce(F.col("_r") == F.col("_fill"), F.lit(False))
-    n_copies = F.when(F.col("size") > 0, F.col("_passes") + once_more.cast("int")).otherwise(0)
+    send = F.broadcast if len(sums) <= p.sent_sources else lambda table: table  # a few hundred bytes a source
+    rest = F.col("target") - F.col(n.passes) * F.col("source_size")
+    word_hash = F.xxhash64(F.lit(p.seed), "doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
+    late = F.when(F.col("size") * 16 > rest, F.lit(1 << 62)).otherwise(F.lit(0))
+    placed = (
+        sized.join(send(known), F.col("source").eqNullSafe(F.col(n.named))).drop(n.named)
+        .withColumn(n.r, (word_hash + late).cast("long")).withColumn(n.key, F.col("doc_id"))
+    )
+    fits = F.col(n.pos) + F.col("size") <= rest
+    fill = _fillers(placed.select(n.source, n.r, n.key, "size", rest.alias(n.rest)), n, send, p)
+    placed = running_start(placed, [n.source], n.r, [n.key], "size", n.pos, p.cells).join(send(fill), n.source, "left")
+    once_more = fits | F.coalesce(F.col(n.r) == F.col(n.fill), F.lit(False))
+    n_copies = F.when(F.col("size") > 0, F.col(n.passes) + once_more.cast("int")).otherwise(0)
 
     def copy(epoch: Column) -> Column:
-        at = F.floor((epoch * F.col("source_size") + F.col("_pos")) / F.lit(block))
-        last = F.element_at("_upto", -1) - 1
-        shard = F.size(F.filter("_upto", lambda u: u <= F.least(at, last)))
+        at = F.floor((epoch * F.col("source_size") + F.col(n.pos)) / F.lit(block))
+        last = F.element_at(n.upto, -1) - 1
+        shard = F.size(F.filter(n.upto, lambda u: u <= F.least(at, last)))
         return F.struct(
             epoch.cast("int").alias("epoch"),
             shard.cast("int").alias("shard"),
-            F.xxhash64(F.lit(p.seed + 1), F.col("doc_id"), epoch, F.col("_r")).alias("place"),
+            F.xxhash64(F.lit(p.seed + 1), F.col(n.key), epoch, F.col(n.r)).alias("place"),
         )
 
     epochs = F.slice(F.array(*[F.lit(e).cast("long") for e in range(p.max_repeats + 1)]), 1, n_copies)
-    return placed.withColumn("copies", F.transform(epochs, copy)).select(*kept, "size", "source_size", "target", "copies")
+    plan = placed.withColumn("copies", F.transform(epochs, copy))
+    return plan.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", "copies")
+
+
+def taken_rows(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+    """``docs``' rows as often as the mix takes them, with all their columns as they were."""
+    inner = free_names(docs, "size", "source_size", "target", "copies")
+    names = dict(zip(("size", "source_size", "target", "copies"), inner, strict=True))
+    stand_in = {c: new for c in docs.columns for old, new in names.items() if c.lower() == old}
+    plan = mix_plan(docs.withColumnsRenamed(stand_in), params)
+    (copy,) = free_names(plan, "_copy")
+    return plan.withColumn(copy, F.explode("copies")).select(*[F.col(f"`{stand_in.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """``docs``' rows as often as the mix takes them, with ``shard`` and ``place`` (see ``mix_plan``)."""
-    kept = [c for c in docs.columns if c not in ("shard", "place", "_copy")]
-    plan = mix_plan(docs.select(*kept), params).withColumn("_copy", F.explode("copies"))
-    return plan.select(*kept, F.col("_copy.shard").alias("shard"), F.col("_copy.place").alias("place"))
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "place")]
+    plan = mix_plan(docs.select(*[F.col(f"`{c}`") for c in kept]), params)
+    (copy,) = free_names(plan, "_copy")
+    names = [F.col(f"`{c}`") for c in kept if c in plan.columns]
+    return plan.withColumn(copy, F.explode("copies")).select(*names, F.col(f"{copy}.shard").alias("shard"), F.col(f"{copy}.place").alias("place"))
 
 
 def write_mix(mixed: DataFrame, path: str, params: MixParams = MixParams()) -> None:

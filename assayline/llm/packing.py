@@ -75,15 +75,15 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """Pieces of ``docs(doc_id, text, source)`` with the bin, and the slot in it, that each goes to.
 
     A document is cut into pieces of ``capacity`` words and a remainder; a whole
-    piece fills a bin alone. Pieces are dealt at random into groups of about
+    piece fills a bin alone. Pieces are dealt by a seeded hash into groups of about
     ``group_rows`` and each group is packed largest first. No bin holds two pieces
     of one source or of one duplicate cluster (equal texts). ``start`` is the
     piece's first word in its document.
 
     Null or blank texts have no words, hence no piece. A null source is a source of
     its own. Rows that repeat are packed each; being of one cluster they never
-    share a bin. Hot sources and clusters are spread over all groups by the random
-    deal. An empty table gives an empty result.
+    share a bin. Hot sources and clusters are spread over all groups by the
+    deal. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     p = params
     sized = docs.select(
@@ -102,9 +102,10 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     )
     pieces = sized.withColumn("_p", F.explode(cut)).select("doc_id", "_p.piece", "_p.start", "_p.size", "source", "cluster")
     whole = F.col("size") == p.capacity
-    n = docs.count()
-    groups = max(1, -(-n // p.group_rows))
-    dealt = pieces.withColumn("g", F.floor(F.rand(p.seed) * groups).cast("long"))
+    # Documents, which are counted without a look at texts, are about as many as their remainders. Dealing
+    # by a hash makes reruns agree; only rows that repeat an id and a text meet in one group.
+    groups = max(1, -(-docs.select(F.lit(1)).count() // p.group_rows))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.lit(p.seed), "doc_id", "piece", "cluster", "source"), F.lit(groups)).cast("long"))
     packed = dealt.where(~whole).groupBy("g").applyInPandas(_pack_group(p.capacity), _PACKED)
     # A full piece needs no search: it is a bin, numbered below zero.
     alone = dealt.where(whole).select(
