@@ -14,6 +14,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Documents in a slice at most: a slice's row number fits the upper 12 bits of a 64-bit key.
 SLICE_ROWS = 4096
+#: Text in a slice, unless one document has more.
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -34,19 +36,19 @@ _FOLDED_CODE = _BYTE_CODE.copy()
 _FOLDED_CODE[65:91] = _BYTE_CODE[97:123]
 
 
-_POWERS: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at a time: the 64-bit numbers in use don't grow with the text.
+_STEP = 1 << 15
+_ALL = (1 << 64) - 1
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """The first ``n`` powers of ``base``; kept for texts of usual length."""
-    have = _POWERS.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 8 << 20:
-            _POWERS[int(base)] = have
-    return have[:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(int(_BASE), _STEP), _powers(int(_BASE_INV), _STEP)
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -67,13 +69,13 @@ def _cuts(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths) - start
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most ``max_bytes`` of text and SLICE_ROWS rows; a longer text is a piece alone."""
     for start, n in _cuts(batch.column(column), max_bytes):
         yield batch.slice(start, n)
 
 
-def pieces(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[pa.Array]:
+def pieces(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """The same for one column."""
     for start, n in _cuts(column, max_bytes):
         yield column.slice(start, n)
@@ -110,12 +112,40 @@ def spans(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, equal in every task; ``fold`` takes A-Z as a-z."""
-    code = (_FOLDED_CODE if fold else _BYTE_CODE)[raw]
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(code * _powers(_BASE, len(raw)), out=sums[1:])
-    return mix64((sums[end] - sums[start]) * _powers(_BASE_INV, len(raw) + 1)[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of each span's bytes, equal in every task; ``fold`` takes A-Z as a-z.
+
+    ``start`` and ``end`` ascend. Sums of byte codes times powers of a base are
+    taken in steps of fixed size and kept only where spans begin and end.
+    """
+    code = _FOLDED_CODE if fold else _BYTE_CODE
+    at_start, at_end = np.zeros(len(start), np.uint64), np.zeros(len(end), np.uint64)
+    sums = np.zeros(_STEP + 1, np.uint64)
+    # Texts of one step are hashed from power 0 on, and so is each later step, times the step's own power.
+    grown = pow(int(_BASE), _STEP, 1 << 64)
+    factor, total = 1, 0
+    s = e = 0
+    for at in range(0, len(raw), _STEP):
+        part = code[raw[at : at + _STEP]]
+        n = len(part)
+        part *= _UP[:n]
+        np.cumsum(part, out=sums[1 : n + 1])
+        last = at + n >= len(raw)
+        s_to = len(start) if last else int(np.searchsorted(start, at + n))
+        e_to = len(end) if last else int(np.searchsorted(end, at + n))
+        scale = np.uint64(factor)
+        at_start[s:s_to] = np.uint64(total) + sums[start[s:s_to] - at] * scale
+        at_end[e:e_to] = np.uint64(total) + sums[end[e:e_to] - at] * scale
+        total = total + int(sums[n]) * factor & _ALL
+        factor = factor * grown & _ALL
+        s, e = s_to, e_to
+    steps, inside = np.divmod(start, _STEP)
+    shrunk = pow(int(_BASE_INV), _STEP, 1 << 64)
+    far = _powers(shrunk, int(steps[-1]) + 1)[steps] if len(steps) else np.zeros(0, np.uint64)
+    at_end -= at_start
+    at_end *= _DOWN[inside]
+    at_end *= far
+    at_end += (end - start).astype(np.uint64)
+    return mix64(at_end)
 
 
 def count_per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
