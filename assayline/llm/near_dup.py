@@ -245,10 +245,8 @@ def _one_of_equals(standing: DataFrame) -> DataFrame:
     stays = open_keys.groupBy(*alike).agg(F.min("key").alias("stays"), F.count("*").alias("same"))
     twins = open_keys.join(stays.where("same > 1"), alike).where("key <> stays").select("key", "stays", "members")
     there = standing.select("rep", F.col("key").alias("stays")).join(stays.where("same > 1").select("stays"), "stays", "left_semi")
-    equal = (
-        standing.join(twins.drop("members"), "key").join(there, ["stays", "rep"])
-        .groupBy("key").agg(F.count("*").alias("met"), F.first("members").alias("members")).where("met = members").select("key")
-    )
+    met = standing.join(twins.drop("members"), "key").select("key", "stays", "rep").join(there, ["stays", "rep"]).groupBy("key").agg(F.count("*").alias("met"))
+    equal = met.join(twins, "key").where("met = members").select("key")
     return open_keys.select("key", "members").join(equal, "key", "left_anti")
 
 
@@ -258,7 +256,8 @@ def _placed(standing: DataFrame, keys: DataFrame, reps: DataFrame, p: NearDupPar
     A bucket's largest component and its other members have blocks of their own; the former, numbered
     below zero, only meet the latter's, so a hot group is read as often as its rest has blocks.
     """
-    sizes = standing.join(keys.select("key"), "key").groupBy("key", "component").agg(F.count("*").alias("n"))
+    # Counted before the join, so that a bucket with very many members is no hot key of it.
+    sizes = standing.groupBy("key", "component").agg(F.count("*").alias("n")).join(keys.select("key"), "key")
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("big"), F.sum("n").alias("all"))
     blocks = largest.select(
         "key", F.col("big.component").alias("hub"), F.ceil(F.col("big.n") / p.block).cast("int").alias("hubs"),
