@@ -40,16 +40,20 @@ class Encoder:
 
     Byte-level tokenizers split a text before the space of a word that follows a
     visible character, whatever stands around; pieces between such places can so be
-    encoded apart. Anything else keeps texts whole.
+    encoded apart. Any other tokenizer keeps texts whole, and so does a text that holds one
+    of the tokenizer's added tokens.
     """
 
     def __init__(self, params: TokenParams) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(params.tokenizer)
-        self.tokenizer.encode_special_tokens = True
-        before = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
         self.splits = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]
+        # A normalizer may change what a text holds before it is split.
+        self.splits = self.splits and not spec.get("normalizer")
         self.known: dict[int, np.ndarray] = {}
         self.limit = params.cache
 
@@ -62,7 +66,15 @@ class Encoder:
             left[1:] |= _LETTER[raw[:-3]] & (raw[1:-2] >= 0x80)
             right = _PLAIN[raw[2:]] | _LETTER[raw[2:]]
             # Both neighbours must be of the same document.
-            edge[1:-2] |= mid & left & right & ~edge[2:-1]
+            cut = mid & left & right & ~edge[2:-1]
+            data = raw.tobytes()
+            for token in self.added:
+                at = data.find(token)
+                while at >= 0:
+                    row = np.searchsorted(offsets, at, side="right") - 1
+                    cut[max(offsets[row] - 1, 0) : max(offsets[row + 1] - 1, 0)] = False
+                    at = data.find(token, offsets[row + 1])
+            edge[1:-2] |= cut
         return np.flatnonzero(edge)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -36,12 +36,11 @@ def test_token_files(spark):
     from assayline.llm.token_output import TokenParams, ids_round_trip, read_ids, write_ids
 
     path = P.path("byte_bpe_50k.json")
-    texts = ["", None, " a  b   c\n d", "it's  we'll 12 34", "<|endoftext|> x", "tab\t x", "é ñ 漢 字 a", "a\x1c b \x85 c \xa0 d", "x \U0001f600 y", "w " * 9000]
+    texts = ["", None, " a  b   c\n d", "it's  we'll 12 34", "<|endoftext|> x", "a <|endoftext|> b c d", "more words <|endoftext|><|endoftext|> and <|endoftext|>", "plain words between", "tab\t x", "é ñ 漢 字 a", "a\x1c b \x85 c \xa0 d", "x \U0001f600 y", "w " * 9000]
     rows = [(100 - i, t) for i, t in enumerate(texts)] + [(7, "again"), (7, "again"), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as data", "2 as start").repartition(3)
     params = TokenParams(tokenizer=path, block_ids=256, segment_ids=1000)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     start, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
