@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one, set here, if the session has none."""
+    """The folder in ``spark.checkpoint.dir``; on a local master, where all tasks share a disk, a temporary one if it is unset."""
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = existing.get() if existing.isDefined() else "file://" + tempfile.mkdtemp(prefix="assayline-")
+        existing = context._jsc.sc().getCheckpointDir()
+        if existing.isDefined():
+            root = existing.get()
+        elif context.master.split("[")[0] == "local":
+            root = "file://" + tempfile.mkdtemp(prefix="assayline-")
+        else:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(root)
     return root.rstrip("/")
 
 

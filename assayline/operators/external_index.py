@@ -81,14 +81,14 @@ def parse_index(raw: DataFrame, *, release: str, retrieved: date | str, organism
     unknown = F.lit("unknown")
     named = F.when(source_id.isNotNull(), F.concat(F.lit(f"{SOURCE} source "), source_id)).otherwise(F.concat(F.lit(f"{SOURCE} screen "), external))
     note = F.when(
-        source_id.isNull(), " SOURCE ID was not reported; the internal study identity is provisional and no source-family mapping was inferred."
+        source_id.isNull(), " No source id was given: the study stands for this screen alone, without a source family."
     ).otherwise("")
     all_studies = table.select(
         study.alias("study_id"), F.coalesce(c("author"), named).alias("citation"),
         F.coalesce(c("organism_official"), F.lit(organism_scope), unknown).alias("organism"), F.lit(None).cast("string").alias("data_license"),
         F.lit("original_screen").alias("source_role"), F.lit(True).alias("independent_screen_source"), source_id.alias("source_id"),
         kind.alias("source_type"), F.when(F.lower(kind) == "pubmed", source_id).alias("pubmed_id"),
-        F.concat(F.lit(f"Study metadata imported from the {SOURCE} {release} screen index."), note).alias("notes"), "row_number",
+        F.concat(F.lit(f"From the screen index of {SOURCE} {release}."), note).alias("notes"), "row_number",
     )
     first = W.partitionBy("study_id").orderBy("row_number")
     studies = all_studies.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "row_number")
@@ -115,13 +115,13 @@ def parse_index(raw: DataFrame, *, release: str, retrieved: date | str, organism
         F.coalesce(c("condition_name"), unknown).alias("treatment_name"), dose.alias("treatment_dose"), unit.alias("treatment_unit"),
         unknown.alias("control_type"), unknown.alias("exposure_schedule"), F.coalesce(c("phenotype"), unknown).alias("phenotype_endpoint"),
         unknown.alias("intended_direction"), locator.alias("source_locator"),
-        F.lit("Comparator and score direction are not part of the index and were not inferred.").alias("notes"),
+        F.lit("The index names neither comparator nor score direction; both are left open.").alias("notes"),
     )
     maps = table.select(
         F.concat(F.lit(f"{PREFIX}:{release}:external-screen:"), external).alias("mapping_id"), sid.alias("screen_id"), F.lit(SOURCE).alias("source_name"),
         F.lit(release).alias("source_version"), c("external_dataset_id").alias("external_dataset_id"), external.alias("external_screen_id"),
         F.lit("source_record").alias("relationship"), page.alias("source_url"), day.alias("retrieved_date"),
-        F.lit("External identity is the pair (source_version, external_screen_id).").alias("notes"),
+        F.lit("source_version and external_screen_id together identify the external record.").alias("notes"),
     )
     return IndexTables(table, studies, screens, designs, contrasts, maps, header_map)
 

@@ -31,31 +31,30 @@ _NOT_KNOCKOUT = ("activation", "inhibition", "crispra", "crispri", "base editing
 _NOT_DRUG = ("infection", "pathogen", "virus", "radiation", "hypoxia", "nutrient", "temperature", "genetic interaction")
 
 
-def _verdict(*cases: tuple[Column, str, str], default: tuple[str, str]) -> tuple[Column, Column]:
-    outcome, reason = F.when(cases[0][0], cases[0][1]), F.when(cases[0][0], cases[0][2])
+def _verdict(*cases: tuple[Column, str, str], default: tuple[str, str]) -> Column:
+    """A struct of outcome and reason: of the first case that holds, or the default."""
+    both = lambda o, r: F.struct(F.lit(o).alias("outcome"), F.lit(r).alias("reason"))
+    out = F.when(cases[0][0], both(*cases[0][1:]))
     for test, o, r in cases[1:]:
-        outcome, reason = outcome.when(test, o), reason.when(test, r)
-    return outcome.otherwise(default[0]), reason.otherwise(default[1])
+        out = out.when(test, both(o, r))
+    return out.otherwise(both(*default))
 
 
-def organism_check(value: Column) -> tuple[Column, Column]:
-    key = text_key(value)
+def organism_check(key: Column) -> Column:
     return _verdict(
         (key.isNull(), "unknown", "organism_unreported"), (key.isin("human", "homo sapiens", "9606"), "pass", "human_scope_confirmed"),
         default=("fail", "non_human_organism"),
     )
 
 
-def modality_check(library_type: Column, methodology: Column) -> tuple[Column, Column]:
-    text = F.concat_ws(" ", text_key(library_type), text_key(methodology))
+def modality_check(text: Column) -> Column:
     return _verdict(
         (_any(text, ("knockout", "crisprn", "crispr ko")), "pass", "crispr_ko_confirmed"), (_any(text, _NOT_KNOCKOUT), "fail", "non_ko_perturbation"),
         default=("unknown", "perturbation_unresolved"),
     )
 
 
-def setup_check(value: Column) -> tuple[Column, Column]:
-    key = text_key(value)
+def setup_check(key: Column) -> Column:
     return _verdict(
         (key.isNull(), "unknown", "experimental_setup_unreported"), (key == "drug exposure", "pass", "drug_exposure_confirmed"),
         (key == "toxin exposure", "unknown", "toxin_or_drug_exposure_requires_curation"), (_any(key, _NOT_DRUG), "fail", "non_drug_primary_setup"),
@@ -63,56 +62,68 @@ def setup_check(value: Column) -> tuple[Column, Column]:
     )
 
 
-def format_check(value: Column) -> tuple[Column, Column]:
-    key = text_key(value)
+def format_check(key: Column) -> Column:
     return _verdict(
         (key.isNull(), "unknown", "screen_format_unreported"), (key.isin("pool", "pooled"), "pass", "pooled_screen_confirmed"),
         (key.isin("array", "arrayed"), "fail", "arrayed_screen_out_of_scope"), default=("unknown", "screen_format_unresolved"),
     )
 
 
-def _check(rule: str, verdict: tuple, observed: Column, normalized: Column, scope: bool, benchmark: bool) -> Column:
-    outcome, reason = (F.lit(v) if isinstance(v, str) else v for v in verdict)
+def _check(rule: str, verdict: Column, observed: Column, normalized: Column, scope: bool, benchmark: bool) -> Column:
     return F.struct(
-        F.lit(rule).alias("rule_id"), outcome.alias("outcome"), observed.cast("string").alias("observed_value"), normalized.cast("string").alias("normalized_value"),
-        F.lit(scope).alias("required_for_scope"), F.lit(benchmark).alias("required_for_benchmark"), reason.alias("reason_code"),
+        F.lit(rule).alias("rule_id"), verdict.alias("v"), observed.cast("string").alias("observed_value"), normalized.cast("string").alias("normalized_value"),
+        F.lit(scope).alias("required_for_scope"), F.lit(benchmark).alias("required_for_benchmark"),
     )
 
 
-def index_checks(table: DataFrame, organism_scope: str | None = None) -> Column:
-    """The array of all rule checks of one normalized index row."""
+#: The columns that checks compare as text keys.
+_KEYED = ("library_type", "library_methodology", "experimental_setup", "screen_format", "full_size_available")
+
+
+def with_keys(table: DataFrame, organism_scope: str | None = None) -> DataFrame:
+    """A normalized index row with each text key computed once, as ``_key_<column>``, and what the checks derive from them."""
     c = lambda name: column(table, name)
-    none = F.lit(None).cast("string")
     organism = F.coalesce(c("organism_official"), F.lit(organism_scope))
-    kind = F.concat_ws(" | ", text_key(c("library_type")), text_key(c("library_methodology")))
-    kind = F.when(kind != "", kind)
-    setup = setup_check(c("experimental_setup"))
+    keyed = table.withColumns({f"_key_{n}": text_key(c(n)) for n in _KEYED} | {"_organism": organism, "_key_organism": text_key(organism)})
+    return keyed.withColumns({
+        "_kind": F.nullif(F.concat_ws(" | ", "_key_library_type", "_key_library_methodology"), F.lit("")),
+        "_kind_words": F.concat_ws(" ", "_key_library_type", "_key_library_methodology"), "_setup": setup_check(F.col("_key_experimental_setup")),
+    })
+
+
+def index_checks(table: DataFrame) -> Column:
+    """The array of all rule checks of one row of ``with_keys``."""
+    c = lambda name: column(table, name)
+    key = lambda name: F.col(f"_key_{name}")
+    none = F.lit(None).cast("string")
+    fixed = lambda o, r: F.struct(F.lit(o).alias("outcome"), F.lit(r).alias("reason"))
+    organism, kind, setup = F.col("_organism"), F.col("_kind"), F.col("_setup")
     drug = c("condition_name")
-    named = drug.isNotNull() & (setup[0] == "pass")
-    full = text_key(c("full_size_available"))
+    named = drug.isNotNull() & (F.col("_setup.outcome") == "pass")
+    full = key("full_size_available")
     source = c("source_id")
     return F.array(
-        _check("scope.organism_human", organism_check(organism), organism, text_key(organism), True, True),
-        _check("scope.perturbation_crispr_ko", modality_check(c("library_type"), c("library_methodology")), kind, kind, True, True),
-        _check("scope.drug_exposure", setup, c("experimental_setup"), text_key(c("experimental_setup")), True, True),
-        _check("scope.pooled_format", format_check(c("screen_format")), c("screen_format"), text_key(c("screen_format")), True, True),
+        _check("scope.organism_human", organism_check(key("organism")), organism, key("organism"), True, True),
+        _check("scope.perturbation_crispr_ko", modality_check(F.col("_kind_words")), kind, kind, True, True),
+        _check("scope.drug_exposure", setup, c("experimental_setup"), key("experimental_setup"), True, True),
+        _check("scope.pooled_format", format_check(key("screen_format")), c("screen_format"), key("screen_format"), True, True),
         _check("metadata.identifiable_drug", _verdict(
             (named, "pass", "drug_name_confirmed_in_drug_exposure"), (drug.isNotNull(), "unknown", "condition_name_requires_drug_exposure_curation"),
             default=("unknown", "drug_name_unreported")), drug, F.when(named, drug), False, True),
         _check("metadata.identifiable_cell_context", _verdict(
             (c("cell_line").isNotNull(), "pass", "cell_line_reported"), default=("unknown", "cell_context_unreported")), c("cell_line"), c("cell_line"), False, True),
-        _check("metadata.gene_level_mapping", ("pass", "gene_level_mapping_available"), F.lit("ORCS standardized per-screen gene scores"), F.lit("orcs_gene_scores"), False, True),
+        _check("metadata.gene_level_mapping", fixed("pass", "gene_level_mapping_available"), F.lit("ORCS standardized per-screen gene scores"), F.lit("orcs_gene_scores"), False, True),
         _check("metadata.full_gene_score_set", _verdict(
             (full.isin("yes", "true", "1"), "pass", "full_orcs_score_set_available"), (full.isin("no", "false", "0"), "unknown", "orcs_score_set_incomplete"),
             default=("unknown", "orcs_score_completeness_unreported")), c("full_size_available"), full, False, False),
-        _check("curation.comparator_and_sample_map", ("unknown", "comparator_sample_map_unresolved"), none, none, False, True),
-        _check("data.count_level_signal", ("unknown", "count_level_data_unresolved"), none, none, False, True),
+        _check("curation.comparator_and_sample_map", fixed("unknown", "comparator_sample_map_unresolved"), none, none, False, True),
+        _check("data.count_level_signal", fixed("unknown", "count_level_data_unresolved"), none, none, False, True),
         _check("provenance.source_family", _verdict(
             (source.isNotNull(), "unknown", "source_family_provisional_from_source_id"),
             default=("unknown", "source_family_unresolved_missing_source_id")), source, source, False, True),
-        _check("provenance.raw_data_family", ("unknown", "raw_data_family_unresolved"), none, none, False, True),
-        _check("rights.source_and_raw_data", ("unknown", "source_raw_rights_unresolved"), none, none, False, True),
-        _check("labels.adjudicated_validation_event", ("unknown", "validation_events_unreviewed"), none, none, False, True),
+        _check("provenance.raw_data_family", fixed("unknown", "raw_data_family_unresolved"), none, none, False, True),
+        _check("rights.source_and_raw_data", fixed("unknown", "source_raw_rights_unresolved"), none, none, False, True),
+        _check("labels.adjudicated_validation_event", fixed("unknown", "validation_events_unreviewed"), none, none, False, True),
     )
 
 
@@ -165,13 +176,15 @@ def triage_index(
     sid = screen_id(release, F.col("screen_id"))
     intake_id = F.concat(sid, F.lit(f":intake:index:v{policy_version}"))
     dataset = column(table, "external_dataset_id")
-    base = table.select(
+    keyed = with_keys(table, organism_scope)
+    base = keyed.select(
         F.col("screen_id").alias("external_screen_id"), dataset.alias("external_dataset_id"), sid.alias("screen_id"), intake_id.alias("intake_id"),
         F.concat(F.lit(f"{SOURCE} {release} screen index; SCREEN_ID="), "screen_id").alias("source_locator"),
-        F.explode(index_checks(table, organism_scope)).alias("k"),
+        F.explode(index_checks(keyed)).alias("k"),
     )
     checks = base.select(
-        F.concat("intake_id", F.lit(":check:"), "k.rule_id").alias("check_id"), "intake_id", "screen_id", F.lit("index").alias("assessment_stage"), "k.*", "source_locator",
+        F.concat("intake_id", F.lit(":check:"), "k.rule_id").alias("check_id"), "intake_id", "screen_id", F.lit("index").alias("assessment_stage"), "k.rule_id", F.col("k.v.outcome").alias("outcome"),
+        "k.observed_value", "k.normalized_value", "k.required_for_scope", "k.required_for_benchmark", F.col("k.v.reason").alias("reason_code"), "source_locator",
     )
     decided = decide(checks, "index", policy_version)
     intake = table.select(

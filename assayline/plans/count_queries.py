@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ranks import average_rank, rounded
+from ..functions.scratch import written
 from ..operators import counts as C
 from . import demo_views as V
 
@@ -18,7 +19,7 @@ def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logged(spark: SparkSession, sf_dir: str, method: str = "median_ratio") -> DataFrame:
-    return C.log_counts(_long(spark, sf_dir), method)
+    return written(C.log_counts(written(_long(spark, sf_dir), "long-counts"), method), "log-counts")
 
 
 def _neat(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
@@ -47,7 +48,7 @@ def a02_cpm(spark, sf_dir):
 
 
 def a03_size_factors(spark, sf_dir):
-    return _neat(C.size_factors(_long(spark, sf_dir)), ["screen_id", "sample_id"], "size_factor")
+    return _neat(C.size_factors(written(_long(spark, sf_dir), "long-counts")), ["screen_id", "sample_id"], "size_factor")
 
 
 def a04_log_counts(spark, sf_dir):

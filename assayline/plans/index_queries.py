@@ -193,7 +193,7 @@ decided AS (
 
 _SC = f"""WITH raw AS (SELECT {', '.join(f'{e} AS {n}' for e, n in zip(_SCORES.values(), ('sid', 'gene', 's1', 's2', 'hit'), strict=True))} FROM lineitem),
 sc AS (SELECT {', '.join(f"nullif(nullif(trim({n}), ''), '-') AS {n}" for n in ('sid', 'gene', 's1', 's2', 'hit'))} FROM raw),
-meta AS (SELECT {', '.join(f"nullif(nullif(trim({e}), ''), '-') AS {n}" for e, n in zip(_META.values(), ('sid', 'analysis', 'k1', 'k2'), strict=True))} FROM supplier WHERE s_suppkey % 10 <> 0),
+meta AS (SELECT {', '.join(f"nullif(nullif(trim({e if n == 'sid' else f'CASE WHEN s_suppkey % 10 <> 0 THEN {e} END'}), ''), '-') AS {n}" for e, n in zip(_META.values(), ('sid', 'analysis', 'k1', 'k2'), strict=True))} FROM supplier),
 num AS (
   SELECT sc.*, coalesce(analysis, 'ORCS author-reported') AS method, k1, k2, CASE WHEN regexp_matches(s1, '^[0-9.e-]+$') THEN CAST(s1 AS DOUBLE) END AS n1,
     CASE WHEN regexp_matches(s2, '^[0-9.e-]+$') THEN CAST(s2 AS DOUBLE) END AS n2, CASE lower(hit) WHEN 'yes' THEN true WHEN 'no' THEN false END AS h

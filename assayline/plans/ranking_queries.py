@@ -90,7 +90,7 @@ ev AS (
     CASE event_id % 2 WHEN 0 THEN 'resistance' ELSE 'sensitization' END AS phenotype_direction,
     CASE WHEN user_id % 11 = 0 THEN NULL ELSE 'GENE' || user_id END AS gene_symbol,
     CASE event_type WHEN 'signup' THEN 'V3' WHEN 'purchase' THEN 'V2' WHEN 'error' THEN 'F0' WHEN 'click' THEN 'V1' ELSE 'T' END AS label_code
-  FROM events WHERE event_id % 25 = 0)
+  FROM events)
 """
 _RESOLVE = """CASE WHEN bool_or(label_code IN ('V2', 'V3')) AND bool_or(label_code IN ('F0', 'D')) THEN 'A'
   WHEN bool_or(label_code = 'V3') THEN 'V3' WHEN bool_or(label_code = 'V2') THEN 'V2' WHEN bool_or(label_code = 'D') THEN 'D'
