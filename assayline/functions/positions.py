@@ -52,3 +52,20 @@ def sorted_cells(df: DataFrame, group: list[str], value: str, cell: str, cells:
     found = df.approxQuantile(value, [i / cells for i in range(1, cells)], 0.005)
     edge = F.array(*[F.lit(float(x)) for x in sorted(set(found))]).cast("array<double>")
     return df.withColumn(cell, F.coalesce(F.size(F.filter(edge, lambda m: m < F.col(value))), F.lit(0)))
+
+
+def running_sums(df: DataFrame, group: list[str], value: str, sums: dict[str, str], down: bool = False, cells: int = 64) -> DataFrame:
+    """``df`` with, for each name of ``sums``, the sum of that column over the group's rows up to this one in order of ``value``.
+
+    Equal values count as one place. Ranges of ``value`` are summed up first, so that only rows of one
+    range are sorted together. ``df`` is read several times; columns of ``group`` hold no nulls.
+    """
+    (cell,) = free_names(df, "_cell")
+    keyed = sorted_cells(df, group, value, cell, cells)
+    totals = [f"{o}_total" for o in sums]
+    per = keyed.groupBy(*group, cell).agg(*[F.sum(w).alias(t) for t, w in zip(totals, sums.values(), strict=True)])
+    before = W.partitionBy(*group).orderBy(F.col(cell).desc() if down else F.col(cell)).rowsBetween(W.unboundedPreceding, -1)
+    starts = per.select(*group, cell, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(t) for t in totals])
+    inside = W.partitionBy(*group, cell).orderBy(F.col(value).desc() if down else F.col(value))
+    found = keyed.withColumns({o: F.sum(w).over(inside) for o, w in sums.items()}).join(starts, [*group, cell])
+    return found.withColumns({o: F.col(o) + F.col(t) for o, t in zip(sums, totals, strict=True)}).drop(cell, *totals)

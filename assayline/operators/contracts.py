@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scratch import written
-from ..sources.schemas import CONTRACTS, ENUMS
+from ..sources.schemas import CONTRACTS, ENUMS, Field
 
 _TYPES = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean", "date": "date", "url": "string", "enum": "string"}
 
 
-@dataclass(frozen=True)
-class Field:
-    name: str
-    kind: str
-    need: str  # required, nullable or default
-    default: str | None
-    vocabulary: str | None
-    limits: tuple[tuple[str, float], ...]
-
-
-def fields_of(contract: str) -> list[Field]:
-    out = []
-    for text in CONTRACTS[contract].fields.split(","):
-        name, kind, *limits = text.split()
-        kind, vocabulary = (kind.split(":", 1) + [None])[:2] if ":" in kind else (kind, None)
-        last = vocabulary if vocabulary is not None else kind
-        default = last.split("=", 1)[1] if "=" in last else None
-        bare = re.sub(r"[!?]$|=.*$", "", last)
-        need = "default" if default is not None else "required" if last.endswith("!") else "nullable"
-        bounds = tuple((re.match(r"[<>=]+", x)[0], float(re.sub(r"^[<>=]+", "", x))) for x in limits)
-        out.append(Field(name, bare if vocabulary is None else kind, need, default, bare if vocabulary is not None else None, bounds))
-    return out
+def fields_of(contract: str) -> tuple[Field, ...]:
+    return CONTRACTS[contract].fields
 
 
 def with_row_numbers(df: DataFrame, column: str = "row_number", first: int = 2) -> DataFrame:

@@ -7,6 +7,9 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.positions import running_sums
+from ..functions.scratch import written
+
 KS = (5, 10, 20)
 
 
@@ -20,13 +23,26 @@ def query_key(columns: list[str]) -> Column:
     return F.struct(*columns)
 
 
-def _ap(df: DataFrame, by: list[str], target: str, score: str, weight: str | None = None) -> DataFrame:
-    """Average precision per ``by``: over distinct scores, recall gained times precision."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    steps = df.groupBy(*by, score).agg(F.sum(w * F.col(target)).alias("tp"), F.sum(w).alias("n"))
+def _steps(df: DataFrame, by: list[str], target: str, score: str) -> DataFrame:
+    return df.groupBy(*by, score).agg(F.sum(F.col(target).cast("double")).alias("tp"), F.count("*").cast("double").alias("n"))
+
+
+def _gained() -> Column:
+    """Recall gained times precision, summed up over distinct scores."""
+    return F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp"))
+
+
+def _ap(df: DataFrame, by: list[str], target: str, score: str) -> DataFrame:
+    """Average precision per ``by``, the rows of one query."""
     down = W.partitionBy(*by).orderBy(F.col(score).desc())
-    steps = steps.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
-    return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp")).alias("ap"))
+    steps = _steps(df, by, target, score).withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
+    return steps.groupBy(*by).agg(_gained().alias("ap"))
+
+
+def global_average_precision(df: DataFrame, target: str = "target", score: str = "score") -> DataFrame:
+    """One row: average precision over all rows; distinct scores are added up in ranges, none of which is the whole."""
+    steps = written(_steps(df.where(F.col(target).isNotNull() & F.col(score).isNotNull()), [], target, score), "steps")
+    return running_sums(steps, [], score, {"ctp": "tp", "cn": "n"}, down=True).agg(_gained().alias("ap"))
 
 
 def average_precision(df: DataFrame, by: list[str], target: str = "target", score: str = "score") -> DataFrame:
@@ -44,26 +60,31 @@ def _discount(place: Column) -> Column:
     return 1.0 / F.log2(place + 1.0)
 
 
-def top_k_metrics(df: DataFrame, query: list[str], study: str, k: int, target: str, score: str, tie: list[str]) -> DataFrame:
-    """Per query: rows, positives, hits in the first k, and the DCG@k with ties averaged and the ideal DCG@k.
+def top_k_table(df: DataFrame, query: list[str], study: str, ks: tuple[int, ...], target: str, score: str, tie: list[str]) -> DataFrame:
+    """Per query: rows, positives, and for each k the hits in the first k (``hits_k``), the DCG with ties averaged and the ideal DCG.
 
-    The first k are by score, then ``tie``, so that reruns agree.
+    Rows are ranked once for all k. The first k are by score, then ``tie``, so that reruns agree.
     """
     by = W.partitionBy(*query)
     down = by.orderBy(F.col(score).desc(), *tie)
-    ideal = by.orderBy(F.col(target).desc())
-    same = W.partitionBy(*query, score)
-    placed = df.withColumns({"_n": F.row_number().over(down), "_i": F.row_number().over(ideal)})
-    cut = F.when(F.col("_n") <= k, _discount(F.col("_n"))).otherwise(0.0)
-    shared = placed.withColumns({"_mean": F.avg(target).over(same)})
-    return shared.groupBy(*query).agg(
-        F.first(study).alias("study"),
-        F.count("*").alias("n"),
-        F.sum(target).alias("positives"),
-        F.sum(F.when(F.col("_n") <= k, F.col(target)).otherwise(0.0)).alias("hits"),
-        F.sum(F.col("_mean") * cut).alias("dcg"),
-        F.sum(F.when(F.col("_i") <= k, F.col(target) * _discount(F.col("_i"))).otherwise(0.0)).alias("ideal"),
-    )
+    placed = df.withColumns({
+        "_n": F.row_number().over(down), "_i": F.row_number().over(by.orderBy(F.col(target).desc())), "_mean": F.avg(target).over(W.partitionBy(*query, score)),
+    })
+    sums = []
+    for k in ks:
+        inside, best = F.col("_n") <= k, F.col("_i") <= k
+        sums += [
+            F.sum(F.when(inside, F.col(target)).otherwise(0.0)).alias(f"hits_{k}"),
+            F.sum(F.when(inside, F.col("_mean") * _discount(F.col("_n"))).otherwise(0.0)).alias(f"dcg_{k}"),
+            F.sum(F.when(best, F.col(target) * _discount(F.col("_i"))).otherwise(0.0)).alias(f"ideal_{k}"),
+        ]
+    return placed.groupBy(*query).agg(F.first(study).alias("study"), F.count("*").alias("n"), F.sum(target).alias("positives"), *sums)
+
+
+def top_k_metrics(df: DataFrame, query: list[str], study: str, k: int, target: str, score: str, tie: list[str]) -> DataFrame:
+    """``top_k_table`` of one k, its columns without the number."""
+    found = top_k_table(df, query, study, (k,), target, score, tie)
+    return found.withColumnsRenamed({f"{c}_{k}": c for c in ("hits", "dcg", "ideal")})
 
 
 def precision_at_k(df: DataFrame, query: list[str], study: str, k: int, target: str = "target", score: str = "score", tie: tuple[str, ...] = ()) -> DataFrame:
@@ -83,21 +104,20 @@ def per_query_metrics(df: DataFrame, query: list[str], study: str, target: str =
     candidates = df.where(F.col(score).isNotNull())
     known = candidates.where(F.col(target).isNotNull())
     both = known.groupBy(*query).agg(F.first(study).alias("study"), F.min(target).alias("lo"), F.max(target).alias("hi")).where("lo <> hi")
-    ap = _ap(known, query, target, score).join(both, query).select("study", F.lit("average_precision").alias("metric"), F.col("ap").alias("value"))
-    out = ap
+    out = _ap(known, query, target, score).join(both, query).select("study", F.lit("average_precision").alias("metric"), F.col("ap").alias("value"))
     observed = candidates.withColumn(target, F.coalesce(target, F.lit(0.0)))
-    for k in ks:
-        top = F.least(F.col("n"), F.lit(k))
-        some = F.col("positives") > 0
-        judged = top_k_metrics(known, query, study, k, target, score, list(tie))
-        seen = top_k_metrics(observed, query, study, k, target, score, list(tie))
-        ndcg = F.when(some, F.try_divide("dcg", "ideal"))
-        for frame, values in (
-            (judged, {"adjudicated_precision": F.col("hits") / top, "adjudicated_ndcg": ndcg}),
-            (seen, {"observed_success_yield": F.col("hits") / top, "observed_recall": F.when(some, F.try_divide("hits", "positives")), "observed_ndcg": ndcg}),
-        ):
-            pairs = F.explode(F.array(*[_pair(f"{name}_at_{k}", v) for name, v in values.items()]))
-            out = out.unionByName(frame.select("study", pairs.alias("m")).select("study", "m.metric", "m.value"))
+    some = F.col("positives") > 0
+    for rows, judged in ((known, True), (observed, False)):
+        found, pairs = top_k_table(rows, query, study, ks, target, score, list(tie)), []
+        for k in ks:
+            top, hits = F.least(F.col("n"), F.lit(k)), F.col(f"hits_{k}")
+            ndcg = F.when(some, F.try_divide(f"dcg_{k}", f"ideal_{k}"))
+            if judged:
+                pairs += [_pair(f"adjudicated_precision_at_{k}", hits / top), _pair(f"adjudicated_ndcg_at_{k}", ndcg)]
+            else:
+                recall = F.when(some, F.try_divide(hits, F.col("positives")))
+                pairs += [_pair(f"observed_success_yield_at_{k}", hits / top), _pair(f"observed_recall_at_{k}", recall), _pair(f"observed_ndcg_at_{k}", ndcg)]
+        out = out.unionByName(found.select("study", F.explode(F.array(*pairs)).alias("m")).select("study", "m.metric", "m.value"))
     return out.where("value is not null")
 
 
@@ -108,18 +128,22 @@ def check_nesting(df: DataFrame, query: list[str], study: str) -> None:
 
 
 def ranking_metrics(df: DataFrame, query: list[str], study: str | None = None, target: str = "target", score: str = "score", ks: tuple[int, ...] = KS, tie: tuple[str, ...] = ()) -> DataFrame:
-    """All metrics as ``(metric, value)`` rows, macro means over queries and over studies with their aliases."""
+    """All metrics as ``(metric, value)`` rows, macro means over queries and over studies with their aliases.
+
+    The columns in use are written once; each query is ranked twice, with and without its unlabelled rows.
+    """
     keyed = df.where(F.col(score).isNotNull())
     for c in query if len(query) == 1 else []:
         keyed = keyed.where(F.col(c).isNotNull())
     by_study = study or "_study"
     keyed = keyed if study else keyed.withColumn("_study", F.lit("all"))
+    keyed = written(keyed.select(*dict.fromkeys([*query, by_study, target, score, *tie])), "ranked")
     known = keyed.where(F.col(target).isNotNull())
     if known.isEmpty():
         raise ValueError("no labeled rows with a score")
     if study:
         check_nesting(keyed, query, study)
-    each = per_query_metrics(keyed, query, by_study, target, score, ks, tie)
+    each = written(per_query_metrics(keyed, query, by_study, target, score, ks, tie), "metrics")
     means = each.groupBy("metric", "study").agg(F.sum("value").alias("s"), F.count("*").alias("n")).groupBy("metric").agg(
         (F.sum("s") / F.sum("n")).alias("q"), F.avg(F.col("s") / F.col("n")).alias("st")
     )
@@ -131,7 +155,7 @@ def ranking_metrics(df: DataFrame, query: list[str], study: str | None = None, t
         F.when(at, F.array(_pair(m, "st"))).otherwise(F.array(_pair("macro_average_precision", "st"))),
         F.when(m.startswith("adjudicated_"), F.array(_pair(bare, "st"))).otherwise(F.array().cast("array<struct<metric:string,value:double>>")),
     )).alias("v")).select("v.metric", "v.value")
-    whole = _ap(known.withColumn("_all", F.lit(1)), ["_all"], target, score).select(F.explode(F.array(
+    whole = global_average_precision(known, target, score).select(F.explode(F.array(
         _pair("average_precision", "ap"), _pair("global_average_precision", "ap")
     )).alias("v")).select("v.metric", "v.value")
     counts = known.agg(

@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.positions import running_sums
 from ..functions.scratch import written
-from . import evaluation, labels
+from . import contracts, evaluation, labels
 from .families import study_families
 
 # Feature profiles, and what may not be a feature.
@@ -75,20 +76,42 @@ def testing_target(status: Column) -> Column:
     )
 
 
-def check_candidates(df: DataFrame) -> None:
-    """Directions are resistance or sensitization, keys are unique, and a screen is in one study."""
-    bad = df.agg(
-        F.count_if(~F.coalesce(F.col("phenotype_direction").isin("resistance", "sensitization"), F.lit(False))).alias("direction"),
-        F.count_if(F.col("study_id").isNull() | F.col("screen_id").isNull() | F.col("contrast_id").isNull() | F.col("gene_symbol").isNull()).alias("keys"),
-        F.count_if((F.col("label_code") == "U") & (F.col("testing_status") == "tested") | (F.col("label_code") != "U") & (F.col("testing_status") != "tested")).alias("status"),
-    ).first()
-    for what, n in bad.asDict().items():
-        if n:
-            raise ValueError(f"{n} candidates with a wrong {what}")
-    if not df.groupBy(*labels.KEYS).count().where("count > 1").limit(1).isEmpty():
-        raise ValueError("candidates repeat a key")
+def check_candidates(df: DataFrame, label: str = "label_code", tested: str = "testing_status") -> None:
+    """Candidates before any fit: their fields by contract (labels and statuses given and agreeing), directions
+    with a sign, unique keys, and each screen in one study."""
+    fields = [f.name for f in contracts.fields_of("candidate")]
+    named = {"label_code": label, "testing_status": tested}
+    lost = [named.get(f, f) for f in fields if named.get(f, f) not in df.columns]
+    if lost:
+        raise ValueError(f"no candidate columns {lost}")
+    rows = df.select(*[F.col(named.get(f, f)).alias(f) for f in fields])
+    odd = rows.where(~F.coalesce(F.lower(F.trim("phenotype_direction")).isin("resistance", "sensitization"), F.lit(False)))
+    if not odd.limit(1).isEmpty():
+        raise ValueError("candidates with a wrong direction: only resistance and sensitization are scored")
+    errors = contracts.validate(rows, "candidate")[1].groupBy("error").count().orderBy("error").limit(5).collect()
+    if errors:
+        raise ValueError("candidates break their contract: " + ", ".join(f"{r['error']} ({r['count']})" for r in errors))
     if not df.groupBy("screen_id").agg(F.count_distinct("study_id").alias("n")).where("n > 1").limit(1).isEmpty():
-        raise ValueError("each screen must belong to one study")
+        raise ValueError("there is a screen of several studies")
+
+
+def assemble_features(features: DataFrame, designs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Gene features with their contrast's design features and their candidates' labels.
+
+    A design is unique for its screen and contrast, and a candidate for its study, screen, contrast and
+    gene; anything else is an error, as rows would be multiplied. Features without either keep nulls.
+    """
+    by_design = ["screen_id", "contrast_id"]
+    by_gene = ["study_id", *by_design, "gene_symbol"]
+    wanted = features
+    for name, df, keys in (("design", designs, by_design), ("candidate", candidates, by_gene)):
+        if not df.groupBy(*keys).count().where("count > 1").limit(1).isEmpty():
+            raise ValueError(f"several {name} rows of one {'/'.join(keys)}")
+        taken = [c for c in df.columns if c in keys or c not in wanted.columns]
+        wanted = wanted.join(df.select(*taken), keys, "left")
+    if not features.groupBy("screen_id", "contrast_id", "gene_symbol").count().where("count > 1").limit(1).isEmpty():
+        raise ValueError("several feature rows of one gene")
+    return wanted
 
 
 @dataclass
@@ -120,9 +143,10 @@ def _finite(column: str) -> Column:
 def weighted_medians(df: DataFrame, columns: list[str], weight: str) -> DataFrame:
     """``(feature, median)``: the least value at which half of the weight is reached; weights are summed by value first."""
     long = df.select(weight, *[_finite(c).alias(c) for c in columns]).unpivot([weight], columns, "feature", "value").where("value is not null")
-    steps = long.groupBy("feature", "value").agg(F.sum(weight).alias("w"))
-    up, all_ = W.partitionBy("feature").orderBy("value"), W.partitionBy("feature")
-    reached = steps.withColumns({"c": F.sum("w").over(up), "t": F.sum("w").over(all_)}).where("c >= t / 2")
+    steps = written(long.groupBy("feature", "value").agg(F.sum(weight).alias("w")), "steps")
+    totals = steps.groupBy("feature").agg(F.sum("w").alias("t"))
+    # A feature's distinct values are added up in ranges, so none is sorted whole.
+    reached = running_sums(steps, ["feature"], "value", {"c": "w"}).join(totals, "feature").where("c >= t / 2")
     return reached.groupBy("feature").agg(F.min("value").alias("median"))
 
 
@@ -185,8 +209,10 @@ def deal_groups(df: DataFrame, group: str, n_splits: int, strata: str | None = N
     return df.sparkSession.createDataFrame(list(zip(table.index.tolist(), folds, strict=True)), "group string, fold int")
 
 
-def group_weights(df: DataFrame, group: str) -> Column:
-    return 1.0 / F.count("*").over(W.partitionBy(group))
+def group_weights(df: DataFrame, group: str) -> DataFrame:
+    """``df`` with ``weight``, one over the rows of its group."""
+    sizes = df.groupBy(group).agg((1.0 / F.count("*")).alias("weight"))
+    return df.drop("weight").join(sizes, group)
 
 
 def fit_propensity(df: DataFrame, columns: list[str], groups: str, n_splits: int = 5) -> DataFrame:
@@ -222,17 +248,21 @@ def fit_propensity(df: DataFrame, columns: list[str], groups: str, n_splits: int
 
 def fit_success(train: DataFrame, columns: list[str], kind: str, group: str, ipw: bool) -> tuple[Fitted, dict[str, float]]:
     """The model of success on labelled, tested rows, weighted by group (and inverse clipped propensity), with diagnostics."""
-    rows = train.where("y is not null and tested = 1").withColumn("weight", group_weights(train, group))
+    known = train.where("tested is not null").count()
+    rows = group_weights(train.where("y is not null and tested = 1"), group)
     clip = F.least(F.greatest(F.col("propensity"), F.lit(0.1)), F.lit(0.95)) if ipw else F.lit(1.0)
     rows = rows.withColumn("weight", F.col("weight") / clip)
     mean = rows.agg(F.avg("weight")).first()[0]
     rows = written(rows.withColumn("weight", F.col("weight") / mean), "train")
     if rows.select("y").distinct().count() < 2:
         raise ValueError("success labels are of one class")
+    p = F.col("propensity") if ipw else F.lit(1.0)
+    w = 1.0 / clip
     stats = rows.agg(
-        F.count("*").alias("n_labeled"), (F.sum("weight") * F.sum("weight") / F.sum(F.col("weight") * F.col("weight"))).alias("effective_sample_size"),
-        *([F.min("propensity").alias("propensity_min"), F.median("propensity").alias("propensity_median"), F.max("propensity").alias("propensity_max"),
-           F.avg((F.col("propensity") > 0.95).cast("double")).alias("upper_clip_fraction"), F.avg((F.col("propensity") < 0.1).cast("double")).alias("lower_clip_fraction")] if ipw else []),
+        F.count("*").cast("double").alias("n_labeled"), F.lit(float(known)).alias("n_selection_status_known"), F.min(p).alias("propensity_min"),
+        F.median(p).alias("propensity_median"), F.max(p).alias("propensity_max"), F.avg((p < 0.1).cast("double")).alias("clip_lower_fraction"),
+        F.avg((p > 0.95).cast("double")).alias("clip_upper_fraction"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_sample_size"),
+        F.lit(1.0).alias("study_balancing_applied"), F.lit(0.0).alias("outcome_observation_weighting_applied"),
     ).first().asDict()
     return _fit(rows, columns, kind), stats
 
@@ -245,8 +275,11 @@ def out_of_fold(
 
     Studies of one family (shared data, transitively) are one group. Folds are
     stratified by the target. If any fold's weighted fit fails, no row has an ``ipw_score``.
+    Rows that aren't proper candidates (``check_candidates``) are an error. The driver loops over the folds,
+    at most ``n_splits``; the dealt rows are written before.
     """
     check_features(columns)
+    check_candidates(df, label, tested)
     base = align_direction(df)
     have = [c for c in families if c in base.columns]
     if group == "study_id" and have:

@@ -65,6 +65,21 @@ def e00_index_screens(spark, sf_dir):
     return found.select("screen_id", "study_id", "source_family_id", "perturbation_modality", "drug_name", "treatment_dose", "treatment_unit", "source_url")
 
 
+def e00_index_designs(spark, sf_dir):
+    found = X.parse_index(index(spark, sf_dir), release=_RELEASE, retrieved=_DAY).designs
+    return found.select("screen_id", "screen_scale", "screen_format", "experimental_setup", "selection_strategy", "library_moi", "source_locator")
+
+
+def e00_index_contrasts(spark, sf_dir):
+    found = X.parse_index(index(spark, sf_dir), release=_RELEASE, retrieved=_DAY).contrasts
+    return found.select("screen_id", "contrast_id", "contrast_name", "treatment_name", "treatment_dose", "treatment_unit", "control_type", "intended_direction")
+
+
+def e00_index_maps(spark, sf_dir):
+    found = X.parse_index(index(spark, sf_dir), release=_RELEASE, retrieved=_DAY).maps
+    return found.select("mapping_id", "screen_id", "source_version", "external_screen_id", "relationship", "source_url", "retrieved_date")
+
+
 def u05_index_studies(spark, sf_dir):
     return X.parse_index(index(spark, sf_dir), release=_RELEASE, retrieved=_DAY).studies.select("study_id", "citation", "organism", "source_type", "pubmed_id")
 
@@ -135,7 +150,7 @@ def u01_summary_scores(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p03_normalized_index, p04_text_key, f01_parsed_values, e00_index_screens, u05_index_studies, e05_rule_checks, e06_decisions, ai1_triage_summary,
+        p03_normalized_index, p04_text_key, f01_parsed_values, e00_index_screens, e00_index_designs, e00_index_contrasts, e00_index_maps, u05_index_studies, e05_rule_checks, e06_decisions, ai1_triage_summary,
         u01_summary_scores, u02_gene_scores, u04_score_issues,
     )
 }
@@ -220,6 +235,13 @@ SQL = {
       CASE throughput WHEN 'Genome-Wide' THEN 'genome_wide' WHEN 'Focused' THEN 'targeted' WHEN 'tiling array' THEN 'saturation' WHEN 'small' THEN 'other' ELSE 'unknown' END AS scale FROM ix""",
     "e00_index_screens": f"""{_IX} SELECT {_SID} AS screen_id, {_STUDY} AS study_id, 'orcs:source-family:' || lower(source_type) || ':' || source_id AS source_family_id, {_MODALITY} AS perturbation_modality,
       CASE WHEN lower(experimental_setup) = 'drug exposure' THEN condition_name END AS drug_name, {_VALUE} AS treatment_dose, {_UNIT} AS treatment_unit, 'https://orcs.thebiogrid.org/Screen/' || screen_id AS source_url FROM ix""",
+    "e00_index_designs": f"""{_IX} SELECT {_SID} AS screen_id, CASE throughput WHEN 'Genome-Wide' THEN 'genome_wide' WHEN 'Focused' THEN 'targeted' WHEN 'tiling array' THEN 'saturation' WHEN 'small' THEN 'other' ELSE 'unknown' END AS screen_scale,
+      screen_format, experimental_setup, CASE lower(screen_type) WHEN 'positive selection' THEN 'positive_selection' WHEN 'negative selection' THEN 'negative_selection' WHEN 'positive/negative selection' THEN 'bidirectional_selection' ELSE CASE WHEN screen_type IS NULL THEN 'unknown' ELSE 'other' END END AS selection_strategy,
+      TRY_CAST(moi AS DOUBLE) AS library_moi, 'BioGRID ORCS {_RELEASE} screen index; SCREEN_ID=' || screen_id AS source_locator FROM ix""",
+    "e00_index_contrasts": f"""{_IX} SELECT {_SID} AS screen_id, {_SID} || ':contrast:reported' AS contrast_id, 'ORCS screen ' || screen_id AS contrast_name, coalesce(condition_name, 'unknown') AS treatment_name,
+      {_VALUE} AS treatment_dose, {_UNIT} AS treatment_unit, 'unknown' AS control_type, 'unknown' AS intended_direction FROM ix""",
+    "e00_index_maps": f"""{_IX} SELECT 'orcs:{_RELEASE}:external-screen:' || screen_id AS mapping_id, {_SID} AS screen_id, '{_RELEASE}' AS source_version, screen_id AS external_screen_id, 'source_record' AS relationship,
+      'https://orcs.thebiogrid.org/Screen/' || screen_id AS source_url, DATE '{_DAY}' AS retrieved_date FROM ix""",
     "u05_index_studies": f"""{_IX}, st AS (SELECT {_STUDY} AS study_id, CASE WHEN source_id IS NULL THEN 'BioGRID ORCS screen ' || screen_id ELSE 'BioGRID ORCS source ' || source_id END AS named, *, CAST(screen_id AS BIGINT) AS n FROM ix)
       SELECT study_id, coalesce(arg_min(coalesce(author, named), n), '') AS citation, coalesce(arg_min(coalesce(organism_official, 'unknown'), n), '') AS organism, arg_min(source_type, n) AS source_type, min(source_id) AS pubmed_id FROM st GROUP BY study_id""",
     "e05_rule_checks": f"{_CHECKS} SELECT * FROM checks",

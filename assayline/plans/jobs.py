@@ -59,7 +59,6 @@ def benchmark_job(spark: SparkSession, path: str, out: str, *, features: list[st
     table = read_table(spark, path)
     columns = features or model.PROFILES[profile]
     aligned = model.align_direction(table.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in ("median_guide_lfc", "mean_guide_lfc") if c in table.columns}))
-    model.check_candidates(aligned)
     scored, notes = model.out_of_fold(aligned, columns, **params)
     write_table(scored, out)
     metrics = {r["metric"]: r["value"] for r in model.evaluate(scored, ["screen_id", "contrast_id", "phenotype_direction"]).collect()}

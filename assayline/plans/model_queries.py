@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ranks import rounded
-from ..operators import design, extras, model
-from ..operators.counts import guide_effects
+from ..operators import design, evaluation as G, extras, model
+from ..operators.counts import gene_effects, guide_effects
+from ..operators.families import study_families
 from . import count_queries as CQ, demo_views as V, ranking_queries as RQ
 
 # Contrasts, screens, designs and samples over parts, suppliers and customers.
@@ -99,10 +100,69 @@ def m05_group_folds(spark, sf_dir):
 
 
 def m11_out_of_fold(spark, sf_dir):
-    scored, _ = model.out_of_fold(candidates(spark, sf_dir), _FEATURES, n_splits=2)
+    # Candidates have one of two directions.
+    rows = candidates(spark, sf_dir).withColumn("phenotype_direction", F.expr("case doc_id % 2 when 0 then 'resistance' else 'sensitization' end"))
+    scored, _ = model.out_of_fold(rows, _FEATURES, n_splits=2)
     return scored.select("gene_symbol", "group_used", "fold", "y", "score", "ipw_score")
 
 
+def j04_assembled(spark, sf_dir):
+    """Count features with their contrast's design features and their candidate's label."""
+    genes = gene_effects(guide_effects(CQ._logged(spark, sf_dir))).withColumn("study_id", F.expr("concat('N', substring(screen_id, 3))"))
+    designs = V.sheet(spark, sf_dir).groupBy("screen_id", "contrast_id").agg(F.count_if(F.col("condition_role") == "control").alias("control_sample_n"))
+    labels = V.table(spark, sf_dir, "part").selectExpr(
+        "concat('N', p_partkey % 4) as study_id", "concat('SC', p_partkey % 4) as screen_id", "concat('SC', p_partkey % 4, ':C', p_size % 2) as contrast_id",
+        "concat('GENE', p_partkey) as gene_symbol", "case when p_size > 25 then 'V2' else 'F0' end as label_code",
+    )
+    found = model.assemble_features(genes, designs, labels)
+    return found.select("screen_id", "contrast_id", "gene_symbol", "guide_n", "control_sample_n", "label_code")
+
+
+def d05_uplift(spark, sf_dir):
+    rows = V.scored(spark, sf_dir)
+    found = extras.uplift(rows, RQ._QUERY, "target", "score", {"length": F.col("n_chars"), "absolute_effect": F.abs(F.col("score") - 0.5)})
+    return found.select("baseline", "queries", *[rounded(c).alias(c) for c in ("score_ap", "baseline_ap", "uplift")])
+
+
+def d06_coverage(spark, sf_dir):
+    rows = candidates(spark, sf_dir)
+    found = extras.coverage(rows, rows.where("target is not null"), "demo", {"screen": ["score_feature"], "design": ["length_feature", "toxic"]})
+    return found.select("gene_symbol", "profile_name", rounded("metadata_completeness_fraction").alias("metadata_completeness_fraction"), "outside_support", "screen_available", "design_available")
+
+
+def d07_graded_ndcg(spark, sf_dir):
+    rows = V.scored(spark, sf_dir).withColumn("grade", F.expr("case when target is null then null when target = 1 and toxic = 1 then 3.0 when target = 1 then 2.0 else 0.0 end"))
+    found = extras.graded_ndcg(rows, RQ._QUERY, "grade", "score", ["gene_symbol"])
+    return found.select(*RQ._QUERY, rounded("ndcg").alias("ndcg"))
+
+
+def d07_failure_rate(spark, sf_dir):
+    found = extras.failure_rate(V.scored(spark, sf_dir), RQ._QUERY, "target", "score", ["gene_symbol"])
+    return found.select(*RQ._QUERY, rounded("failure_rate").alias("failure_rate"))
+
+
+def d08_screen_quality(spark, sf_dir):
+    part = V.table(spark, sf_dir, "part")
+    essential = part.where("p_size > 40").selectExpr("concat('GENE', p_partkey div 4) as gene_symbol")
+    controls = part.where("p_size <= 5").selectExpr("concat('G', p_partkey) as sgrna_id")
+    found = extras.screen_quality(guide_effects(CQ._logged(spark, sf_dir)), essential, controls)
+    return found.select("screen_id", "contrast_id", rounded("essential_gene_separation").alias("essential_gene_separation"), rounded("nontargeting_dispersion").alias("nontargeting_dispersion"))
+
+
+def d08_guide_flags(spark, sf_dir):
+    part = V.table(spark, sf_dir, "part")
+    guides = part.selectExpr("concat('G', p_partkey) as sgrna_id", "concat('GENE', p_partkey div 4) as gene_symbol")
+    notes = part.selectExpr("concat('G', p_partkey) as sgrna_id", "case when p_size % 3 <> 0 then p_size % 4 end as multi_target_count")
+    return extras.guide_flags(guides, notes, part.where("p_size > 40").selectExpr("concat('GENE', p_partkey div 4) as gene_symbol"))
+
+
+def d10_family_bootstrap(spark, sf_dir):
+    """Intervals of metrics over families of studies drawn with replacement."""
+    rows = candidates(spark, sf_dir)
+    families = study_families(rows.select("study_id", "source_family_id").distinct(), families=("source_family_id",))
+    return G.cluster_bootstrap(rows.join(families, "study_id"), "family_group", RQ._QUERY, tie=("gene_symbol",))
+
+
 def d01_leave_one_out(spark, sf_dir):
     return extras.leave_one_group_out(V.scored(spark, sf_dir), "study_id")
 
@@ -153,7 +213,8 @@ def d12_family_priority(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        a26_design_features, a27_artifact_context, p06_aligned_direction, p07_testing_target, m02_weighted_medians, m05_group_folds, m11_out_of_fold,
+        a26_design_features, a27_artifact_context, p06_aligned_direction, p07_testing_target, m02_weighted_medians, m05_group_folds, m11_out_of_fold, j04_assembled, d05_uplift, d06_coverage,
+        d07_graded_ndcg, d07_failure_rate, d08_screen_quality, d08_guide_flags, d10_family_bootstrap,
         d01_leave_one_out, d02_as_of, d03_recurrence, d04_calibration, d07_reciprocal_rank, d07_budget_curve, d09_count_gini, d09_leave_best_out, d11_panel,
         d12_family_priority,
     )
@@ -164,6 +225,18 @@ _Q = RQ._Q
 _COMPLETE = " + ".join([
     "CAST(library_moi IS NOT NULL AS INT)", "CAST(coverage_transduction IS NOT NULL AS INT)", "CAST(coverage_selection IS NOT NULL AS INT)", "CAST(c.control_type IS NOT NULL AS INT)",
 ])
+
+
+def _uplift_sql(name: str, value: str) -> str:
+    def ap(score: str) -> str:
+        return f"""SELECT {_Q}, sum(tp * ctp / cn) / nullif(sum(tp), 0) AS ap FROM (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn
+          FROM (SELECT {_Q}, {score} AS s, sum(target) AS tp, count(*)::DOUBLE AS n FROM r WHERE target IS NOT NULL GROUP BY ALL) WINDOW w AS (PARTITION BY {_Q} ORDER BY s DESC)) GROUP BY {_Q}"""
+
+    return f"""WITH {_SC}, r AS (SELECT sc.*, {value} AS base FROM sc JOIN documents d ON sc.gene_symbol = 'GENE' || d.doc_id),
+      mixed AS (SELECT {_Q} FROM r WHERE target IS NOT NULL GROUP BY {_Q} HAVING min(target) <> max(target)), a AS ({ap('score')}), b AS ({ap('base')})
+      SELECT '{name}' AS baseline, count(*) AS queries, round(avg(a.ap), 6) + 0.0 AS score_ap, round(avg(b.ap), 6) + 0.0 AS baseline_ap, round(avg(a.ap - b.ap), 6) + 0.0 AS uplift FROM mixed JOIN a USING ({_Q}) JOIN b USING ({_Q})"""
+
+
 SQL = {
     "a26_design_features": f"""WITH c AS (SELECT {', '.join(_CONTRAST)} FROM part), s AS (SELECT {', '.join(_SCREEN)} FROM supplier), d AS (SELECT {', '.join(_DESIGN)} FROM supplier),
 x AS (SELECT {', '.join(_SAMPLE)} FROM customer),
@@ -190,6 +263,25 @@ u AS (SELECT 'l_quantity' AS feature, l_quantity AS v, w FROM l UNION ALL SELECT
 s AS (SELECT feature, v, sum(w) AS w FROM u WHERE v IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, sum(w) OVER (PARTITION BY feature ORDER BY v) AS c, sum(w) OVER (PARTITION BY feature) AS t FROM s)
 SELECT feature, round(min(v), 6) + 0.0 AS median FROM c WHERE c >= t / 2 GROUP BY feature""",
+    "j04_assembled": f"""WITH {CQ._LONG}, d AS (SELECT screen_id, contrast_id, count(*) FILTER (condition_role = 'control') AS control_sample_n FROM sheet GROUP BY ALL)
+SELECT g.screen_id, g.contrast_id, g.gene_symbol, guide_n, control_sample_n, CASE WHEN p_size > 25 THEN 'V2' WHEN p_size IS NOT NULL THEN 'F0' END AS label_code
+FROM genes0 g LEFT JOIN d USING (screen_id, contrast_id) LEFT JOIN part p ON g.gene_symbol = 'GENE' || p_partkey AND g.contrast_id = 'SC' || (p_partkey % 4) || ':C' || (p_size % 2)""",
+    "d05_uplift": " UNION ALL ".join(f"SELECT * FROM ({_uplift_sql(name, value)})" for name, value in (("length", "n_chars::DOUBLE"), ("absolute_effect", "abs(score - 0.5)"))),
+    "d06_coverage": f"""WITH {_SC}, c AS (SELECT sc.*, d.doc_id, n_chars, toxic, CASE WHEN d.doc_id % 10 <> 0 THEN ln(n_chars + 1.0) END AS lf FROM sc JOIN documents d ON sc.gene_symbol = 'GENE' || d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id),
+t AS (SELECT min(score) AS s0, max(score) AS s1, min(lf) AS l0, max(lf) AS l1, min(toxic) AS t0, max(toxic) AS t1 FROM c WHERE target IS NOT NULL)
+SELECT gene_symbol, 'demo' AS profile_name, round((1 + CAST(lf IS NOT NULL AS INT) + CAST(toxic IS NOT NULL AS INT)) / 3.0::DOUBLE, 6) + 0.0 AS metadata_completeness_fraction,
+  CAST(coalesce(score < s0 OR score > s1, false) AS INT) + CAST(coalesce(lf < l0 OR lf > l1, false) AS INT) + CAST(coalesce(toxic < t0 OR toxic > t1, false) AS INT) AS outside_support,
+  true AS screen_available, lf IS NOT NULL OR toxic IS NOT NULL AS design_available FROM c, t""",
+    "d07_graded_ndcg": f"""WITH {_SC}, g AS (SELECT sc.*, CASE WHEN target = 1 AND toxic = 1 THEN 7.0::DOUBLE WHEN target = 1 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS gain FROM sc JOIN labels l ON sc.gene_symbol = 'GENE' || l.doc_id WHERE target IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY {_Q} ORDER BY score DESC, gene_symbol) AS a, row_number() OVER (PARTITION BY {_Q} ORDER BY gain DESC) AS b FROM g)
+SELECT {_Q}, round(sum(CASE WHEN a <= 10 THEN gain / log2(a + 1) ELSE 0 END) / sum(CASE WHEN b <= 10 THEN gain / log2(b + 1) ELSE 0 END), 6) + 0.0 AS ndcg FROM p GROUP BY {_Q} HAVING sum(gain) > 0""",
+    "d07_failure_rate": f"WITH {_SC}, p AS (SELECT *, row_number() OVER (PARTITION BY {_Q} ORDER BY score DESC, gene_symbol) AS n FROM sc WHERE target IS NOT NULL) SELECT {_Q}, round(avg(CAST(target = 0 AS DOUBLE)), 6) + 0.0 AS failure_rate FROM p WHERE n <= 10 GROUP BY {_Q}",
+    "d08_screen_quality": f"""WITH {CQ._LONG}, ess AS (SELECT DISTINCT 'GENE' || (p_partkey // 4) AS gene_symbol FROM part WHERE p_size > 40), con AS (SELECT DISTINCT 'G' || p_partkey AS sgrna_id FROM part WHERE p_size <= 5),
+m AS (SELECT g.*, e.gene_symbol IS NOT NULL AS e, c.sgrna_id IS NOT NULL AS c FROM guides g LEFT JOIN ess e ON e.gene_symbol = g.gene_symbol LEFT JOIN con c ON c.sgrna_id = g.sgrna_id)
+SELECT screen_id, contrast_id, round((avg(guide_lfc) FILTER (NOT e AND NOT c) - avg(guide_lfc) FILTER (e AND NOT c)) / sqrt((var_samp(guide_lfc) FILTER (e AND NOT c) + var_samp(guide_lfc) FILTER (NOT e AND NOT c)) / 2), 6) + 0.0 AS essential_gene_separation,
+  round(stddev_samp(guide_lfc) FILTER (c), 6) + 0.0 AS nontargeting_dispersion FROM m GROUP BY ALL""",
+    "d08_guide_flags": """WITH e AS (SELECT DISTINCT p_partkey // 4 AS g FROM part WHERE p_size > 40)
+SELECT 'G' || p_partkey AS sgrna_id, 'GENE' || (p_partkey // 4) AS gene_symbol, CASE WHEN p_size % 3 <> 0 THEN p_size % 4 > 0 END AS multi_target, e.g IS NOT NULL AS common_essential FROM part LEFT JOIN e ON e.g = p_partkey // 4""",
     "d01_leave_one_out": f"WITH {_SC} SELECT study_id, count(*) AS held_out, CAST((SELECT count(*) FROM sc WHERE study_id IS NOT NULL) - count(*) AS BIGINT) AS training FROM sc WHERE study_id IS NOT NULL GROUP BY study_id",
     "d02_as_of": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01') WHERE n = 1",
     "d03_recurrence": f"""WITH {RQ._EVENTS}, per AS (SELECT gene_symbol, label_code, max(phenotype_direction) AS d FROM ev WHERE gene_symbol IS NOT NULL GROUP BY ALL)

@@ -61,6 +61,21 @@ _VIEWS = {
         "cast(event_id as bigint) as row_number",
     ]),
 }
+_VIEWS |= {
+    "guide_annotation": ("part", [
+        "case when p_partkey % 21 = 0 then null when p_partkey % 17 = 0 then 'LX' else concat('L', p_partkey % 5) end as library_id",
+        "cast(p_partkey + 1 as bigint) as row_number",
+    ]),
+    "external_screen_map": ("supplier", ["concat('S', s_suppkey + case when s_suppkey % 15 = 0 then 90000 else 0 end) as screen_id", "cast(s_suppkey + 1 as bigint) as row_number"]),
+    "design_provenance": ("orders", [
+        "case when o_orderkey % 6 = 0 then null else concat('N', o_custkey % 27) end as study_id",
+        "case when o_orderkey % 5 = 0 then null else concat('S', o_custkey % 110) end as screen_id",
+        "concat('C', o_orderkey % 4) as contrast_id", "cast(o_orderkey as bigint) as row_number",
+    ]),
+    "gene_score": ("lineitem", [
+        "concat('S', l_suppkey) as screen_id", "concat('C', l_linenumber % 4) as contrast_id", "cast(l_orderkey * 10 + l_linenumber as bigint) as row_number",
+    ]),
+}
 _RULE_TEXT = ", ".join(f"'{r}'" for r in registry.BENCHMARK_RULES)
 _N_RULES = len(registry.BENCHMARK_RULES)
 # Lines of an order are checks of an intake: a line's rule, outcome and flags follow from its numbers.
@@ -122,6 +137,19 @@ def r19_candidates(spark, sf_dir):
     return registry.check_candidates(view(spark, sf_dir, "candidate"), view(spark, sf_dir, "validation_event"))
 
 
+def r03_library_of_guides(spark, sf_dir):
+    return registry.unknown_keys(view(spark, sf_dir, "guide_annotation"), "guide_annotation", view(spark, sf_dir, "library"), ["library_id"])
+
+
+def r23_provenance(spark, sf_dir):
+    rows = view(spark, sf_dir, "design_provenance")
+    found = [
+        registry.unknown_keys(rows, "design_provenance", view(spark, sf_dir, parent), keys, nulls_ok=True)
+        for parent, keys in (("study", ["study_id"]), ("screen", ["screen_id"]), ("contrast", ["screen_id", "contrast_id"]))
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def r22_contrast_pairs(spark, sf_dir):
     return registry.unknown_keys(view(spark, sf_dir, "sample"), "sample", view(spark, sf_dir, "contrast"), ["screen_id", "contrast_id"], nulls_ok=True)
 
@@ -136,8 +164,7 @@ def r24_data_assets(spark, sf_dir):
 
 def r00_registry(spark, sf_dir):
     """All checks together: errors by table and kind."""
-    names = ("study", "screen", "library", "contrast", "sample", "screen_design", "data_asset", "evidence")
-    found = registry.registry_errors({n: view(spark, sf_dir, n) for n in names})
+    found = registry.registry_errors({n: view(spark, sf_dir, n) for n in _VIEWS})
     return found.groupBy("table", "error").agg(F.count("*").alias("n"), F.sum("row_number").alias("rows_sum"))
 
 
@@ -189,7 +216,7 @@ def v04_event_rules(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        r00_registry, r01_study_of_screen, r02_library_of_screen, r04_screen_of_contrast, r05_intake_fields, r06_policy, r14_parent_screen, r15_study_links,
+        r00_registry, r01_study_of_screen, r02_library_of_screen, r03_library_of_guides, r23_provenance, r04_screen_of_contrast, r05_intake_fields, r06_policy, r14_parent_screen, r15_study_links,
         r18_evidence_dates, r19_candidates, r22_contrast_pairs, r24_data_assets, v01_sample_errors, v01_sample_valid, v04_event_rules,
     )
 }
@@ -212,9 +239,40 @@ _DATES = """SELECT 'evidence' AS "table", row_number, 'retrieved_before_availabl
 _ASSETS = f"{_anti('data_asset', 'study', 'study_id', nulls_ok=True)} UNION ALL {_anti('data_asset', 'screen', 'screen_id', nulls_ok=True)}"
 _PARENT = _anti("screen_design", "screen", "parent_screen_id", "screen_id", nulls_ok=True)
 _PAIRS = _anti("sample", "contrast", "screen_id, contrast_id", nulls_ok=True)
+_PROVENANCE = " UNION ALL ".join(
+    _anti("design_provenance", parent, keys, nulls_ok=True) for parent, keys in (("study", "study_id"), ("screen", "screen_id"), ("contrast", "screen_id, contrast_id"))
+)
+_SCORED = ("gene_score", "candidate", "validation_event")
+_INTAKE = """SELECT 'screen_intake' AS "table", row_number, 'index_stage_ready' AS error FROM screen_intake WHERE assessment_stage = 'index' AND (benchmark_ready OR status = 'benchmark_ready')
+UNION ALL SELECT 'screen_intake', row_number, 'ready_flag_differs' FROM screen_intake WHERE benchmark_ready <> (status = 'benchmark_ready')
+UNION ALL SELECT 'screen_intake', row_number, 'excluded_candidate' FROM screen_intake WHERE status = 'exclude' AND candidate_for_full_curation"""
+_POLICY_TABLES = f"""rules AS (SELECT unnest([{_RULE_TEXT}]) AS rule_id),
+linked AS (SELECT c.*, i.row_number AS i_row, i.screen_id AS i_screen, i.assessment_stage AS i_stage, i.policy_version, i.status FROM eligibility_check c JOIN screen_intake i USING (intake_id)),
+matched AS (SELECT * FROM linked WHERE screen_id = i_screen AND assessment_stage = i_stage AND policy_version = 2),
+per AS (SELECT intake_id, rule_id, count(*) AS n, min(row_number) AS r, min(outcome) AS outcome FROM matched GROUP BY ALL),
+seen AS (
+  SELECT i.intake_id, i.row_number, i.status, count(*) FILTER (p.outcome IS NULL) AS absent, count(*) FILTER (p.outcome <> 'pass') AS open_,
+    count(*) FILTER (p.outcome = 'fail' AND rule_id LIKE 'scope.%') AS failed
+  FROM screen_intake i CROSS JOIN rules LEFT JOIN (SELECT * FROM per WHERE n = 1) p USING (intake_id, rule_id) WHERE i.policy_version = 2 GROUP BY ALL)"""
+_POLICY = f"""{_anti('eligibility_check', 'screen_intake', 'intake_id')}
+UNION ALL SELECT 'eligibility_check', row_number, 'screen_differs_from_intake' FROM linked WHERE screen_id <> i_screen
+UNION ALL SELECT 'eligibility_check', row_number, 'stage_differs_from_intake' FROM linked WHERE assessment_stage <> i_stage
+UNION ALL SELECT 'screen_intake', row_number, 'unsupported_policy' FROM screen_intake WHERE policy_version <> 2
+UNION ALL SELECT 'eligibility_check', row_number, 'required_for_scope_differs_from_policy' FROM matched WHERE required_for_scope <> (rule_id LIKE 'scope.%')
+UNION ALL SELECT 'eligibility_check', row_number, 'required_for_benchmark_differs_from_policy' FROM matched WHERE NOT required_for_benchmark
+UNION ALL SELECT 'eligibility_check', min(r), 'repeated_rules:' || string_agg(rule_id, '|' ORDER BY rule_id) FROM per WHERE n > 1 GROUP BY intake_id
+UNION ALL SELECT 'screen_intake', row_number, 'ready_without_every_rule' FROM seen WHERE status = 'benchmark_ready' AND absent > 0
+UNION ALL SELECT 'screen_intake', row_number, 'ready_with_unpassed_rule' FROM seen WHERE status = 'benchmark_ready' AND open_ > 0
+UNION ALL SELECT 'screen_intake', row_number, 'failed_scope_not_excluded' FROM seen WHERE failed > 0 AND status <> 'exclude'
+UNION ALL SELECT 'screen_intake', row_number, 'excluded_without_failed_scope' FROM seen WHERE status = 'exclude' AND failed = 0"""
 _RESOLVE = """CASE WHEN bool_or(label_code IN ('V2', 'V3')) AND bool_or(label_code IN ('F0', 'D')) THEN 'A' WHEN bool_or(label_code = 'V3') THEN 'V3'
   WHEN bool_or(label_code = 'V2') THEN 'V2' WHEN bool_or(label_code = 'F0') THEN 'F0' WHEN bool_or(label_code = 'V1') THEN 'V1' ELSE 'T' END"""
 _K = "screen_id, contrast_id, gene_symbol, phenotype_direction"
+_EVENT_TABLE = f"""ev AS (SELECT {_K}, {_RESOLVE} AS due, min(row_number) AS r FROM validation_event WHERE gene_symbol IS NOT NULL GROUP BY {_K})"""
+_CANDIDATES = """SELECT 'validation_event' AS "table", r AS row_number, 'event_without_candidate' AS error FROM ev WHERE NOT EXISTS (
+  SELECT 1 FROM candidate c WHERE c.screen_id = ev.screen_id AND c.contrast_id = ev.contrast_id AND c.gene_symbol = ev.gene_symbol AND c.phenotype_direction = ev.phenotype_direction)
+UNION ALL SELECT 'candidate', row_number, 'label_differs_from_events' FROM candidate JOIN ev USING (screen_id, contrast_id, gene_symbol, phenotype_direction) WHERE label_code <> due
+UNION ALL SELECT 'candidate', row_number, 'candidate_without_event' FROM candidate LEFT JOIN ev USING (screen_id, contrast_id, gene_symbol, phenotype_direction) WHERE label_code <> 'U' AND due IS NULL"""
 _NUMBER = r"'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'"
 
 
@@ -256,43 +314,23 @@ SQL = {
     "r01_study_of_screen": f"{_cte('screen', 'study')} {_anti('screen', 'study', 'study_id')}",
     "r02_library_of_screen": f"{_cte('screen', 'library')} {_anti('screen', 'library', 'library_id', nulls_ok=True)}",
     "r04_screen_of_contrast": f"{_cte('screen', 'contrast')} {_anti('contrast', 'screen', 'screen_id')}",
-    "r05_intake_fields": f"""{_cte('screen_intake')}
-SELECT 'screen_intake' AS "table", row_number, 'index_stage_ready' AS error FROM screen_intake WHERE assessment_stage = 'index' AND (benchmark_ready OR status = 'benchmark_ready')
-UNION ALL SELECT 'screen_intake', row_number, 'ready_flag_differs' FROM screen_intake WHERE benchmark_ready <> (status = 'benchmark_ready')
-UNION ALL SELECT 'screen_intake', row_number, 'excluded_candidate' FROM screen_intake WHERE status = 'exclude' AND candidate_for_full_curation""",
-    "r06_policy": f"""{_cte('screen_intake', 'eligibility_check')}, rules AS (SELECT unnest([{_RULE_TEXT}]) AS rule_id),
-linked AS (SELECT c.*, i.row_number AS i_row, i.screen_id AS i_screen, i.assessment_stage AS i_stage, i.policy_version, i.status FROM eligibility_check c JOIN screen_intake i USING (intake_id)),
-matched AS (SELECT * FROM linked WHERE screen_id = i_screen AND assessment_stage = i_stage AND policy_version = 2),
-per AS (SELECT intake_id, rule_id, count(*) AS n, min(row_number) AS r, min(outcome) AS outcome FROM matched GROUP BY ALL),
-seen AS (
-  SELECT i.intake_id, i.row_number, i.status, count(*) FILTER (p.outcome IS NULL) AS absent, count(*) FILTER (p.outcome <> 'pass') AS open_,
-    count(*) FILTER (p.outcome = 'fail' AND rule_id LIKE 'scope.%') AS failed
-  FROM screen_intake i CROSS JOIN rules LEFT JOIN (SELECT * FROM per WHERE n = 1) p USING (intake_id, rule_id) WHERE i.policy_version = 2 GROUP BY ALL)
-{_anti('eligibility_check', 'screen_intake', 'intake_id')}
-UNION ALL SELECT 'eligibility_check', row_number, 'screen_differs_from_intake' FROM linked WHERE screen_id <> i_screen
-UNION ALL SELECT 'eligibility_check', row_number, 'stage_differs_from_intake' FROM linked WHERE assessment_stage <> i_stage
-UNION ALL SELECT 'screen_intake', row_number, 'unsupported_policy' FROM screen_intake WHERE policy_version <> 2
-UNION ALL SELECT 'eligibility_check', row_number, 'required_for_scope_differs_from_policy' FROM matched WHERE required_for_scope <> (rule_id LIKE 'scope.%')
-UNION ALL SELECT 'eligibility_check', row_number, 'required_for_benchmark_differs_from_policy' FROM matched WHERE NOT required_for_benchmark
-UNION ALL SELECT 'eligibility_check', min(r), 'repeated_rules:' || string_agg(rule_id, '|' ORDER BY rule_id) FROM per WHERE n > 1 GROUP BY intake_id
-UNION ALL SELECT 'screen_intake', row_number, 'ready_without_every_rule' FROM seen WHERE status = 'benchmark_ready' AND absent > 0
-UNION ALL SELECT 'screen_intake', row_number, 'ready_with_unpassed_rule' FROM seen WHERE status = 'benchmark_ready' AND open_ > 0
-UNION ALL SELECT 'screen_intake', row_number, 'failed_scope_not_excluded' FROM seen WHERE failed > 0 AND status <> 'exclude'
-UNION ALL SELECT 'screen_intake', row_number, 'excluded_without_failed_scope' FROM seen WHERE status = 'exclude' AND failed = 0""",
+    "r03_library_of_guides": f"{_cte('guide_annotation', 'library')} {_anti('guide_annotation', 'library', 'library_id')}",
+    "r23_provenance": f"{_cte('design_provenance', 'study', 'screen', 'contrast')} {_PROVENANCE}",
+    "r05_intake_fields": f"{_cte('screen_intake')} {_INTAKE}",
+    "r06_policy": f"{_cte('screen_intake', 'eligibility_check')}, {_POLICY_TABLES} {_POLICY}",
     "r14_parent_screen": f"{_cte('screen', 'screen_design')} {_PARENT}",
     "r15_study_links": f"{_cte('sample', 'study', 'screen')} {_LINKS}",
     "r18_evidence_dates": f"{_cte('evidence')} {_DATES}",
-    "r19_candidates": f"""{_cte('candidate', 'validation_event')},
-ev AS (SELECT {_K}, {_RESOLVE} AS due, min(row_number) AS r FROM validation_event WHERE gene_symbol IS NOT NULL GROUP BY {_K})
-SELECT 'validation_event' AS "table", r AS row_number, 'event_without_candidate' AS error FROM ev WHERE NOT EXISTS (
-  SELECT 1 FROM candidate c WHERE c.screen_id = ev.screen_id AND c.contrast_id = ev.contrast_id AND c.gene_symbol = ev.gene_symbol AND c.phenotype_direction = ev.phenotype_direction)
-UNION ALL SELECT 'candidate', row_number, 'label_differs_from_events' FROM candidate JOIN ev USING ({_K}) WHERE label_code <> due
-UNION ALL SELECT 'candidate', row_number, 'candidate_without_event' FROM candidate LEFT JOIN ev USING ({_K}) WHERE label_code <> 'U' AND due IS NULL""",
+    "r19_candidates": f"{_cte('candidate', 'validation_event')}, {_EVENT_TABLE} {_CANDIDATES}",
     "r22_contrast_pairs": f"{_cte('sample', 'contrast')} {_PAIRS}",
     "r24_data_assets": f"{_cte('data_asset', 'study', 'screen')} {_ASSETS}",
-    "r00_registry": f"""{_cte('study', 'screen', 'library', 'contrast', 'sample', 'screen_design', 'data_asset', 'evidence')}, every AS (
-  {_anti('screen', 'study', 'study_id')} UNION ALL {_anti('screen', 'library', 'library_id', nulls_ok=True)} UNION ALL {_anti('screen_design', 'screen', 'screen_id')}
-  UNION ALL {_anti('contrast', 'screen', 'screen_id')} UNION ALL {_PARENT} UNION ALL {_LINKS} UNION ALL {_PAIRS} UNION ALL {_DATES} UNION ALL {_ASSETS})
+    "r00_registry": f"""{_cte(*_VIEWS)}, {_POLICY_TABLES}, {_EVENT_TABLE}, every AS (
+  {_anti('screen', 'study', 'study_id')} UNION ALL {_anti('screen', 'library', 'library_id', nulls_ok=True)} UNION ALL {_anti('guide_annotation', 'library', 'library_id')}
+  UNION ALL {' UNION ALL '.join(_anti(t, 'screen', 'screen_id') for t in ('screen_design', 'contrast', 'external_screen_map', 'screen_intake', 'eligibility_check'))}
+  UNION ALL {_INTAKE} UNION ALL {_POLICY} UNION ALL {_PARENT} UNION ALL {_LINKS} UNION ALL {_PAIRS} UNION ALL {_DATES} UNION ALL {_ASSETS}
+  UNION ALL {' UNION ALL '.join(_anti(t, 'screen', 'screen_id', nulls_ok=True) for t in _SCORED)}
+  UNION ALL {' UNION ALL '.join(_anti(t, 'contrast', 'screen_id, contrast_id', nulls_ok=True) for t in _SCORED)}
+  UNION ALL {_CANDIDATES} UNION ALL {_PROVENANCE})
 SELECT "table", error, count(*) AS n, CAST(sum(row_number) AS BIGINT) AS rows_sum FROM every GROUP BY ALL""",
     "v01_sample_errors": f"{_SAMPLE_SQL} SELECT * FROM wrong UNION ALL SELECT * FROM broken UNION ALL SELECT row_number, 'duplicate_key' FROM good WHERE same > 1",
     "v01_sample_valid": f"{_SAMPLE_SQL} SELECT sample_id, screen_id, contrast AS contrast_id, condition_role, CAST(rep AS BIGINT) AS replicate, days AS timepoint_days, dose AS treatment_dose, treatment_unit, 'unknown' AS replicate_unit FROM good WHERE same = 1",
