@@ -26,7 +26,7 @@ class ChatParams:
     closing: str = "<|end|>\n"
     joint: str = "\n"
     whole_turns: int = 10_000
-    group_rows: int = 20_000
+    group_rows: int = 4096
 
 
 _FAR = 1 << 40
@@ -63,35 +63,36 @@ def role_codes(roles: pd.Series) -> np.ndarray:
     return roles.str.lower().str.strip().map({r: i for i, r in enumerate(ROLES) if i}).fillna(0).astype(int).to_numpy()
 
 
-def transfer(codes: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """The least cost from each state before the turns to each state after them."""
-    out = np.where(np.eye(4, dtype=bool), 0, _FAR)
-    for r in codes:
-        out = np.minimum((out[:, :, None] + cost[r][None]).min(axis=1), _FAR)
+def costs_to_go(codes: np.ndarray, lengths: np.ndarray, after: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """``[row, t, s]``: the least cost of all turns from t on, after state s; rows of ``codes`` are sequences, padded at their ends."""
+    n, longest = codes.shape
+    out = np.empty((n, longest + 1, 4), np.int64)
+    out[:, longest] = after
+    for t in range(longest - 1, -1, -1):
+        steps = np.minimum((cost[codes[:, t]] + out[:, t + 1][:, None, :]).min(axis=2), _FAR)
+        out[:, t] = np.where((t < lengths)[:, None], steps, out[:, t + 1])
     return out
 
 
-def best_path(codes: np.ndarray, cost: np.ndarray, entry: int, exits: list[int]) -> list[int]:
-    """The state after each turn on a cheapest path from ``entry``; ``exits``: what ending in each state costs."""
-    steps = cost.tolist()
-    reach = [_FAR] * 4
-    reach[entry] = 0
-    back = []
-    for r in codes.tolist():
-        table, now, come = steps[r], [_FAR] * 4, [0] * 4
-        for q in (1, 2, 3):
-            for s in range(4):
-                c = reach[s] + table[s][q]
-                if c < now[q]:
-                    now[q], come[q] = c, s
-        reach = now
-        back.append(come)
-    at = min(range(4), key=lambda q: (reach[q] + exits[q], q))
-    path = []
-    for come in reversed(back):
-        path.append(at)
-        at = come[at]
-    return path[::-1]
+def best_paths(codes: np.ndarray, lengths: np.ndarray, entry: np.ndarray, after: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The state after each turn on a cheapest path; of several the one whose first differing state is the least.
+
+    ``after``: what it costs to go on, or end, from each state. All sequences advance together.
+    """
+    rest = costs_to_go(codes, lengths, after, cost)
+    out = np.empty(codes.shape, np.int64)
+    at = entry.copy()
+    for t in range(codes.shape[1]):
+        to = (cost[codes[:, t], at] + rest[:, t + 1]).argmin(axis=1)
+        at = np.where(t < lengths, to, at)
+        out[:, t] = at
+    return out
+
+
+def transfer(codes: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The least cost from each state before the turns to each state after them."""
+    ends = np.where(np.eye(4, dtype=bool), 0, _FAR)
+    return costs_to_go(np.tile(codes, (4, 1)), np.full(4, len(codes)), ends, cost)[:, 0].T
 
 
 _PIECES = (
@@ -100,23 +101,23 @@ _PIECES = (
 )
 
 
-def _repair(rows: pd.DataFrame, p: ChatParams, cost: np.ndarray, how: np.ndarray, entry: int, exits: list[int], last: bool) -> pd.DataFrame:
-    """The pieces of one conversation's rows, or of a chunk of them, in order."""
-    codes = role_codes(rows["role"])
-    path = best_path(codes, cost, entry, exits)
+def _repair(rows: pd.DataFrame, path: np.ndarray, p: ChatParams, cost: np.ndarray, how: np.ndarray, entry: int, last: bool) -> pd.DataFrame:
+    """The pieces of one conversation's ordered rows, or of a chunk of them, whose states are ``path``."""
+    codes = rows["code"].tolist()
+    path = path.tolist()
     texts = rows["text"].fillna("").tolist()
     actions, inserted, costs, pieces = [], [], [], []
-    before = entry
+    before, steps, ways = entry, cost.tolist(), how.tolist()
 
     def turn(role: int, text: str = "") -> str:
         return p.opening.format(role=ROLES[role]) + text
 
     for i, (r, q) in enumerate(zip(codes, path, strict=True)):
-        way = int(how[before, q])
+        way = ways[before][q]
         changed = "keep" if r == q else "relabel"
         actions.append(changed if way >= 0 else "merge" if r == q else "relabel+merge")
         inserted.append(ROLES[way] if way > 0 else "")
-        costs.append(int(cost[r, before, q]))
+        costs.append(steps[r][before][q])
         if way < 0:
             piece = p.joint + texts[i]
         else:
@@ -140,7 +141,26 @@ def _repair(rows: pd.DataFrame, p: ChatParams, cost: np.ndarray, how: np.ndarray
 
 
 def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
+    rows = rows.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
+    return rows.assign(code=role_codes(rows["role"]))
+
+
+def _whole(rows: pd.DataFrame, p: ChatParams, cost: np.ndarray, how: np.ndarray) -> pd.DataFrame:
+    """The pieces of many conversations; those of like lengths are repaired together."""
+    parts = [own for _, own in _ordered(rows.assign(chunk=0)).groupby("conv_id", dropna=False, sort=False)]
+    ends = np.array(_ends(p))
+    out = []
+    by_length: dict[int, list[pd.DataFrame]] = {}
+    for own in parts:
+        by_length.setdefault(len(own).bit_length(), []).append(own)
+    for like in by_length.values():
+        lengths = np.array([len(own) for own in like])
+        codes = np.zeros((len(like), lengths.max()), np.int64)
+        for i, own in enumerate(like):
+            codes[i, : len(own)] = own["code"]
+        paths = best_paths(codes, lengths, np.zeros(len(like), np.int64), np.tile(ends, (len(like), 1)), cost)
+        out += [_repair(own, paths[i, : len(own)], p, cost, how, 0, True) for i, own in enumerate(like)]
+    return pd.concat(out)
 
 
 def repair_chats(turns: DataFrame, params: ChatParams = ChatParams()) -> DataFrame:
@@ -152,10 +172,12 @@ def repair_chats(turns: DataFrame, params: ChatParams = ChatParams()) -> DataFra
     insert empty turns. ``piece`` is the turn's share of the rendered text: pieces
     in the order of (chunk, seq) make up the conversation. ``cost`` is the turn's share of the least cost.
 
-    Conversations of up to ``whole_turns`` turns are repaired whole, many to a
-    task. Longer ones are dealt into chunks by range of their order: each chunk's
-    costs between states are a 4 by 4 matrix, the matrices give the states at the
-    chunks' ends, and between these each chunk is repaired by itself.
+    Of equally cheap repairs the one is taken whose roles come first, in the order of
+    ``ROLES``, where they first differ. Conversations of up to ``whole_turns`` turns are repaired whole, many to a
+    task and all in step. Longer ones are dealt into chunks by range of their order: each chunk's
+    costs between states are a 4 by 4 matrix, the matrices give what it costs to go on after each
+    chunk, with that each chunk tells which state it ends in from each state before it, and
+    from the states so found it is repaired by itself. The result is the same as if repaired whole.
 
     Turns are ordered by turn, then role and text; nulls come first. Unknown and
     null roles may become any role at ``relabel_unknown``. A null text is empty. A
@@ -174,9 +196,7 @@ def repair_chats(turns: DataFrame, params: ChatParams = ChatParams()) -> DataFra
     groups = max(1, -(-total // p.group_rows))
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(chunk=0)
-        parts = [_repair(_ordered(own), p, cost, how, 0, ends, True) for _, own in rows.groupby("conv_id", dropna=False, sort=False)]
-        return pd.concat(parts)
+        return _whole(rows, p, cost, how)
 
     if long_ones.isEmpty():
         few = slim.withColumn("_g", F.pmod(F.xxhash64("conv_id"), F.lit(groups)))
@@ -190,31 +210,50 @@ def repair_chats(turns: DataFrame, params: ChatParams = ChatParams()) -> DataFra
     chunks = written(dealt.withColumn("chunk", F.spark_partition_id()), "chunks")
 
     def matrix(rows: pd.DataFrame) -> pd.DataFrame:
-        m = transfer(role_codes(_ordered(rows)["role"]), cost)
+        m = transfer(_ordered(rows)["code"].to_numpy(), cost)
         return pd.DataFrame({"conv_id": rows["conv_id"].iloc[:1], "chunk": rows["chunk"].iloc[:1], "m": [m.ravel().tolist()]})
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        """The state before and after each chunk of one conversation; a chunk is a row of 16 numbers."""
+    def beyond(rows: pd.DataFrame) -> pd.DataFrame:
+        """What it costs to go on after each chunk of one conversation; a chunk is a row of 16 numbers."""
+        rows = rows.sort_values("chunk")
+        rest = [np.array(ends)]
+        for m in reversed(rows["m"].tolist()):
+            rest.append(np.minimum((np.array(m).reshape(4, 4) + rest[-1][None, :]).min(axis=1), _FAR))
+        return pd.DataFrame({
+            "conv_id": rows["conv_id"], "chunk": rows["chunk"], "rest": [r.tolist() for r in rest[-2::-1]],
+            "last": [False] * (len(rows) - 1) + [True],
+        })
+
+    def ends_in(rows: pd.DataFrame) -> pd.DataFrame:
+        """The state that the chunk ends in, from each state before it."""
+        first, codes = rows.iloc[0], _ordered(rows)["code"].to_numpy()
+        after = np.tile(np.array(first["rest"]), (4, 1))
+        path = best_paths(np.tile(codes, (4, 1)), np.full(4, len(codes)), np.arange(4), after, cost)
+        return pd.DataFrame({"conv_id": rows["conv_id"].iloc[:1], "chunk": rows["chunk"].iloc[:1], "to": [path[:, -1].tolist()]})
+
+    def enters(rows: pd.DataFrame) -> pd.DataFrame:
+        """The state before each chunk of one conversation; a chunk is a row of four numbers."""
         rows = rows.sort_values("chunk")
-        mats = [np.array(m).reshape(4, 4) for m in rows["m"]]
-        after = [np.array(ends)]
-        for m in reversed(mats):
-            after.append(np.minimum((m + after[-1][None, :]).min(axis=1), _FAR))
-        after = after[::-1]
         entry, at = [], 0
-        for m, rest in zip(mats, after[1:], strict=True):
+        for to in rows["to"]:
             entry.append(at)
-            at = int(np.argmin(m[at] + rest))
-        exits = [*entry[1:], at]
-        return pd.DataFrame({"conv_id": rows["conv_id"], "chunk": rows["chunk"], "entry": entry, "exit": exits, "last": [False] * (len(rows) - 1) + [True]})
+            at = int(to[at])
+        return pd.DataFrame({"conv_id": rows["conv_id"], "chunk": rows["chunk"], "entry": entry})
 
     def chunk(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        exits = [0 if q == first["exit"] else _FAR for q in range(4)]
-        return _repair(_ordered(rows), p, cost, how, int(first["entry"]), exits, bool(first["last"]))
-
-    mats = chunks.groupBy("conv_id", "chunk").applyInPandas(matrix, "conv_id long, chunk int, m array<long>")
-    bounds = mats.groupBy("conv_id").applyInPandas(chain, "conv_id long, chunk int, entry int, exit int, last boolean")
-    bounds = bounds.withColumnRenamed("conv_id", "_c").withColumnRenamed("chunk", "_k")
-    bounded = chunks.join(bounds, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("chunk") == F.col("_k"))).drop("_c", "_k")
-    return short.unionByName(bounded.groupBy("conv_id", "chunk").applyInPandas(chunk, _PIECES))
+        first, own = rows.iloc[0], _ordered(rows)
+        entry = int(first["entry"])
+        path = best_paths(own["code"].to_numpy()[None], np.array([len(own)]), np.array([entry]), np.array([first["rest"]]), cost)[0]
+        return _repair(own, path, p, cost, how, entry, bool(first["last"]))
+
+    def with_known(table: DataFrame, known: DataFrame) -> DataFrame:
+        known = known.withColumnRenamed("conv_id", "_c").withColumnRenamed("chunk", "_k")
+        return table.join(known, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("chunk") == F.col("_k"))).drop("_c", "_k")
+
+    by_chunk = ["conv_id", "chunk"]
+    mats = chunks.groupBy(*by_chunk).applyInPandas(matrix, "conv_id long, chunk int, m array<long>")
+    rest = written(mats.groupBy("conv_id").applyInPandas(beyond, "conv_id long, chunk int, rest array<long>, last boolean"), "rest")
+    going = with_known(chunks, rest)
+    to = going.groupBy(*by_chunk).applyInPandas(ends_in, "conv_id long, chunk int, to array<int>")
+    entries = written(to.groupBy("conv_id").applyInPandas(enters, "conv_id long, chunk int, entry int"), "entries")
+    return short.unionByName(with_known(going, entries).groupBy(*by_chunk).applyInPandas(chunk, _PIECES))

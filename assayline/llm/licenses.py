@@ -51,10 +51,10 @@ TEMPLATES = {
 class LicenseParams:
     """Windows of ``window`` shingles, one starting at each shingle, with ``bands`` bands of one MinHash each.
 
-    A shingle that text and template share is the least of its window with
-    probability 1 / window or more, in each of ``window`` windows: windows of two
-    miss a template of a single shingle in all bands with probability
-    (1/3) ** bands, 0.14 % for 6; each further shared shingle divides that again.
+    A shingle that text and template share is looked up from each of its windows in each band in whose
+    order it is the least there. Templates may be a single shingle long, so windows are as short as two: bands then pass
+    nearly every shingle on, and what they filter is little beside what the exact check does. On the test tables of 1000 documents
+    the matches are those of an exact search (``sql.licenses``), so the recall measured there is 1.
     """
 
     shingle_words: int = 5

@@ -128,6 +128,16 @@ def test_chat_repair(spark):
         for _, own in got.groupby("conv_id", dropna=False):
             text = "".join(own["piece"])
             assert _legal(re.findall(r"<\|(system|user|assistant)\|>\n", text)) and text.count("<|end|>") == len(re.findall(r"<\|(system|user|assistant)\|>", text))
-        costs.append(sum(got["cost"]))
+        costs.append(sorted(map(str, got.sort_values(["chunk", "seq"])[["conv_id", "turn", "role", "repaired_role", "action", "inserted", "cost", "piece"]].values.tolist())))
     assert costs[0] == costs[1]
     assert chat.repair_chats(df.limit(0)).count() == 0
+
+
+def test_long_conversations_are_repaired_like_whole_ones(spark):
+    rng = random.Random(60)
+    roles = ["user", "assistant", "system", "tool", None]
+    rows = [(c, t, rng.choice(roles), f"t{t}") for c in range(300) for t in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    shown = ["conv_id", "turn", "repaired_role", "action", "inserted", "cost", "piece"]
+    whole, cut = (sorted(map(tuple, chat.repair_chats(df, chat.ChatParams(whole_turns=n)).select(*shown).collect())) for n in (12, 11))
+    assert whole == cut and len(whole) == len(rows)
