@@ -94,17 +94,27 @@ class _Names:
     fill: str
     named: str
     key: str
+    shift: str
+
+
+def _is_long(rest: Column) -> Column:
+    return F.col("size") * 16 > rest
 
 
 def _fillers(narrow: DataFrame, n: _Names, send, p: MixParams) -> DataFrame:
-    """``(source, fill)``: of each source, the row past the last that fits whose size best fills what is left."""
+    """``(source, shift, fill)``: of each source, the words of long rows that don't fit, and the row past the last
+    that fits whose size best fills what is left."""
     placed = written(running_start(narrow, [n.source], n.r, [n.key], "size", n.pos, p.cells), "positions")
-    fits = F.col(n.pos) + F.col("size") <= F.col(n.rest)
-    gaps = placed.groupBy(n.source).agg((F.first(n.rest) - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("gap"))
-    off = F.abs(F.col("gap") - F.col("size"))
-    past = placed.where(~fits & (F.col("size") > 0)).join(send(gaps), n.source).where(off < F.col("gap"))
+    size, end, rest = F.col("size"), F.col(n.pos) + F.col("size"), F.col(n.rest)
+    long_ = _is_long(rest)
+    shifts = placed.groupBy(n.source).agg(F.coalesce(F.sum(F.when(long_ & (end > rest), size)), F.lit(0)).alias(n.shift))
+    shifted = placed.join(send(shifts), n.source)
+    fits = F.when(long_, end).otherwise(end - F.col(n.shift)) <= rest
+    gaps = shifted.groupBy(n.source).agg((F.first(n.rest) - F.coalesce(F.sum(F.when(fits, size)), F.lit(0))).alias("gap"))
+    off = F.abs(F.col("gap") - size)
+    past = shifted.where(~fits & (size > 0)).join(send(gaps), n.source).where(off < F.col("gap"))
     best = past.groupBy(n.source).agg(F.min(F.struct(off.alias("off"), F.col(n.r).alias("r"))).alias("best"))
-    return best.select(n.source, F.col("best.r").alias(n.fill))
+    return shifts.join(best, n.source, "left").select(n.source, n.shift, F.col("best.r").alias(n.fill))
 
 
 def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -114,7 +124,7 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     whole passes as the target holds, then rows from the front of the permutation
     as long as they fit, and then the one further row that best fills what is left,
     are laid end to end and cut into blocks. Rows longer than a sixteenth of what the last pass
-    takes stand at the end of the permutation, so that none of them ends that pass early. The splitting tree says how many blocks of each source a shard
+    takes stand first, and the short ones go on from the last of them that fits, so that no long row ends that pass early. The splitting tree says how many blocks of each source a shard
     draws; shards draw disjoint runs of the permuted blocks. ``copies`` holds a
     ``(epoch, shard, place)`` for each time a row is taken; sorting a shard by
     ``place`` shuffles it.
@@ -128,7 +138,7 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     p = params
     kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
     base = docs.select(*[F.col(f"`{c}`") for c in kept])
-    n = _Names(*free_names(docs, "_source", "_r", "_passes", "_upto", "_pos", "_rest", "_fill", "_named", "_key"))
+    n = _Names(*free_names(docs, "_source", "_r", "_passes", "_upto", "_pos", "_rest", "_fill", "_named", "_key", "_shift"))
     sized = base.withColumn("size", word_count(F.col("text")))
     sums = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -149,12 +159,13 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     send = F.broadcast if len(sums) <= p.sent_sources else lambda table: table  # a few hundred bytes a source
     rest = F.col("target") - F.col(n.passes) * F.col("source_size")
     word_hash = F.xxhash64(F.lit(p.seed), "doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
-    late = F.when(F.col("size") * 16 > rest, F.lit(1 << 62)).otherwise(F.lit(0))
+    late = F.when(_is_long(rest), F.lit(0)).otherwise(F.lit(1 << 62))
     placed = (
         sized.join(send(known), F.col("source").eqNullSafe(F.col(n.named))).drop(n.named)
         .withColumn(n.r, (word_hash + late).cast("long")).withColumn(n.key, F.col("doc_id"))
     )
-    fits = F.col(n.pos) + F.col("size") <= rest
+    end = F.col(n.pos) + F.col("size")
+    fits = F.when(_is_long(rest), end).otherwise(end - F.col(n.shift)) <= rest
     fill = _fillers(placed.select(n.source, n.r, n.key, "size", rest.alias(n.rest)), n, send, p)
     placed = running_start(placed, [n.source], n.r, [n.key], "size", n.pos, p.cells).join(send(fill), n.source, "left")
     once_more = fits | F.coalesce(F.col(n.r) == F.col(n.fill), F.lit(False))
