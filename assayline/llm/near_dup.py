@@ -267,6 +267,8 @@ def _placed(standing: DataFrame, keys: DataFrame, reps: DataFrame, p: NearDupPar
     own = F.when(in_hub, -1 - F.pmod(F.xxhash64("rep"), F.col("hubs"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int")
     others = F.sequence(F.lit(0), F.col("rest") - 1)
     hubs = F.transform(F.sequence(F.lit(1), F.col("hubs")), lambda x: -x)
+    # Written, so that in the next join a bucket with very many members can be split.
+    blocks = written(blocks, "blocks")
     return (
         standing.join(blocks, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
         .withColumn("own", own)
