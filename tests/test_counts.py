@@ -58,7 +58,7 @@ def test_zero_heavy(spark):
         ([("a", "A", 1.0, 2.0, 3.0, 4.0), ("a", "B", 1.0, 2.0, 3.0, 4.0)], {}, "repeated guide"),
         ([(" ", "A", 1.0, 2.0, 3.0, 4.0)], {}, "without guide"),
         ([("a", "A", 1.0, 2.0, 3.0, 4.0)], {"pseudocount": 0}, "pseudocount"),
-        ([("a", "A", 1.0, 2.0, 3.0, 0.0)], {}, "zero total"),
+        ([("a", "A", 1.0, 2.0, 3.0, 0.0)], {}, "without a single count"),
     ],
 )
 def test_rejects(spark, rows, params, message):
