@@ -1,12 +1,13 @@
 """An adaptive context-mixing range coder for token ids, run over many blocks at once.
 
-A block is coded from nothing but its own ids, so all blocks advance in lockstep,
-one NumPy lane each. An id is four nibbles, high to low. For each nibble three
-adaptive tables predict its 16 values: order 0 (the nibbles before it in this id),
-order 1 (and the id before) and order 2 (and the two ids before). Their counts are
-mixed with weights that each lane learns by how well an order has predicted, for
-each level of its confidence. All arithmetic is on integers, so that coder and
-decoder agree on any machine.
+A block is coded from nothing but its own ids and its group's table of id frequencies,
+so all blocks of a group advance in lockstep, one NumPy lane each. Three predictions are
+mixed for each whole id: order 0 is the group's distribution of ids; order 1 and order 2 are
+the ids that followed the one and the two ids before, as this block has shown so far, and
+know how often they were right of late. Weights of the mixture are learnt by each
+lane for each pair of these confidences, and start afresh in each block. The mixture is
+linear, so that an id's interval is a sum of three and the decoder finds the id without a
+search. All arithmetic is on integers, so that coder and decoder agree on any machine.
 """
 
 from __future__ import annotations
@@ -17,199 +18,279 @@ import zlib
 import numpy as np
 
 MAGIC = b"ACMR"
-_HEAD = struct.Struct("<4sHHII")  # magic, version, nibbles of an id, ids of a full block, blocks
-_BLOCK = struct.Struct("<III")  # ids, bytes, crc32 of the ids as little-endian 32-bit numbers
+_HEAD = struct.Struct("<4sHHII")  # magic, version, unused, ids of a full block, groups
+_GROUP = struct.Struct("<IIII")  # blocks, distinct ids, bytes of the table of ids, its crc32
+_BLOCK = struct.Struct("<III")  # ids, bytes, crc32 of the ids as little-endian 32-bit numbers and of the bytes
 
-ROWS = 1024
-LANES = 1024
-_STEP, _LIMIT = 24, 4000
-_NODE_START = (0, 1, 17, 273, 4369)
-_CONF = np.minimum(np.ceil(np.log2(np.arange(0, 4200) / _STEP + 1)).astype(np.int64), 7)
-_LOW = np.uint64((1 << 32) - 1)
-_TOP = np.uint64(1 << 48)
+#: Cells a lane has for each order (a power of two); a cell is an id's place (22 bits), 7 bits of its context's hash and 2 of confidence.
+_CELLS = 10
+#: Ids of a group, so that places fit a cell.
+GROUP_IDS = 1 << 22
+#: The most that the weights of orders 2 and 1 sum to, of 65536; what is left is order 0's.
+_SURE = 64512
+_RATE = 5
+_FULL = np.uint64((1 << 48) - 1)
+_SMALL = np.uint64(1 << 32)
+_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
+#: By whether a cell was right and how sure it was: what is added to it, and whether it stays.
+_CHANGE = np.array([0, 0, -1, -2, 0, 1, 1, 0], np.int32)
+_STAYS = np.array([0, 0, 1, 1, 0, 1, 1, 1], np.int32)
+
+
+class _Order0:
+    """The group's distinct ids and their cumulated frequencies, which sum to ``1 << bits`` and are all 1 or more."""
+
+    def __init__(self, known: np.ndarray, counts: np.ndarray) -> None:
+        n = len(known)
+        self.known = known
+        self.bits = max(16, (2 * n).bit_length())
+        self.weight_bits = min(12, 30 - self.bits)
+        upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        spare = (1 << self.bits) - n
+        edges = np.arange(n + 1) + upto * spare // max(int(upto[-1]), 1)
+        self.start = edges[:-1].astype(np.int32)
+        self.share = np.diff(edges).astype(np.int32)
+
+    def slots(self) -> np.ndarray:
+        """The place of the id that each unit of frequency belongs to."""
+        return np.repeat(np.arange(len(self.known), dtype=np.int32), self.share)
+
+
+def _first_weights() -> np.ndarray:
+    """Weights of order 2 and order 1 before a block has shown any, by whether they agree and by both confidences."""
+    first = np.zeros((2, 2, 4, 4), np.int32)
+    for c2 in range(4):
+        for c1 in range(4):
+            a, b = c2 / (c2 + 1), c1 / (c1 + 3)
+            # Where both foretell one id, order 2 has all the weight.
+            first[0, 1, c2, c1] = round(_SURE * max(a, b))
+            first[:, 0, c2, c1] = round(_SURE * a), round(_SURE * (1 - a) * b)
+    return first.reshape(2, 32)
 
 
 class _Model:
-    """Counts, totals and weights of the three orders of all lanes, in one array each."""
-
-    def __init__(self, lanes: int) -> None:
-        self.counts = np.zeros((3 * lanes * ROWS, 16), np.int16)
-        self.cells = self.counts.reshape(-1)
-        self.totals = np.zeros(3 * lanes * ROWS, np.int32)
-        self.weights = np.full(3 * lanes * 8, 1300, np.int32)
-        place = np.arange(3 * lanes, dtype=np.int64).reshape(3, lanes)
-        self.first, self.first8 = place * ROWS, place * 8
-
-    def predict(self, n: int, k: int, prefix: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Frequencies of the 16 values in the first ``n`` lanes; ``context``: a hash for each order and lane."""
-        node = (prefix + _NODE_START[min(k, 4)]) * 0x2545F491
-        self.rows = self.first[:, :n] + (((context ^ node) * 0x9E3779B1 >> 14) & (ROWS - 1))
-        self.total = self.totals.take(self.rows)
-        self.at = self.first8[:, :n] + _CONF.take(self.total)
-        self.weight = self.weights.take(self.at)
-        use = self.weight * (self.total > 0)
-        whole = use.sum(axis=0, dtype=np.int32) + 1
-        self.scale = (((use << 14) // whole) << 8) // (self.total | 1)
-        self.got = self.counts.take(self.rows.ravel(), axis=0).reshape(3, n, 16)
-        freq = self.got[0] * self.scale[0][:, None]
-        freq += self.got[1] * self.scale[1][:, None]
-        freq += self.got[2] * self.scale[2][:, None]
-        freq >>= 8
-        freq += 8
-        return freq
-
-    def learn(self, n: int, value: np.ndarray) -> None:
-        cell = (self.rows << 4) + value
-        had = self.cells.take(cell)
-        said = had * self.scale
-        whole = said.sum(axis=0, dtype=np.int32) + 1
-        share = ((said >> 8) << 12) // ((whole >> 8) + 1)
-        self.weights[self.at] = np.maximum(self.weight + ((share - self.weight) >> 5), 32)
-        self.cells[cell] = had + np.int16(_STEP)
-        total = self.total + np.int32(_STEP)
-        self.totals[self.rows] = total
-        if total.max() > _LIMIT:
-            full = self.rows[total > _LIMIT]
-            self.counts[full] >>= 1
-            self.totals[full] = self.counts[full].sum(axis=1, dtype=np.int32)
-
-
-def _contexts(before: np.ndarray, older: np.ndarray) -> np.ndarray:
-    one = (before + 1) * 0x9E3779B1 & 0x7FFFFFFF
-    return np.stack([np.zeros_like(one), one, ((older + 1) * 0x7FEB352D & 0x7FFFFFFF) ^ one * 3])
-
-
-def _encode_lanes(blocks: list[np.ndarray], nibbles: int) -> list[bytes]:
-    """``blocks`` from the longest to the shortest."""
+    """The cells and weights of all lanes; the first row of each array is order 2's, the second order 1's."""
+
+    def __init__(self, lanes: int, order0: _Order0) -> None:
+        self.order0 = order0
+        self.bits, self.down = order0.bits, 16 - order0.weight_bits
+        self.whole = np.int32(1 << order0.weight_bits)
+        self.cells = np.zeros(2 * lanes << _CELLS, np.int32)
+        self.weights = np.repeat(_first_weights()[:, None], lanes, axis=1).ravel()
+        place = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.first, self.first32 = place << _CELLS, place << 5
+
+    def predict(self, n: int, before: np.ndarray, older: np.ndarray) -> None:
+        """Sets what both orders say of the next id of the first ``n`` lanes, and the three weights."""
+        mixed = np.empty((2, n), np.uint32)
+        one = (before[:n].view(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        two = ((older[:n].view(np.uint32) + np.uint32(1)) * np.uint32(0x7FEB352D) ^ one >> np.uint32(3)) * np.uint32(0x846CA68B)
+        mixed[1] = one
+        np.bitwise_xor(two, two >> np.uint32(15), out=mixed[0])
+        self.at = self.first[:, :n] + (mixed >> np.uint32(32 - _CELLS))
+        self.tag = (mixed >> np.uint32(12)).view(np.int32) & 127
+        self.cell = self.cells.take(self.at)
+        self.sure = (self.cell & 3) * ((self.cell >> 2 & 127) == self.tag)
+        self.said = self.cell >> 9
+        self.agree = self.said[0] == self.said[1]
+        self.where = self.first32[:, :n] + ((self.agree * np.int32(4) + self.sure[0]) * np.int32(4) + self.sure[1])
+        self.had = self.weights.take(self.where)
+        weight = self.had >> self.down
+        self.w0 = self.whole - weight[0] - weight[1]
+        self.units = weight << self.bits
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the interval of each lane's id begins, and how wide it is, out of ``1 << (bits + weight_bits)``."""
+        self.right = self.said == x
+        before, own = self.units * (self.said < x), self.units * self.right
+        start = self.w0 * self.order0.start.take(x) + before[0] + before[1]
+        return start, self.w0 * self.order0.share.take(x) + own[0] + own[1]
+
+    def find(self, place: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals the places lie."""
+        said, units = self.said, self.units
+        start = self.w0 * self.order0.start.take(said)
+        start += units[::-1] * (said[::-1] < said)
+        end = start + self.w0 * self.order0.share.take(said)
+        end += units
+        # Where both say one id, order 1 has no weight, and order 2's interval is the whole.
+        over = place >= end
+        inside = (place >= start) > over
+        past = units * over
+        x = slots.take((place - past[0] - past[1]) // self.w0, mode="clip")
+        np.copyto(x, said[1], where=inside[1])
+        np.copyto(x, said[0], where=inside[0])
+        return x
+
+    def learn(self, x: np.ndarray) -> None:
+        """Takes in each lane's id, after ``interval(x)``."""
+        aim = self.right * np.int32(_SURE)
+        aim[1] *= ~self.agree
+        aim -= self.had
+        aim >>= _RATE
+        aim += self.had
+        self.weights[self.where] = aim
+        state = self.right * np.int32(4) + self.sure
+        new = (x << 9) + (self.tag << 2) + 1
+        self.cells[self.at] = new + (self.cell + _CHANGE.take(state) - new) * _STAYS.take(state)
+
+
+def _encode_lanes(blocks: list[np.ndarray], order0: _Order0) -> list[bytes]:
+    """``blocks`` of places in the group's table, from the longest to the shortest."""
     lanes = len(blocks)
     lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((lanes, lengths[0]), np.int64)
+    ids = np.zeros((lengths[0], lanes), np.int32)
     for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-    model = _Model(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64((1 << 64) - 1))
-    out = np.zeros((lanes, lengths[0] * nibbles + 8), np.uint16)
-    at = np.zeros(lanes, np.int64)
-    before, older = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        ids[: len(b), i] = b
+    model = _Model(lanes, order0)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
+    # A word holds 16 bits, and carries until the end. Word 0 is only there for the first carry.
+    out = np.zeros((lanes, lengths[0] * 2 + 6), np.uint32)
+    flat, row = out.reshape(-1), out.shape[1]
+    at = np.arange(lanes) * row
+    shift = np.uint64(order0.bits + order0.weight_bits)
+    before = older = np.zeros(lanes, np.int32)
+
+    def put(who: np.ndarray) -> None:
+        had = low.take(who)
+        place = at.take(who)
+        flat[place] += (had >> _48).astype(np.uint32)
+        place += 1
+        flat[place] = (had >> _32 & np.uint64(0xFFFF)).astype(np.uint32)
+        at[who] = place
+        low[who] = (had & np.uint64(0xFFFFFFFF)) << _16
+
     for t in range(lengths[0]):
         n = int(np.searchsorted(-lengths, -t, side="left"))
-        context = _contexts(before[:n], older[:n])
-        lane16 = np.arange(n) * 16
-        prefix = np.zeros(n, np.int64)
-        for k in range(nibbles):
-            freq = model.predict(n, k, prefix, context)
-            value = ids[:n, t] >> (4 * (nibbles - 1 - k)) & 15
-            upto = np.cumsum(freq, axis=1, dtype=np.int32)
-            own = freq.reshape(-1).take(lane16 + value)
-            unit = width[:n] // upto[:, 15].astype(np.uint64)
-            low[:n] += unit * (upto.reshape(-1).take(lane16 + value) - own).astype(np.uint64)
-            width[:n] = unit * own.astype(np.uint64)
-            model.learn(n, value)
-            _settle(low, width, n, lambda who: _put(out, at, low, who))
-            prefix = (prefix << 4 | value) & 0xFFF
-        older[:n], before[:n] = before[:n], ids[:n, t]
-    for _ in range(4):
-        _put(out, at, low, np.arange(lanes))
-        low <<= np.uint64(16)
-    return [out[i, : at[i]].astype("<u2").tobytes() for i in range(lanes)]
-
-
-def _put(out: np.ndarray, at: np.ndarray, low: np.ndarray, who: np.ndarray) -> None:
-    out[who, at[who]] = (low[who] >> np.uint64(48)).astype(np.uint16)
-    at[who] += 1
-
-
-def _settle(low: np.ndarray, width: np.ndarray, n: int, shift) -> None:
-    """Moves 16 bits out of each lane whose upper bits are settled or whose width got small."""
-    while True:
-        same = (low[:n] ^ (low[:n] + width[:n])) < _TOP
-        small = width[:n] <= _LOW
-        who = np.flatnonzero(same | small)
-        if not len(who):
-            return
-        tight = who[~same[who]]
-        if len(tight):
-            width[tight] = (~low[tight] + np.uint64(1)) & _LOW
-        shift(who)
-        low[who] <<= np.uint64(16)
-        width[who] <<= np.uint64(16)
-
-
-def _decode_lanes(parts: list[bytes], lengths: np.ndarray, nibbles: int) -> list[np.ndarray]:
+        x = ids[t, :n]
+        model.predict(n, before, older)
+        start, own = model.interval(x)
+        unit = width[:n] >> shift
+        low[:n] += unit * start.view(np.uint32)
+        np.multiply(unit, own.view(np.uint32), out=width[:n])
+        model.learn(x)
+        who = np.flatnonzero(width[:n] < _SMALL)
+        while len(who):
+            put(who)
+            narrow = width.take(who) << _16
+            width[who] = narrow
+            who = who[narrow < _SMALL]
+        before, older = x, before
+    for _ in range(3):
+        put(np.arange(lanes))
+    for k in range(row - 1, 0, -1):
+        out[:, k - 1] += out[:, k] >> 16
+    return [out[i, 1 : at[i] - i * row + 1].astype("<u2").tobytes() for i in range(lanes)]
+
+
+def _decode_lanes(parts: list[bytes], lengths: np.ndarray, order0: _Order0) -> list[np.ndarray]:
     lanes = len(parts)
-    longest = max(len(p) for p in parts) // 2
-    words = np.zeros((lanes, longest + 8), np.uint64)
+    row = max(len(p) for p in parts) // 2 + 8
+    words = np.zeros((lanes, row), np.uint16)
     for i, p in enumerate(parts):
         words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = code << np.uint64(16) | words[:, k]
-    at = np.full(lanes, 4)
-    model = _Model(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64((1 << 64) - 1))
-    ids = np.zeros((lanes, lengths[0]), np.int64)
-    before, older = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def take(who: np.ndarray) -> None:
-        code[who] = code[who] << np.uint64(16) | words[who, np.minimum(at[who], longest + 7)]
-        at[who] += 1
-
+    code = words[:, 0].astype(np.uint64) << _32 | words[:, 1].astype(np.uint64) << _16 | words[:, 2]
+    flat, at = words.reshape(-1), np.arange(lanes) * row + 3
+    ends = np.arange(1, lanes + 1) * row - 1
+    model, slots = _Model(lanes, order0), order0.slots()
+    width = np.full(lanes, _FULL)
+    ids = np.zeros((lengths[0], lanes), np.int32)
+    shift = np.uint64(order0.bits + order0.weight_bits)
+    last = np.uint64((1 << int(shift)) - 1)
+    before = older = np.zeros(lanes, np.int32)
     for t in range(lengths[0]):
         n = int(np.searchsorted(-lengths, -t, side="left"))
-        context = _contexts(before[:n], older[:n])
-        lane16 = np.arange(n) * 16
-        prefix, found = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for k in range(nibbles):
-            freq = model.predict(n, k, prefix, context)
-            upto = np.cumsum(freq, axis=1, dtype=np.int32)
-            whole = upto[:, 15].astype(np.uint64)
-            unit = width[:n] // whole
-            place = np.minimum((code[:n] - low[:n]) // unit, whole - np.uint64(1)).astype(np.int32)
-            value = (upto <= place[:, None]).sum(axis=1)
-            own = freq.reshape(-1).take(lane16 + value)
-            low[:n] += unit * (upto.reshape(-1).take(lane16 + value) - own).astype(np.uint64)
-            width[:n] = unit * own.astype(np.uint64)
-            model.learn(n, value)
-            _settle(low, width, n, take)
-            found = found << 4 | value
-            prefix = (prefix << 4 | value) & 0xFFF
-        ids[:n, t] = found
-        older[:n], before[:n] = before[:n], found
-    return [ids[i, : lengths[i]].astype(np.uint32) for i in range(lanes)]
-
-
-def encode(ids: np.ndarray, block_ids: int = 4096) -> bytes:
-    """The ids (unsigned 32-bit) as a header, a table of blocks and the blocks."""
+        model.predict(n, before, older)
+        unit = width[:n] >> shift
+        x = model.find(np.minimum(code[:n] // unit, last).astype(np.int32), slots)
+        start, own = model.interval(x)
+        code[:n] -= unit * start.view(np.uint32)
+        np.multiply(unit, own.view(np.uint32), out=width[:n])
+        model.learn(x)
+        who = np.flatnonzero(width[:n] < _SMALL)
+        while len(who):
+            place = at.take(who)
+            # A damaged block may ask for more words than it has; its checksum tells.
+            code[who] = code.take(who) << _16 | flat.take(np.minimum(place, ends.take(who)))
+            at[who] = place + 1
+            narrow = np.maximum(width.take(who), np.uint64(1)) << _16
+            width[who] = narrow
+            who = who[narrow < _SMALL]
+        ids[t, :n] = x
+        before, older = x, before
+    return [order0.known[ids[: lengths[i], i]] for i in range(lanes)]
+
+
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, each id's place among them, and how often each is there."""
+    if int(ids.max()) >> 22:
+        known, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        return known, places.astype(np.int32), counts
+    counts = np.bincount(ids)
+    known = np.flatnonzero(counts)
+    return known.astype(np.uint32), (np.cumsum(counts > 0, dtype=np.int32) - np.int32(1)).take(ids), counts[known]
+
+
+def _check(ids: np.ndarray, coded: bytes) -> int:
+    return zlib.crc32(coded, zlib.crc32(ids.astype("<u4").tobytes()))
+
+
+def _encode_group(ids: np.ndarray, block_ids: int) -> bytes:
+    known, places, counts = _places(ids)
+    table = zlib.compress(np.concatenate([np.diff(known, prepend=known[:1]), counts.astype(np.uint32)]).astype("<u4").tobytes() + known[:1].astype("<u4").tobytes())
+    blocks = [places[i : i + block_ids] for i in range(0, len(ids), block_ids)]
+    with np.errstate(over="ignore"):
+        coded = _encode_lanes(blocks, _Order0(known, counts))
+    rows = b"".join(
+        _BLOCK.pack(len(b), len(c), _check(ids[i * block_ids : i * block_ids + len(b)], c))
+        for i, (b, c) in enumerate(zip(blocks, coded, strict=True))
+    )
+    return _GROUP.pack(len(blocks), len(known), len(table), zlib.crc32(table)) + table + rows + b"".join(coded)
+
+
+def encode(ids: np.ndarray, block_ids: int = 1024) -> bytes:
+    """The ids (unsigned 32-bit) as a header and groups: a table of ids, a table of blocks and the blocks."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    nibbles = max(4, -(-int(ids.max(initial=0)).bit_length() // 4))
-    blocks = [ids[i : i + block_ids] for i in range(0, len(ids), block_ids)]
-    coded: list[bytes] = []
+    step = max(GROUP_IDS // block_ids, 1) * block_ids
+    groups = [_encode_group(ids[i : i + step], block_ids) for i in range(0, len(ids), step)]
+    return _HEAD.pack(MAGIC, 2, 0, block_ids, len(groups)) + b"".join(groups)
+
+
+class _Reader:
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at = data, 0
+
+    def take(self, size: int) -> bytes:
+        self.at += size
+        if self.at > len(self.data):
+            raise ValueError("the file is cut short")
+        return self.data[self.at - size : self.at]
+
+
+def _decode_group(source: _Reader) -> np.ndarray:
+    n, distinct, size, crc = _GROUP.unpack(source.take(_GROUP.size))
+    table = source.take(size)
+    if zlib.crc32(table) != crc:
+        raise ValueError("a table of ids is damaged")
+    numbers = np.frombuffer(zlib.decompress(table), "<u4")
+    known = np.cumsum(numbers[:distinct], dtype=np.uint32) + numbers[-1]
+    rows = [_BLOCK.unpack(source.take(_BLOCK.size)) for _ in range(n)]
+    parts = [source.take(row[1]) for row in rows]
     with np.errstate(over="ignore"):
-        for i in range(0, len(blocks), LANES):
-            coded += _encode_lanes(blocks[i : i + LANES], nibbles)
-    head = _HEAD.pack(MAGIC, 1, nibbles, block_ids, len(blocks))
-    table = b"".join(_BLOCK.pack(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True))
-    return head + table + b"".join(coded)
+        blocks = _decode_lanes(parts, np.array([row[0] for row in rows]), _Order0(known, numbers[distinct:-1]))
+    for i, (ids, part, (_, _, crc)) in enumerate(zip(blocks, parts, rows, strict=True)):
+        if _check(ids, part) != crc:
+            raise ValueError(f"block {i} is damaged")
+    return np.concatenate(blocks)
 
 
 def decode(data: bytes) -> np.ndarray:
-    """What ``encode`` was given; a block whose checksum differs raises ValueError."""
-    magic, version, nibbles, _, n = _HEAD.unpack_from(data)
-    if magic != MAGIC or version != 1:
+    """What ``encode`` was given; a block or table whose checksum differs raises ValueError."""
+    source = _Reader(data)
+    magic, version, _, _, groups = _HEAD.unpack(source.take(_HEAD.size))
+    if magic != MAGIC or version != 2:
         raise ValueError("not a file of coded ids")
-    table = [_BLOCK.unpack_from(data, _HEAD.size + i * _BLOCK.size) for i in range(n)]
-    at = _HEAD.size + n * _BLOCK.size
-    parts = []
-    for _, size, _ in table:
-        parts.append(data[at : at + size])
-        at += size
-    if at != len(data):
-        raise ValueError("the file is cut short")
-    out: list[np.ndarray] = []
-    with np.errstate(over="ignore"):
-        for i in range(0, n, LANES):
-            out += _decode_lanes(parts[i : i + LANES], np.array([t[0] for t in table[i : i + LANES]]), nibbles)
-    for i, (ids, (_, _, crc)) in enumerate(zip(out, table, strict=True)):
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {i} is damaged")
+    out = [_decode_group(source) for _ in range(groups)]
+    if source.at != len(data):
+        raise ValueError("there is more in the file than its header says")
     return np.concatenate(out) if out else np.zeros(0, np.uint32)

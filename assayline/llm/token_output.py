@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +20,14 @@ from .id_coder import decode, encode
 
 @dataclass(frozen=True)
 class TokenParams:
-    """``segment_ids``: a segment, one row of a file, holds whole documents of at least so many ids."""
+    """``segment_ids``: a segment, one row of a file, holds whole documents of at least so many ids; ``cache``: pieces whose ids a task keeps."""
 
     tokenizer: str
     end_id: int = 0
-    block_ids: int = 4096
+    block_ids: int = 1024
     segment_ids: int = 1 << 22
-    cache: int = 200_000
+    cache: int = 1_000_000
+    slice_bytes: int = 1 << 21
 
 
 #: Bytes next to which a space certainly begins a new piece of the tokenizer's own splitting.
@@ -45,6 +48,8 @@ class Encoder:
     """
 
     def __init__(self, params: TokenParams) -> None:
+        # Spark runs a task on each core; the tokenizer's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(params.tokenizer)
@@ -54,7 +59,10 @@ class Encoder:
         self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]
         # A normalizer may change what a text holds before it is split.
         self.splits = self.splits and not spec.get("normalizer")
-        self.known: dict[int, np.ndarray] = {}
+        # Pieces met before, by ascending hash: where their ids begin among all kept ids, and how many they are.
+        self.hashes = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
         self.limit = params.cache
 
     def _pieces(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,25 +91,37 @@ class Encoder:
         cuts = self._pieces(raw, offsets)
         start, end = cuts[:-1], cuts[1:]
         hashes, first, back = np.unique(B.span_hashes(raw, start, end), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        found = {}
-        if new:
-            data = raw.tobytes()
-            texts = [data[start[first[i]] : end[first[i]]].decode() for i in new]
-            for i, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                found[keys[i]] = np.array(e.ids, np.uint32)
-        parts = [self.known[h] if h in self.known else found[h] for h in keys]
-        if len(self.known) < self.limit:
-            self.known |= found
-        sizes = np.array([len(x) for x in parts], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        n = sizes[back]
+        begin, size, pool = self._of_pieces(raw, hashes, start[first], end[first])
+        n = size[back]
         upto = np.cumsum(n)
-        place = np.repeat(starts[back] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
+        place = np.repeat(begin[back] - (upto - n), n)
+        place += np.arange(len(place))
         ends = np.concatenate([[0], upto])[np.searchsorted(cuts, offsets)] if len(cuts) else np.zeros(len(offsets), np.int64)
-        return flat[place], np.diff(ends)
+        return pool[place], np.diff(ends)
+
+    def _of_pieces(self, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(begin, size, pool)``: where in the pool the ids of each distinct piece begin, and how many they are."""
+        at = np.searchsorted(self.hashes, hashes)
+        begin, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        if len(self.hashes):
+            near = np.minimum(at, len(self.hashes) - 1)
+            met = self.hashes[near] == hashes
+            begin[met], size[met] = self.begin[near[met]], self.size[near[met]]
+        else:
+            met = np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~met)
+        if not len(new):
+            return begin, size, self.ids
+        data = raw.tobytes()
+        texts = [data[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size[new] = [len(x) for x in found]
+        begin[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+        pool = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size[new].sum()))])
+        if len(self.hashes) + len(new) <= self.limit:
+            self.hashes, self.ids = np.insert(self.hashes, at[new], hashes[new]), pool
+            self.begin, self.size = np.insert(self.begin, at[new], begin[new]), np.insert(self.size, at[new], size[new])
+        return begin, size, pool
 
 
 _SEGMENT = "part int, seq int, doc_ids array<long>, lengths array<int>, n_ids long, data binary"
@@ -148,10 +168,10 @@ def write_ids(docs: DataFrame, path: str, params: TokenParams) -> None:
             )
 
         for batch in batches:
-            for piece in B.slices(batch):
+            for piece in B.slices(batch, max_bytes=p.slice_bytes):
                 found, counts = encoder.encode(piece.column("text"))
                 ended = np.insert(found, np.cumsum(counts), np.uint32(p.end_id))
-                ids.append(ended.astype(np.uint32))
+                ids.append(ended)
                 lengths.append(counts + 1)
                 docs_in += piece.column("doc_id").to_pylist()
                 held += len(ended)

@@ -28,6 +28,32 @@ def test_wide_ids_and_damage():
     assert len(id_coder.encode(np.zeros(4096, np.uint32))) < 600
 
 
+def test_blocks_stand_alone_and_any_ids_return():
+    rng = np.random.default_rng(7)
+    for ids in (rng.integers(0, 2**32, 70_000), rng.integers(0, 300_000, 300_000), np.repeat(rng.integers(0, 9, 900), 50), np.arange(5000) % 7):
+        ids = ids.astype(np.uint32)
+        assert (id_coder.decode(id_coder.encode(ids, 300)) == ids).all()
+    # A block repeated among others is coded into the same bytes, as it is coded from nothing but itself and the group's table.
+    block = rng.integers(0, 50, 256).astype(np.uint32)
+    other = rng.integers(0, 50, 256).astype(np.uint32)
+    source = id_coder._Reader(id_coder.encode(np.concatenate([block, other, block]), 256))
+    source.take(id_coder._HEAD.size)
+    n, _, size, _ = id_coder._GROUP.unpack(source.take(id_coder._GROUP.size))
+    source.take(size)
+    rows = [id_coder._BLOCK.unpack(source.take(id_coder._BLOCK.size)) for _ in range(n)]
+    first, _, third = [source.take(row[1]) for row in rows]
+    assert first == third
+
+
+def test_an_id_that_context_foretells_costs_less():
+    rng = np.random.default_rng(8)
+    follows = rng.integers(0, 2000, 2000)
+    chain = np.zeros(60_000, np.uint32)
+    for i in range(1, len(chain)):
+        chain[i] = follows[chain[i - 1]] if rng.random() < 0.9 else rng.integers(0, 2000)
+    assert len(id_coder.encode(chain)) < 0.85 * len(id_coder.encode(rng.permutation(chain)))
+
+
 def test_token_files(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
