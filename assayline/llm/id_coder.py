@@ -251,7 +251,10 @@ def _encode_group(ids: np.ndarray, block_ids: int) -> bytes:
 def encode(ids: np.ndarray, block_ids: int = 1024) -> bytes:
     """The ids (unsigned 32-bit) as a header and groups: a table of ids, a table of blocks and the blocks."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    step = max(GROUP_IDS // block_ids, 1) * block_ids
+    # Groups of one size: a small last one would have few lanes.
+    block_ids = min(block_ids, GROUP_IDS // 2)
+    parts = -(-len(ids) // (GROUP_IDS - block_ids))
+    step = -(-len(ids) // max(parts, 1) // block_ids) * block_ids or block_ids
     groups = [_encode_group(ids[i : i + step], block_ids) for i in range(0, len(ids), step)]
     return _HEAD.pack(MAGIC, 2, 0, block_ids, len(groups)) + b"".join(groups)
 

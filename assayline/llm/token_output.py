@@ -25,7 +25,7 @@ class TokenParams:
     tokenizer: str
     end_id: int = 0
     block_ids: int = 1024
-    segment_ids: int = 1 << 22
+    segment_ids: int = 3 << 20
     cache: int = 1_000_000
     slice_bytes: int = 1 << 21
 
@@ -36,14 +36,26 @@ _PLAIN[0x21:0x7F] = True
 #: First bytes of Latin letters, none of which is white space.
 _LETTER = np.zeros(256, bool)
 _LETTER[0xC3:0xCA] = True
+#: Second bytes of the two signs that begin like letters (and of some letters).
+_SIGN = np.zeros(256, bool)
+_SIGN[[0x97, 0xB7]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
+#: Visible ASCII that is neither letter nor digit; an apostrophe may be part of a piece with letters.
+_MARK = _PLAIN & ~_ASCII_LETTER
+_MARK[0x30:0x3A] = _MARK[0x27] = False
+
+
+#: Pieces that are given to the tokenizer as one text.
+_JOINED = 1024
 
 
 class Encoder:
     """A tokenizer that meets each distinct piece of a text once.
 
     Byte-level tokenizers split a text before the space of a word that follows a
-    visible character, whatever stands around; pieces between such places can so be
-    encoded apart. Any other tokenizer keeps texts whole, and so does a text that holds one
+    visible character, and before a mark that follows a letter, whatever stands around; pieces between
+    such places can so be encoded apart. Any other tokenizer keeps texts whole, and so does a text that holds one
     of the tokenizer's added tokens.
     """
 
@@ -59,22 +71,27 @@ class Encoder:
         self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]
         # A normalizer may change what a text holds before it is split.
         self.splits = self.splits and not spec.get("normalizer")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        # A byte-level vocabulary writes each byte as one character.
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
         # Pieces met before, by ascending hash: where their ids begin among all kept ids, and how many they are.
         self.hashes = np.zeros(0, np.uint64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.limit = params.cache
 
-    def _pieces(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def _pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(cuts, sure)``: the places where pieces begin or end, and which pieces begin with a cut's space and end at a cut."""
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
         if self.splits and len(raw) > 2:
-            mid = raw[1:-1] == 0x20
-            left = _PLAIN[raw[:-2]]
-            left[1:] |= _LETTER[raw[:-3]] & (raw[1:-2] >= 0x80)
-            right = _PLAIN[raw[2:]] | _LETTER[raw[2:]]
+            before, at, after = raw[:-2], raw[1:-1], raw[2:]
+            second = np.zeros(len(before), bool)
+            second[1:] = _LETTER[raw[:-3]] & (before[1:] >= 0x80)
+            mark = (_ASCII_LETTER[before] | (second & ~_SIGN[before])) & _MARK[at]
             # Both neighbours must be of the same document.
-            cut = mid & left & right & ~edge[2:-1]
+            cut = ((at == 0x20) & (_PLAIN[before] | second) & (_PLAIN[after] | _LETTER[after]) | mark) & ~edge[1:-2] & ~edge[2:-1]
             data = raw.tobytes()
             for token in self.added:
                 at = data.find(token)
@@ -83,15 +100,18 @@ class Encoder:
                     cut[max(offsets[row] - 1, 0) : max(offsets[row + 1] - 1, 0)] = False
                     at = data.find(token, offsets[row + 1])
             edge[1:-2] |= cut
-        return np.flatnonzero(edge)
+        cuts = np.flatnonzero(edge)
+        edge[offsets] = False
+        inner, space = edge[cuts], np.append(raw, 0)[cuts] == 0x20
+        return cuts, inner[:-1] & space[:-1] & inner[1:]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, counts)``: the ids of all texts, one after the other, and how many each has."""
         raw, offsets = B.utf8(column)
-        cuts = self._pieces(raw, offsets)
+        cuts, sure = self._pieces(raw, offsets)
         start, end = cuts[:-1], cuts[1:]
         hashes, first, back = np.unique(B.span_hashes(raw, start, end), return_index=True, return_inverse=True)
-        begin, size, pool = self._of_pieces(raw, hashes, start[first], end[first])
+        begin, size, pool = self._of_pieces(raw, hashes, start[first], end[first], sure[first])
         n = size[back]
         upto = np.cumsum(n)
         place = np.repeat(begin[back] - (upto - n), n)
@@ -99,8 +119,26 @@ class Encoder:
         ends = np.concatenate([[0], upto])[np.searchsorted(cuts, offsets)] if len(cuts) else np.zeros(len(offsets), np.int64)
         return pool[place], np.diff(ends)
 
-    def _of_pieces(self, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(begin, size, pool)``: where in the pool the ids of each distinct piece begin, and how many they are."""
+    def _encode_apart(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, sizes)`` of texts that are encoded one by one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _encode_joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that are sure: joined they are cut at the same places, and ids' bytes tell whose they are."""
+        lines = [b"".join(texts[i : i + _JOINED]).decode() for i in range(0, len(texts), _JOINED)]
+        found = [np.array(e.ids, np.uint32) for line in lines for e in self.tokenizer.encode_batch_fast([line], add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        upto = np.cumsum(self.bytes_of[np.minimum(ids, len(self.bytes_of) - 1)])
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        last = np.searchsorted(upto, ends)
+        if len(ids) and (last[-1] != len(ids) - 1 or not np.array_equal(upto[last], ends)):
+            return self._encode_apart(texts)
+        return ids, np.diff(last, prepend=-1)
+
+    def _of_pieces(self, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(begin, size, pool)``: where in the pool the ids of each distinct piece begin, and how many they are; ``sure``: as ``_pieces`` says."""
         at = np.searchsorted(self.hashes, hashes)
         begin, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         if len(self.hashes):
@@ -112,12 +150,11 @@ class Encoder:
         new = np.flatnonzero(~met)
         if not len(new):
             return begin, size, self.ids
-        data = raw.tobytes()
-        texts = [data[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size[new] = [len(x) for x in found]
-        begin[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
-        pool = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size[new].sum()))])
+        data, pool = raw.tobytes(), self.ids
+        for which, encoded in ((new[sure[new]], self._encode_joined), (new[~sure[new]], self._encode_apart)):
+            ids, sizes = encoded([data[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)])
+            size[which], begin[which] = sizes, len(pool) + np.cumsum(sizes) - sizes
+            pool = np.concatenate([pool, ids])
         if len(self.hashes) + len(new) <= self.limit:
             self.hashes, self.ids = np.insert(self.hashes, at[new], hashes[new]), pool
             self.begin, self.size = np.insert(self.begin, at[new], begin[new]), np.insert(self.size, at[new], size[new])
