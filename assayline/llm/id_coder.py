@@ -18,12 +18,13 @@ import zlib
 import numpy as np
 
 MAGIC = b"ACMR"
+VERSION = 3
 _HEAD = struct.Struct("<4sHHII")  # magic, version, unused, ids of a full block, groups
 _GROUP = struct.Struct("<IIII")  # blocks, distinct ids, bytes of the table of ids, its crc32
 _BLOCK = struct.Struct("<III")  # ids, bytes, crc32 of the ids as little-endian 32-bit numbers and of the bytes
 
 #: Cells a lane has for each order (a power of two); a cell is an id's place (22 bits), 7 bits of its context's hash and 2 of confidence.
-_CELLS = 10
+_CELLS = 8
 #: Ids of a group, so that places fit a cell.
 GROUP_IDS = 1 << 22
 #: The most that the weights of orders 2 and 1 sum to, of 65536; what is left is order 0's.
@@ -32,9 +33,9 @@ _RATE = 5
 _FULL = np.uint64((1 << 48) - 1)
 _SMALL = np.uint64(1 << 32)
 _16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
-#: By whether a cell was right and how sure it was: what is added to it, and whether it stays.
-_CHANGE = np.array([0, 0, -1, -2, 0, 1, 1, 0], np.int32)
-_STAYS = np.array([0, 0, 1, 1, 0, 1, 1, 1], np.int32)
+#: By whether a cell was right and how sure it was: what is added to it, or that it gives way to a new one.
+_NEW = 9
+_CHANGE = np.array([_NEW, _NEW, -1, -2, _NEW, 1, 1, 0], np.int32)
 
 
 class _Order0:
@@ -117,7 +118,7 @@ class _Model:
         over = place >= end
         inside = (place >= start) > over
         past = units * over
-        x = slots.take((place - past[0] - past[1]) // self.w0, mode="clip")
+        x = slots.take(((place - past[0] - past[1]) / self.w0).astype(np.int32), mode="clip")
         np.copyto(x, said[1], where=inside[1])
         np.copyto(x, said[0], where=inside[0])
         return x
@@ -132,7 +133,8 @@ class _Model:
         self.weights[self.where] = aim
         state = self.right * np.int32(4) + self.sure
         new = (x << 9) + (self.tag << 2) + 1
-        self.cells[self.at] = new + (self.cell + _CHANGE.take(state) - new) * _STAYS.take(state)
+        change = _CHANGE.take(state)
+        self.cells[self.at] = np.where(change == _NEW, new, self.cell + change)
 
 
 def _encode_lanes(blocks: list[np.ndarray], order0: _Order0) -> list[bytes]:
@@ -196,13 +198,14 @@ def _decode_lanes(parts: list[bytes], lengths: np.ndarray, order0: _Order0) -> l
     width = np.full(lanes, _FULL)
     ids = np.zeros((lengths[0], lanes), np.int32)
     shift = np.uint64(order0.bits + order0.weight_bits)
-    last = np.uint64((1 << int(shift)) - 1)
+    last = float((1 << int(shift)) - 1)
     before = older = np.zeros(lanes, np.int32)
     for t in range(lengths[0]):
         n = int(np.searchsorted(-lengths, -t, side="left"))
         model.predict(n, before, older)
         unit = width[:n] >> shift
-        x = model.find(np.minimum(code[:n] // unit, last).astype(np.int32), slots)
+        # Numbers of 48 bits at most, whose quotients of 53 bits round down to the whole ones.
+        x = model.find(np.minimum(code[:n] / unit, last).astype(np.int32), slots)
         start, own = model.interval(x)
         code[:n] -= unit * start.view(np.uint32)
         np.multiply(unit, own.view(np.uint32), out=width[:n])
@@ -256,7 +259,7 @@ def encode(ids: np.ndarray, block_ids: int = 1024) -> bytes:
     parts = -(-len(ids) // (GROUP_IDS - block_ids))
     step = -(-len(ids) // max(parts, 1) // block_ids) * block_ids or block_ids
     groups = [_encode_group(ids[i : i + step], block_ids) for i in range(0, len(ids), step)]
-    return _HEAD.pack(MAGIC, 2, 0, block_ids, len(groups)) + b"".join(groups)
+    return _HEAD.pack(MAGIC, VERSION, 0, block_ids, len(groups)) + b"".join(groups)
 
 
 class _Reader:
@@ -291,7 +294,7 @@ def decode(data: bytes) -> np.ndarray:
     """What ``encode`` was given; a block or table whose checksum differs raises ValueError."""
     source = _Reader(data)
     magic, version, _, _, groups = _HEAD.unpack(source.take(_HEAD.size))
-    if magic != MAGIC or version != 2:
+    if magic != MAGIC or version != VERSION:
         raise ValueError("not a file of coded ids")
     out = [_decode_group(source) for _ in range(groups)]
     if source.at != len(data):

@@ -7,6 +7,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,13 +21,14 @@ from .id_coder import decode, encode
 
 @dataclass(frozen=True)
 class TokenParams:
-    """``segment_ids``: a segment, one row of a file, holds whole documents of at least so many ids; ``cache``: pieces whose ids a task keeps."""
+    """``segment_ids``: a segment, one row of a file, holds whole documents of at least so many ids; ``cache_bits``: a Python worker has places for
+    ``1 << cache_bits`` pieces whose ids it keeps, and forgets all when they have four times as many ids."""
 
     tokenizer: str
     end_id: int = 0
     block_ids: int = 1024
     segment_ids: int = 3 << 20
-    cache: int = 1_000_000
+    cache_bits: int = 21
     slice_bytes: int = 1 << 21
 
 
@@ -51,7 +53,7 @@ _JOINED = 1024
 
 
 class Encoder:
-    """A tokenizer that meets each distinct piece of a text once.
+    """A tokenizer that seldom meets a piece of a text twice.
 
     Byte-level tokenizers split a text before the space of a word that follows a
     visible character, and before a mark that follows a letter, whatever stands around; pieces between
@@ -75,11 +77,16 @@ class Encoder:
         # A byte-level vocabulary writes each byte as one character.
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
-        # Pieces met before, by ascending hash: where their ids begin among all kept ids, and how many they are.
-        self.hashes = np.zeros(0, np.uint64)
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bits = params.cache_bits
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table of pieces: at the place that its hash says a piece has its hash, where its ids begin among all kept, and how many they are."""
+        # No place begins with a hash that belongs there.
+        self.hashes = np.full(1 << self.bits, 2**64 - 1, np.uint64)
+        self.hashes[-1] = 0
+        self.begin, self.size = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
         self.ids = np.zeros(0, np.uint32)
-        self.limit = params.cache
 
     def _pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(cuts, sure)``: the places where pieces begin or end, and which pieces begin with a cut's space and end at a cut."""
@@ -110,14 +117,12 @@ class Encoder:
         raw, offsets = B.utf8(column)
         cuts, sure = self._pieces(raw, offsets)
         start, end = cuts[:-1], cuts[1:]
-        hashes, first, back = np.unique(B.span_hashes(raw, start, end), return_index=True, return_inverse=True)
-        begin, size, pool = self._of_pieces(raw, hashes, start[first], end[first], sure[first])
-        n = size[back]
+        begin, n = self._of_pieces(raw, start, end, sure)
         upto = np.cumsum(n)
-        place = np.repeat(begin[back] - (upto - n), n)
+        place = np.repeat(begin - (upto - n), n)
         place += np.arange(len(place))
         ends = np.concatenate([[0], upto])[np.searchsorted(cuts, offsets)] if len(cuts) else np.zeros(len(offsets), np.int64)
-        return pool[place], np.diff(ends)
+        return self.ids.take(place), np.diff(ends)
 
     def _encode_apart(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, sizes)`` of texts that are encoded one by one."""
@@ -137,28 +142,34 @@ class Encoder:
             return self._encode_apart(texts)
         return ids, np.diff(last, prepend=-1)
 
-    def _of_pieces(self, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(begin, size, pool)``: where in the pool the ids of each distinct piece begin, and how many they are; ``sure``: as ``_pieces`` says."""
-        at = np.searchsorted(self.hashes, hashes)
-        begin, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        if len(self.hashes):
-            near = np.minimum(at, len(self.hashes) - 1)
-            met = self.hashes[near] == hashes
-            begin[met], size[met] = self.begin[near[met]], self.size[near[met]]
-        else:
-            met = np.zeros(len(hashes), bool)
-        new = np.flatnonzero(~met)
+    def _of_pieces(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(begin, size)``: where in ``self.ids`` the ids of each piece begin, and how many they are; ``sure``: as ``_pieces`` says."""
+        if len(self.ids) > 4 << self.bits:
+            self._forget()
+        hashes = B.span_hashes(raw, start, end)
+        place = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        begin, size = self.begin.take(place), self.size.take(place)
+        new = np.flatnonzero(self.hashes.take(place) != hashes)
         if not len(new):
-            return begin, size, self.ids
-        data, pool = raw.tobytes(), self.ids
-        for which, encoded in ((new[sure[new]], self._encode_joined), (new[~sure[new]], self._encode_apart)):
-            ids, sizes = encoded([data[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)])
-            size[which], begin[which] = sizes, len(pool) + np.cumsum(sizes) - sizes
-            pool = np.concatenate([pool, ids])
-        if len(self.hashes) + len(new) <= self.limit:
-            self.hashes, self.ids = np.insert(self.hashes, at[new], hashes[new]), pool
-            self.begin, self.size = np.insert(self.begin, at[new], begin[new]), np.insert(self.size, at[new], size[new])
-        return begin, size, pool
+            return begin, size
+        distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+        at = new[first]
+        data, begins, sizes = raw.tobytes(), np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+        for which, encoded in ((sure[at], self._encode_joined), (~sure[at], self._encode_apart)):
+            some = at[which]
+            ids, counts = encoded([data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+            sizes[which], begins[which] = counts, len(self.ids) + np.cumsum(counts) - counts
+            self.ids = np.concatenate([self.ids, ids])
+        # Of pieces with one place the last keeps it, in all three tables.
+        self.hashes[place[at]], self.begin[place[at]], self.size[place[at]] = distinct, begins, sizes
+        begin[new], size[new] = begins[back], sizes[back]
+        return begin, size
+
+
+@lru_cache(maxsize=1)
+def _encoder(params: TokenParams) -> Encoder:
+    """The encoder of a Python worker, which serves many tasks; the tokenizer's file mustn't change meanwhile."""
+    return Encoder(params)
 
 
 _SEGMENT = "part int, seq int, doc_ids array<long>, lengths array<int>, n_ids long, data binary"
@@ -183,7 +194,7 @@ def write_ids(docs: DataFrame, path: str, params: TokenParams) -> None:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = Encoder(p)
+        encoder = _encoder(p)
         ids: list[np.ndarray] = []
         docs_in: list[int | None] = []
         lengths: list[np.ndarray] = []
