@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ranks import rounded
 from . import sql
+from .bpe_transducer import BpeParams, decode_bpe, encode_bpe
 from .chat_format import repair_chats
 from .fingerprints import fingerprints
 from .host_rules import host_rules
@@ -74,6 +75,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("copies.shard").alias("shards"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    params = BpeParams(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    back = decode_bpe(encode_bpe(_table(spark, sf_dir, "documents"), params), params)
+    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256")
+    return back.select("doc_id", "n_tokens", *digests, "broken")
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_licenses": op2_licenses,
@@ -85,6 +95,7 @@ QUERIES = {
     "op8_near_dup": op8_near_dup,
     "op9_host_rules": op9_host_rules,
     "op10_mixing": op10_mixing,
+    "op11_bpe": op11_bpe,
 }
 
 SQL = {"op2_licenses": sql.licenses(), "op8_near_dup": sql.near_dup(), "op9_host_rules": sql.host_rules()}
