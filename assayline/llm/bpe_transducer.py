@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import _bytes as B
 
 _NEVER = 1 << 62
+#: The state before any byte: no token, and one branch at the root.
+_FIRST = array("i", [-1, 0, 0]).tobytes()
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ class BpeParams:
 
     ranks: str
     pattern: str
-    max_states: int = 1 << 17
+    max_states: int = 1 << 18
     max_matches: int = 1 << 17
     step_ids: int = 1 << 16
 
@@ -115,7 +117,7 @@ class Transducer:
     """The deterministic machine.
 
     Nodes (read parts of tokens) and states are numbers, and what is known of them is in flat tables of
-    numbers, which Python's garbage collector passes by. ``whats[state]`` is the token emitted last (-1: none) and then, for each
+    numbers, which Python's garbage collector passes by. ``whats[state]`` holds, packed, the token emitted last (-1: none) and then, for each
     branch, its node, how many tokens it has and these tokens; the last branch is the one whose tokens end here.
     """
 
@@ -135,20 +137,20 @@ class Transducer:
                     self.more.append(0)
             if self.merges.stands(token):
                 self.token[node] = token
-        self._forget((-1, 0, 0))
+        self._forget(_FIRST)
 
-    def _forget(self, what: tuple[int, ...]) -> int:
+    def _forget(self, what: bytes) -> int:
         """Forgets all but the first state and the one of ``what``, whose new number it returns."""
-        self.states: dict[tuple[int, ...], int] = {}
-        self.whats: list[tuple[int, ...]] = []
+        self.states: dict[bytes, int] = {}
+        self.whats: list[bytes] = []
         #: ``state << 8 | byte`` to the next state and, from bit 32 on, the place in ``emits`` of what is emitted.
         self.moves: dict[int, int] = {}
         self.emits: list[tuple[int, ...]] = [()]
         self.places: dict[tuple[int, ...], int] = {(): 0}
-        self._state((-1, 0, 0))
+        self._state(_FIRST)
         return self._state(what)
 
-    def _state(self, what: tuple[int, ...]) -> int:
+    def _state(self, what: bytes) -> int:
         found = self.states.get(what)
         if found is None:
             found = self.states[what] = len(self.whats)
@@ -156,12 +158,12 @@ class Transducer:
         return found
 
     def _move(self, state: int, byte: int) -> int:
-        what = self.whats[state]
+        what = array("i", self.whats[state]).tolist()
         emitted, at, ended, alive = what[0], 1, None, []
         while at < len(what):
             node, upto = self.child.get(what[at] << 8 | byte), at + 2 + what[at + 1]
             if node is not None:
-                tokens = what[at + 2 : upto]
+                tokens = tuple(what[at + 2 : upto])
                 token = self.token[node]
                 if token >= 0 and ended is None:
                     before = tokens[-1] if tokens else emitted
@@ -182,7 +184,7 @@ class Transducer:
         following = [(ended[n - 1] if n else emitted) if bare else -1]
         for node, tokens in (*alive, (0, ended)):
             following += (node, len(tokens) - n, *tokens[n:])
-        move = self._state(tuple(following))
+        move = self._state(array("i", following).tobytes())
         if n:
             place = self.places.get(ended[:n])
             if place is None:
@@ -195,7 +197,7 @@ class Transducer:
     def encode(self, data: bytes) -> array:
         """The ids of one match, as unsigned 32-bit integers."""
         if len(self.whats) > self.max_states:
-            self._forget((-1, 0, 0))
+            self._forget(_FIRST)
         out, state, moves = array("I"), 0, self.moves
         for at, byte in enumerate(data):
             move = moves.get(state << 8 | byte)
@@ -207,7 +209,7 @@ class Transducer:
             if move >> 32:
                 out.extend(self.emits[move >> 32])
             state = move & 0xFFFFFFFF
-        what, at = self.whats[state], 1
+        what, at = array("i", self.whats[state]), 1
         while at + 2 + what[at + 1] < len(what):
             at += 2 + what[at + 1]
         out.extend(what[at + 2 :])
