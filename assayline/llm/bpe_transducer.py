@@ -209,7 +209,7 @@ class Transducer:
             if move >> 32:
                 out.extend(self.emits[move >> 32])
             state = move & 0xFFFFFFFF
-        what, at = array("i", self.whats[state]), 1
+        what, at = array("i", self.whats[state]).tolist(), 1
         while at + 2 + what[at + 1] < len(what):
             at += 2 + what[at + 1]
         out.extend(what[at + 2 :])
