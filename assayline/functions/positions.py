@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .names import free_names
+from .scratch import written
 
 
 def running_start(
@@ -32,6 +33,34 @@ def running_start(
     )
 
 
+def places(df: DataFrame, group: list[str], order: list[str], out: str, of: str | None = None) -> DataFrame:
+    """Add ``out``: how many rows of its group stand before a row, by ``order``; ``of``: how many the group has.
+
+    Rows are dealt by range of group and order, so a large group spreads over many
+    tasks; only a row a range and group is counted up. Rows that are equal in all of these columns are told apart by a
+    seeded draw, so that they spread too. Groups and order may hold nulls, which come first. ``df`` is written once
+    to the shared folder, hence places don't change when tasks are done again.
+    """
+    part, line, first, n, draw = free_names(df, "_part", "_line", "_first", "_n", "_draw")
+    keys = [*group, *order, draw]
+    ranged = df.withColumn(draw, F.rand(7)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(draw)
+    # The upper bits of such an id are the task's number, the lower ones count its rows.
+    numbered = ranged.withColumn(line, F.monotonically_increasing_id()).withColumn(part, F.shiftright(line, 33))
+    rows = written(numbered, "places")
+    counted = rows.groupBy(*group, part).agg(F.min(line).alias(first), F.count("*").alias(n))
+    before = W.partitionBy(*group).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = counted.withColumn(out, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first))
+    if of:
+        starts = starts.withColumn(of, F.sum(n).over(W.partitionBy(*group)))
+    starts = written(starts.drop(first, n), "starts")
+    given = starts.select(*[F.col(c).alias(f"{part}{i}") for i, c in enumerate(group)], F.col(part).alias(n), out, *([of] if of else []))
+    same = F.col(part) == F.col(n)
+    for i, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"{part}{i}"))
+    found = rows.join(given, same).withColumn(out, F.col(out) + F.col(line))
+    return found.drop(part, line, n, *[f"{part}{i}" for i in range(len(group))])
+
+
 def sorted_cells(df: DataFrame, group: list[str], value: str, cell: str, cells: int = 64) -> DataFrame:
     """``df`` with ``cell``: a range of ``value`` in its group, ascending, so that no task sorts a large group whole.
 

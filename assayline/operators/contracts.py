@@ -31,6 +31,13 @@ def _text(name: str) -> Column:
     return F.trim(F.col(f"`{name}`").cast("string"))
 
 
+def as_date(name: str) -> Column:
+    """The column as a date: ``yyyy-MM-dd`` and nothing else, but for a time that is midnight; null where it is something else."""
+    text = _text(name)
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]00:00(:00(\.0+)?)?)?$"), F.substring(text, 1, 10))
+    return F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date")
+
+
 def typed(field: Field) -> Column:
     """The field as its type, null where it can't be."""
     text = _text(field.name)
@@ -45,8 +52,7 @@ def typed(field: Field) -> Column:
         low = F.lower(blank)
         return F.when(low.isin("true", "1", "yes", "y", "on", "t", "1.0"), True).when(low.isin("false", "0", "no", "n", "off", "f", "0.0"), False)
     if field.kind == "date":
-        day = F.when(blank.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(blank, 1, 10))
-        return F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date")
+        return as_date(field.name)
     return text
 
 

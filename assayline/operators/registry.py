@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .contracts import with_row_numbers
+from ..functions.scratch import written
+from .contracts import as_date, with_row_numbers
 from .labels import KEYS, adjudicate_events
 
 # The rules of intake policy 2.
@@ -49,46 +50,64 @@ def check_intake(intake: DataFrame) -> DataFrame:
 
 
 def check_policy(intake: DataFrame, checks: DataFrame) -> DataFrame:
-    """Eligibility checks against their intake and its policy, and intake statuses against their checks."""
-    spark = intake.sparkSession
-    own = intake.select(
-        F.col("row_number").alias("i_row"), "intake_id", F.col("screen_id").alias("i_screen"), F.col("assessment_stage").alias("i_stage"),
-        F.col("policy_version").cast("int").alias("policy_version"), "status",
+    """Eligibility checks against their intake and its policy, and intake statuses against their checks.
+
+    Of intake rows with one intake_id the last counts. A check whose screen or stage differs from its intake's isn't looked at
+    further. A rule is absent if it has no check at all; one that is repeated, or whose outcome isn't ``pass`` (null included), is
+    there but not passed. Checks are read and joined once and written; what follows are aggregations of that table.
+    """
+    own = intake.groupBy("intake_id").agg(
+        F.max_by(F.struct(F.col("row_number").alias("i_row"), F.col("screen_id").alias("i_screen"), F.col("assessment_stage").alias("i_stage"),
+                          F.col("policy_version").cast("int").alias("policy_version"), "status"), "row_number").alias("own")
+    ).select("intake_id", "own.*")
+    policies = policy_table(intake.sparkSession)
+    supported = F.coalesce(F.col("policy_version").isin(*POLICIES), F.lit(False))
+    same_screen, same_stage = F.col("screen_id").eqNullSafe(F.col("i_screen")), F.col("assessment_stage").eqNullSafe(F.col("i_stage"))
+    counts = F.col("i_row").isNotNull() & same_screen & same_stage & supported
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    odd = (flag("required_for_scope") != flag("in_scope")) | (flag("required_for_benchmark") != flag("in_benchmark"))
+    codes = [
+        F.when(F.col("i_row").isNull(), "unknown_intake_id"),
+        F.when(F.col("i_row").isNotNull() & ~same_screen, "screen_differs_from_intake"),
+        F.when(F.col("i_row").isNotNull() & ~same_stage, "stage_differs_from_intake"),
+        F.when(counts & odd, "rule_flags_differ_from_policy"),
+    ]
+    judged = checks.join(own, "intake_id", "left").join(F.broadcast(policies), ["policy_version", "rule_id"], "left")  # the policies' rules
+    judged = written(
+        judged.select("row_number", "intake_id", "rule_id", "outcome", flag("in_scope").alias("in_scope"), flag("in_benchmark").alias("in_benchmark"),
+                      counts.alias("counts"), F.array_compact(F.array(*codes)).alias("codes")), "judged"
     )
-    out = [unknown_keys(checks, "eligibility_check", intake, ["intake_id"])]
-    linked = checks.join(own, "intake_id")
-    out.append(_errors(linked.where("not (screen_id <=> i_screen)"), "eligibility_check", "screen_differs_from_intake"))
-    out.append(_errors(linked.where("not (assessment_stage <=> i_stage)"), "eligibility_check", "stage_differs_from_intake"))
-    versions = policy_table(spark).select("policy_version").distinct()
-    out.append(_errors(own.join(versions, "policy_version", "left_anti").withColumnRenamed("i_row", "row_number"), "screen_intake", "unsupported_policy"))
-    matched = linked.where("(screen_id <=> i_screen) and (assessment_stage <=> i_stage)").join(versions, "policy_version", "left_semi")
-    flagged = matched.join(F.broadcast(policy_table(spark)), ["policy_version", "rule_id"], "left")  # the policies' rules
-    for flag, due in (("required_for_scope", "in_scope"), ("required_for_benchmark", "in_benchmark")):
-        odd = flagged.where(F.coalesce(F.col(flag).cast("boolean"), F.lit(False)) != F.coalesce(due, F.lit(False)))
-        out.append(_errors(odd, "eligibility_check", f"{flag}_differs_from_policy"))
-    per_rule = matched.groupBy("intake_id", "rule_id").agg(
-        F.count("*").alias("n"), F.min("row_number").alias("row"), F.first("outcome").alias("outcome")
-    )
-    repeated = per_rule.where("n > 1").groupBy("intake_id").agg(
-        F.min("row").alias("row_number"), F.array_join(F.sort_array(F.collect_set("rule_id")), "|").alias("rules")
+    of_checks = _errors(judged.select("row_number", F.explode("codes").alias("code")), "eligibility_check", F.col("code"))
+
+    per_rule = judged.where("counts").groupBy("intake_id", "rule_id", "in_scope", "in_benchmark").agg(
+        F.count("*").alias("n"), F.min("row_number").alias("row"), F.min("outcome").alias("outcome")
     )
-    out.append(_errors(repeated, "eligibility_check", F.concat(F.lit("repeated_rules:"), "rules")))
-    # A handful of rules per intake: what it should have, beside what it has once.
-    due = own.join(versions, "policy_version", "left_semi").join(F.broadcast(policy_table(spark)), "policy_version")
-    seen = due.join(per_rule.where("n = 1"), ["intake_id", "rule_id"], "left").groupBy("intake_id", "i_row", "status").agg(
-        F.count_if(F.col("in_benchmark") & F.col("outcome").isNull()).alias("absent"),
-        F.count_if(F.col("in_benchmark") & (F.col("outcome") != "pass")).alias("not_passed"),
-        F.count_if(F.col("in_scope") & (F.col("outcome") == "fail")).alias("scope_failed"),
+    once = F.col("n") == 1
+    per_intake = per_rule.groupBy("intake_id").agg(
+        F.count_if("in_benchmark").alias("there"),
+        F.count_if(F.col("in_benchmark") & once & (F.col("outcome") == "pass")).alias("passed"),
+        F.count_if(F.col("in_scope") & once & (F.col("outcome") == "fail")).alias("failed"),
+        F.min(F.when(~once, F.col("row"))).alias("repeated_row"),
+        F.array_join(F.sort_array(F.collect_set(F.when(~once, F.coalesce("rule_id", F.lit(""))))), "|").alias("repeated"),
     )
-    seen = seen.withColumnRenamed("i_row", "row_number")
-    for test, code in (
-        ("status = 'benchmark_ready' and absent > 0", "ready_without_every_rule"),
-        ("status = 'benchmark_ready' and not_passed > 0", "ready_with_unpassed_rule"),
-        ("scope_failed > 0 and status <> 'exclude'", "failed_scope_not_excluded"),
-        ("status = 'exclude' and scope_failed = 0", "excluded_without_failed_scope"),
-    ):
-        out.append(_errors(seen.where(test), "screen_intake", code))
-    return reduce(DataFrame.unionByName, out)
+    due = policies.groupBy("policy_version").agg(F.count_if("in_benchmark").alias("due"))
+    seen = own.join(F.broadcast(due), "policy_version", "left").join(per_intake, "intake_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ready, excluded = F.col("status") == "benchmark_ready", F.coalesce(F.col("status") == "exclude", F.lit(False))
+
+    def error(test: Column, code: str | Column, table: str = "screen_intake", row: str = "i_row") -> Column:
+        return F.when(test, F.struct(F.lit(table).alias("table"), F.col(row).alias("row_number"), (F.lit(code) if isinstance(code, str) else code).alias("error")))
+
+    found = [
+        error(~supported, "unsupported_policy"),
+        error(supported & F.col("repeated_row").isNotNull(), F.concat(F.lit("repeated_rules:"), "repeated"), "eligibility_check", "repeated_row"),
+        error(supported & ready & (n("there") < F.col("due")), "ready_without_every_rule"),
+        error(supported & ready & (n("passed") < n("there")), "ready_with_unpassed_rule"),
+        error(supported & ~excluded & (n("failed") > 0), "failed_scope_not_excluded"),
+        error(supported & excluded & (n("failed") == 0), "excluded_without_failed_scope"),
+    ]
+    of_intake = seen.select(F.explode(F.array_compact(F.array(*found))).alias("e")).select("e.table", "e.row_number", "e.error")
+    return of_checks.unionByName(of_intake)
 
 
 def check_study_links(table: str, rows: DataFrame, studies: DataFrame, screens: DataFrame) -> DataFrame:
@@ -120,9 +139,8 @@ def check_candidates(candidates: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def check_evidence_dates(evidence: DataFrame) -> DataFrame:
-    """Evidence is retrieved when it is available or later; what isn't a date is left out."""
-    day = lambda c: F.try_to_timestamp(F.col(c).cast("string")).cast("date")
-    return _errors(evidence.where(day("retrieved_date") < day("available_date")), "evidence", "retrieved_before_available")
+    """Evidence is retrieved when it is available or later; what isn't a date, by the rule of the contracts, is left out."""
+    return _errors(evidence.where(as_date("retrieved_date") < as_date("available_date")), "evidence", "retrieved_before_available")
 
 
 def registry_errors(tables: dict[str, DataFrame]) -> DataFrame:
@@ -152,7 +170,7 @@ def registry_errors(tables: dict[str, DataFrame]) -> DataFrame:
         if name in t:
             out.append(check_study_links(name, t[name], studies, screens))
             if "contrast" in t:
-                out.append(unknown_keys(t[name], name, t["contrast"], ["screen_id", "contrast_id"], nulls_ok=True))
+                out.append(unknown_keys(t[name], name, t["contrast"], ["screen_id", "contrast_id"]))
     if "evidence" in t:
         out.append(check_evidence_dates(t["evidence"]))
     if "candidate" in t and "validation_event" in t:

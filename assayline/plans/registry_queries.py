@@ -27,7 +27,7 @@ _VIEWS = {
     ]),
     "sample": ("customer", [
         "concat('N', c_nationkey) as study_id", "case when c_custkey % 7 = 0 then null else concat('S', c_custkey % 105) end as screen_id",
-        "concat('C', c_custkey % 4) as contrast_id", "cast(c_custkey + 1 as bigint) as row_number",
+        "case when c_custkey % 9 = 0 then null else concat('C', c_custkey % 4) end as contrast_id", "cast(c_custkey + 1 as bigint) as row_number",
     ]),
     "screen_design": ("supplier", [
         "concat('S', s_suppkey) as screen_id", "case when s_suppkey % 4 = 0 then concat('S', s_suppkey * 2) end as parent_screen_id",
@@ -38,7 +38,7 @@ _VIEWS = {
         "cast(s_suppkey + 1 as bigint) as row_number",
     ]),
     "evidence": ("orders", [
-        "case when o_orderkey % 10 = 0 then 'soon' when o_orderkey % 3 = 0 then '2024-01-15' else '2024-03-01' end as available_date",
+        "case when o_orderkey % 10 = 0 then 'soon' when o_orderkey % 7 = 0 then '2024-03-01x' when o_orderkey % 11 = 0 then '2024-03-01 00:00:00' when o_orderkey % 3 = 0 then '2024-01-15' else '2024-03-01' end as available_date",
         "case when o_orderkey % 4 = 0 then '2024-02-01' else '2024-04-01' end as retrieved_date", "cast(o_orderkey as bigint) as row_number",
     ]),
     "screen_intake": ("supplier", [
@@ -84,8 +84,8 @@ _VIEWS["eligibility_check"] = ("lineitem", [
     "concat('S', l_suppkey + case when l_partkey % 40 = 0 then 1 else 0 end) as screen_id",
     "case when l_suppkey % 3 = 0 then 'index' when l_partkey % 30 = 0 then 'index' else 'curated' end as assessment_stage",
     "case l_orderkey % 13 " + " ".join(f"when {i} then '{r}'" for i, r in enumerate(registry.BENCHMARK_RULES)) + " end as rule_id",
-    "case l_partkey % 4 when 0 then 'fail' when 1 then 'unknown' else 'pass' end as outcome",
-    "l_orderkey % 13 < 4 as required_for_scope", "l_linenumber <> 7 as required_for_benchmark",
+    "case when l_partkey % 9 = 0 then null when l_partkey % 4 = 0 then 'fail' when l_partkey % 4 = 1 then 'unknown' else 'pass' end as outcome",
+    "case when l_linenumber = 6 then null else l_orderkey % 13 < 4 end as required_for_scope", "case when l_linenumber = 5 then null else l_linenumber <> 7 end as required_for_benchmark",
     "cast(l_orderkey * 10 + l_linenumber as bigint) as row_number",
 ])
 
@@ -151,7 +151,7 @@ def r23_provenance(spark, sf_dir):
 
 
 def r22_contrast_pairs(spark, sf_dir):
-    return registry.unknown_keys(view(spark, sf_dir, "sample"), "sample", view(spark, sf_dir, "contrast"), ["screen_id", "contrast_id"], nulls_ok=True)
+    return registry.unknown_keys(view(spark, sf_dir, "sample"), "sample", view(spark, sf_dir, "contrast"), ["screen_id", "contrast_id"])
 
 
 def r24_data_assets(spark, sf_dir):
@@ -235,10 +235,15 @@ def _anti(child: str, parent: str, key: str, parent_key: str | None = None, null
 
 _LINKS = f"""{_anti('sample', 'study', 'study_id')} UNION ALL {_anti('sample', 'screen', 'screen_id', nulls_ok=True)}
   UNION ALL SELECT 'sample', c.row_number, 'study_differs_from_screen' FROM sample c JOIN screen p USING (screen_id) WHERE c.study_id IS DISTINCT FROM p.study_id"""
-_DATES = """SELECT 'evidence' AS "table", row_number, 'retrieved_before_available' AS error FROM evidence WHERE TRY_CAST(retrieved_date AS DATE) < TRY_CAST(available_date AS DATE)"""
+def _day(column: str) -> str:
+    return f"CASE WHEN regexp_full_match({column}, '\\d{{4}}-\\d{{2}}-\\d{{2}}( 00:00:00)?') THEN TRY_CAST(left({column}, 10) AS DATE) END"
+
+
+_DATES = f"""SELECT 'evidence' AS "table", row_number, 'retrieved_before_available' AS error FROM evidence
+  WHERE {_day('retrieved_date')} < {_day('available_date')}"""
 _ASSETS = f"{_anti('data_asset', 'study', 'study_id', nulls_ok=True)} UNION ALL {_anti('data_asset', 'screen', 'screen_id', nulls_ok=True)}"
 _PARENT = _anti("screen_design", "screen", "parent_screen_id", "screen_id", nulls_ok=True)
-_PAIRS = _anti("sample", "contrast", "screen_id, contrast_id", nulls_ok=True)
+_PAIRS = _anti("sample", "contrast", "screen_id, contrast_id")
 _PROVENANCE = " UNION ALL ".join(
     _anti("design_provenance", parent, keys, nulls_ok=True) for parent, keys in (("study", "study_id"), ("screen", "screen_id"), ("contrast", "screen_id, contrast_id"))
 )
@@ -249,17 +254,17 @@ UNION ALL SELECT 'screen_intake', row_number, 'excluded_candidate' FROM screen_i
 _POLICY_TABLES = f"""rules AS (SELECT unnest([{_RULE_TEXT}]) AS rule_id),
 linked AS (SELECT c.*, i.row_number AS i_row, i.screen_id AS i_screen, i.assessment_stage AS i_stage, i.policy_version, i.status FROM eligibility_check c JOIN screen_intake i USING (intake_id)),
 matched AS (SELECT * FROM linked WHERE screen_id = i_screen AND assessment_stage = i_stage AND policy_version = 2),
-per AS (SELECT intake_id, rule_id, count(*) AS n, min(row_number) AS r, min(outcome) AS outcome FROM matched GROUP BY ALL),
+per AS (SELECT intake_id, rule_id, count(*) AS n, min(row_number) AS r, CASE WHEN count(*) = 1 THEN min(outcome) END AS outcome FROM matched GROUP BY ALL),
 seen AS (
-  SELECT i.intake_id, i.row_number, i.status, count(*) FILTER (p.outcome IS NULL) AS absent, count(*) FILTER (p.outcome <> 'pass') AS open_,
+  SELECT i.intake_id, i.row_number, i.status, count(*) FILTER (p.n IS NULL) AS absent, count(*) FILTER (p.n IS NOT NULL AND p.outcome IS DISTINCT FROM 'pass') AS open_,
     count(*) FILTER (p.outcome = 'fail' AND rule_id LIKE 'scope.%') AS failed
-  FROM screen_intake i CROSS JOIN rules LEFT JOIN (SELECT * FROM per WHERE n = 1) p USING (intake_id, rule_id) WHERE i.policy_version = 2 GROUP BY ALL)"""
+  FROM screen_intake i CROSS JOIN rules LEFT JOIN per p USING (intake_id, rule_id) WHERE i.policy_version = 2 GROUP BY ALL)"""
 _POLICY = f"""{_anti('eligibility_check', 'screen_intake', 'intake_id')}
 UNION ALL SELECT 'eligibility_check', row_number, 'screen_differs_from_intake' FROM linked WHERE screen_id <> i_screen
 UNION ALL SELECT 'eligibility_check', row_number, 'stage_differs_from_intake' FROM linked WHERE assessment_stage <> i_stage
 UNION ALL SELECT 'screen_intake', row_number, 'unsupported_policy' FROM screen_intake WHERE policy_version <> 2
-UNION ALL SELECT 'eligibility_check', row_number, 'required_for_scope_differs_from_policy' FROM matched WHERE required_for_scope <> (rule_id LIKE 'scope.%')
-UNION ALL SELECT 'eligibility_check', row_number, 'required_for_benchmark_differs_from_policy' FROM matched WHERE NOT required_for_benchmark
+UNION ALL SELECT 'eligibility_check', row_number, 'rule_flags_differ_from_policy' FROM matched
+  WHERE coalesce(required_for_scope, false) <> (rule_id LIKE 'scope.%') OR coalesce(required_for_benchmark, false) <> (rule_id IN (SELECT rule_id FROM rules))
 UNION ALL SELECT 'eligibility_check', min(r), 'repeated_rules:' || string_agg(rule_id, '|' ORDER BY rule_id) FROM per WHERE n > 1 GROUP BY intake_id
 UNION ALL SELECT 'screen_intake', row_number, 'ready_without_every_rule' FROM seen WHERE status = 'benchmark_ready' AND absent > 0
 UNION ALL SELECT 'screen_intake', row_number, 'ready_with_unpassed_rule' FROM seen WHERE status = 'benchmark_ready' AND open_ > 0
@@ -329,7 +334,7 @@ SQL = {
   UNION ALL {' UNION ALL '.join(_anti(t, 'screen', 'screen_id') for t in ('screen_design', 'contrast', 'external_screen_map', 'screen_intake', 'eligibility_check'))}
   UNION ALL {_INTAKE} UNION ALL {_POLICY} UNION ALL {_PARENT} UNION ALL {_LINKS} UNION ALL {_PAIRS} UNION ALL {_DATES} UNION ALL {_ASSETS}
   UNION ALL {' UNION ALL '.join(_anti(t, 'screen', 'screen_id', nulls_ok=True) for t in _SCORED)}
-  UNION ALL {' UNION ALL '.join(_anti(t, 'contrast', 'screen_id, contrast_id', nulls_ok=True) for t in _SCORED)}
+  UNION ALL {' UNION ALL '.join(_anti(t, 'contrast', 'screen_id, contrast_id') for t in _SCORED)}
   UNION ALL {_CANDIDATES} UNION ALL {_PROVENANCE})
 SELECT "table", error, count(*) AS n, CAST(sum(row_number) AS BIGINT) AS rows_sum FROM every GROUP BY ALL""",
     "v01_sample_errors": f"{_SAMPLE_SQL} SELECT * FROM wrong UNION ALL SELECT * FROM broken UNION ALL SELECT row_number, 'duplicate_key' FROM good WHERE same > 1",

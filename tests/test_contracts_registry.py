@@ -61,13 +61,62 @@ def test_keys_columns_and_numbers(spark):
 def test_dates(spark):
     row = {"mapping_id": "m", "screen_id": "s", "source_name": "n", "source_version": "v", "external_screen_id": "1", "relationship": "r"}
     assert _errors(spark, "external_screen_map", row | {"retrieved_date": "2026-07-30"})[0] == 1
-    for odd in ("2026-7-3", "2026-02-30", "soon"):
+    assert _errors(spark, "external_screen_map", row | {"retrieved_date": "2026-07-30 00:00:00"})[0] == 1
+    for odd in ("2026-7-3", "2026-02-30", "soon", "2024-01-15garbage", "2024-01-15T23:59:00", "x2024-01-15"):
         assert _errors(spark, "external_screen_map", row | {"retrieved_date": odd})[1] == {(2, "retrieved_date:not_date")}
 
 
 def test_registry(spark):
     studies = spark.createDataFrame([("s1",)], "study_id string")
     screens = spark.createDataFrame([("a", "s1"), ("b", "gone"), ("c", None)], "screen_id string, study_id string").coalesce(1)
-    samples = spark.createDataFrame([("s1", "a", "k"), ("s1", None, "k"), ("s1", "zz", "k")], "study_id string, screen_id string, contrast_id string").coalesce(1)
+    samples = spark.createDataFrame([("s1", "a", "k"), ("s1", None, "k"), ("s1", "zz", "k"), ("s1", "a", None)], "study_id string, screen_id string, contrast_id string").coalesce(1)
     got = {(r["table"], r["row_number"], r["error"]) for r in registry.registry_errors({"study": studies, "screen": screens, "sample": samples}).collect()}
     assert got == {("screen", 3, "unknown_study_id"), ("screen", 4, "unknown_study_id"), ("sample", 4, "unknown_screen_id")}
+    contrasts = spark.createDataFrame([("a", "k")], "screen_id string, contrast_id string")
+    tables = {"study": studies, "screen": screens, "sample": samples, "contrast": contrasts}
+    got = {(r["row_number"], r["error"]) for r in registry.registry_errors(tables).where("error like 'unknown_screen_id_contrast%'").collect()}
+    assert got == {(3, "unknown_screen_id_contrast_id"), (4, "unknown_screen_id_contrast_id"), (5, "unknown_screen_id_contrast_id")}
+
+
+_CHECK = "row_number long, intake_id string, screen_id string, assessment_stage string, rule_id string, outcome string, required_for_scope boolean, required_for_benchmark boolean"
+_INTAKE = "row_number long, intake_id string, screen_id string, assessment_stage string, status string, policy_version int"
+
+
+def _policy(spark, checks, status="benchmark_ready", version=2, intakes=()):
+    intake = spark.createDataFrame([(2, "I", "S", "curated", status, version), *intakes], _INTAKE)
+    rows = [(i, c.get("intake", "I"), c.get("screen", "S"), c.get("stage", "curated"), c["rule"], c.get("outcome", "pass"), c.get("scope", c["rule"] in registry.SCOPE_RULES), c.get("bench", True)) for i, c in enumerate(checks, 2)]
+    return sorted((r["table"][:6], r["row_number"], r["error"]) for r in registry.check_policy(intake, spark.createDataFrame(rows, _CHECK)).collect())
+
+
+def test_policy_of_ready_intakes(spark):
+    every = [{"rule": r} for r in registry.BENCHMARK_RULES]
+    assert _policy(spark, every) == []
+    assert _policy(spark, every[1:]) == [("screen", 2, "ready_without_every_rule")]
+    # A rule given twice is there, but not passed.
+    assert _policy(spark, [*every, every[5]]) == [("eligib", 7, f"repeated_rules:{registry.BENCHMARK_RULES[5]}"), ("screen", 2, "ready_with_unpassed_rule")]
+    assert _policy(spark, [*every[:-1], every[-1] | {"outcome": None}]) == [("screen", 2, "ready_with_unpassed_rule")]
+    assert _policy(spark, [*every[:-1], every[-1] | {"outcome": "fail"}]) == [("screen", 2, "ready_with_unpassed_rule")]
+    # A check of another screen or stage isn't counted; what is missing and what isn't passed are two errors.
+    assert _policy(spark, [every[0] | {"screen": "T"}, every[1] | {"stage": None}, *every[2:-1], every[-1] | {"outcome": "unknown"}]) == [
+        ("eligib", 2, "screen_differs_from_intake"), ("eligib", 3, "stage_differs_from_intake"),
+        ("screen", 2, "ready_with_unpassed_rule"), ("screen", 2, "ready_without_every_rule"),
+    ]
+    assert _policy(spark, []) == [("screen", 2, "ready_without_every_rule")]
+
+
+def test_policy_of_other_intakes(spark):
+    scope = [{"rule": r} for r in registry.SCOPE_RULES]
+    failed = [scope[0] | {"outcome": "fail"}, *scope[1:]]
+    assert _policy(spark, failed, "metadata_only") == [("screen", 2, "failed_scope_not_excluded")]
+    assert _policy(spark, failed, None) == [("screen", 2, "failed_scope_not_excluded")]
+    assert _policy(spark, failed, "exclude") == []
+    assert _policy(spark, scope, "exclude") == [("screen", 2, "excluded_without_failed_scope")]
+    # A failed rule that is repeated doesn't count as failed.
+    assert _policy(spark, [*failed, failed[0]], "exclude") == [("eligib", 2, f"repeated_rules:{registry.SCOPE_RULES[0]}"), ("screen", 2, "excluded_without_failed_scope")]
+    # Both flags wrong, or null where they should be set, is one error a row.
+    assert _policy(spark, [scope[0] | {"scope": None, "bench": None}], "metadata_only") == [("eligib", 2, "rule_flags_differ_from_policy")]
+    assert _policy(spark, [{"rule": "own.rule", "bench": None}], "metadata_only") == []
+    assert _policy(spark, scope, "exclude", version=1) == [("screen", 2, "unsupported_policy")]
+    assert _policy(spark, [scope[0] | {"intake": "J"}], "metadata_only", version=None) == [("eligib", 2, "unknown_intake_id"), ("screen", 2, "unsupported_policy")]
+    # Of intake rows with one id the last counts.
+    assert _policy(spark, scope, "exclude", intakes=[(3, "I", "S", "curated", "metadata_only", 2)]) == []
