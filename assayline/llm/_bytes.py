@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,6 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SLICE_ROWS = 4096
 #: Text in a slice, unless one document has more.
 SLICE_BYTES = 1 << 18
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,24 +30,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-_FOLDED_CODE = _BYTE_CODE.copy()
-_FOLDED_CODE[65:91] = _BYTE_CODE[97:123]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
+#: Bytes whose words are hashed at a time: what is in use doesn't grow with the text.
+_STEP = 1 << 18
+#: Longer spans are hashed one by one.
+_SHORT = 128
+#: Which bits of eight bytes count when the first ``i`` bytes do.
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
-#: Bytes that are hashed at a time: the 64-bit numbers in use don't grow with the text.
-_STEP = 1 << 15
-_ALL = (1 << 64) - 1
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """For each place, the eight bytes from there on as one number (zeros stand behind the end)."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers of ``base``."""
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
 
-
-_UP, _DOWN = _powers(int(_BASE), _STEP), _powers(int(_BASE_INV), _STEP)
+def lane(view: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first ``size`` bytes, eight at most, from each place of ``view``, as a number."""
+    return view[at] & _KEEP[np.minimum(size, 8)]
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -114,38 +116,37 @@ def spans(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
     """A 64-bit hash of each span's bytes, equal in every task; ``fold`` takes A-Z as a-z.
 
-    ``start`` and ``end`` ascend. Sums of byte codes times powers of a base are
-    taken in steps of fixed size and kept only where spans begin and end.
+    ``start`` ascends. Spans of up to 128 bytes go eight bytes at a time through a
+    bijection that mixes all bits, so that unlike bytes in one place never meet and in several only by
+    chance; longer ones are hashed by BLAKE2.
     """
-    code = _FOLDED_CODE if fold else _BYTE_CODE
-    at_start, at_end = np.zeros(len(start), np.uint64), np.zeros(len(end), np.uint64)
-    sums = np.zeros(_STEP + 1, np.uint64)
-    # Texts of one step are hashed from power 0 on, and so is each later step, times the step's own power.
-    grown = pow(int(_BASE), _STEP, 1 << 64)
-    factor, total = 1, 0
-    s = e = 0
-    for at in range(0, len(raw), _STEP):
-        part = code[raw[at : at + _STEP]]
-        n = len(part)
-        part *= _UP[:n]
-        np.cumsum(part, out=sums[1 : n + 1])
-        last = at + n >= len(raw)
-        s_to = len(start) if last else int(np.searchsorted(start, at + n))
-        e_to = len(end) if last else int(np.searchsorted(end, at + n))
-        scale = np.uint64(factor)
-        at_start[s:s_to] = np.uint64(total) + sums[start[s:s_to] - at] * scale
-        at_end[e:e_to] = np.uint64(total) + sums[end[e:e_to] - at] * scale
-        total = total + int(sums[n]) * factor & _ALL
-        factor = factor * grown & _ALL
-        s, e = s_to, e_to
-    steps, inside = np.divmod(start, _STEP)
-    shrunk = pow(int(_BASE_INV), _STEP, 1 << 64)
-    far = _powers(shrunk, int(steps[-1]) + 1)[steps] if len(steps) else np.zeros(0, np.uint64)
-    at_end -= at_start
-    at_end *= _DOWN[inside]
-    at_end *= far
-    at_end += (end - start).astype(np.uint64)
-    return mix64(at_end)
+    out, size = np.zeros(len(start), np.uint64), end - start
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        state = hashlib.blake2b(digest_size=8)
+        for at in range(int(start[i]), int(end[i]), _STEP):
+            part = raw[at : min(at + _STEP, int(end[i]))]
+            state.update((_FOLD[part] if fold else np.ascontiguousarray(part)).data)
+        out[i] = int.from_bytes(state.digest(), "little")
+    short = np.flatnonzero(size <= _SHORT)
+    steps = start[short] // _STEP
+    edges = np.flatnonzero(np.diff(steps)) + 1
+    for some in np.split(short, edges):
+        if len(some):
+            first = int(start[some[0]])
+            part = raw[first : int(end[some].max())]
+            out[some] = _short_hashes(_FOLD[part] if fold else part, start[some] - first, size[some])
+    return out
+
+
+def _short_hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    view = eights(raw)
+    out = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ lane(view, start, size))
+    rows, done = np.flatnonzero(size > 8), 8
+    while len(rows):
+        out[rows] = mix64(out[rows] ^ lane(view, start[rows] + done, size[rows] - done))
+        done += 8
+        rows = rows[size[rows] > done]
+    return out
 
 
 def count_per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:

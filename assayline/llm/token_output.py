@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.scratch import scratch_path
 from . import _bytes as B
@@ -50,6 +50,8 @@ _MARK[0x30:0x3A] = _MARK[0x27] = False
 
 #: Pieces that are given to the tokenizer as one text.
 _JOINED = 1024
+#: Bytes of the longest pieces that are kept from slice to slice.
+_TOLD = 16
 
 
 class Encoder:
@@ -81,10 +83,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Empties the table of pieces: at the place that its hash says a piece has its hash, where its ids begin among all kept, and how many they are."""
-        # No place begins with a hash that belongs there.
-        self.hashes = np.full(1 << self.bits, 2**64 - 1, np.uint64)
-        self.hashes[-1] = 0
+        """Empties the table of short pieces: at its place a piece's bytes as two numbers and their count, where its ids begin among all kept, and how many they are."""
+        self.head, self.tail, self.length = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint8)
         self.begin, self.size = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
@@ -146,23 +146,41 @@ class Encoder:
         """``(begin, size)``: where in ``self.ids`` the ids of each piece begin, and how many they are; ``sure``: as ``_pieces`` says."""
         if len(self.ids) > 4 << self.bits:
             self._forget()
-        hashes = B.span_hashes(raw, start, end)
-        place = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        # The first and the last eight bytes and the length are all of a piece of up to sixteen; a longer one's length is
+        # told as 255, which none in the table has.
+        length = end - start
+        view = B.eights(raw)
+        head, tail = B.lane(view, start, length), B.lane(view, np.maximum(end - 8, start), length)
+        told = np.where(length > _TOLD, 255, length).astype(np.uint8)
+        place = (B.mix64(B.mix64(head + told) ^ tail) >> np.uint64(64 - self.bits)).astype(np.int64)
         begin, size = self.begin.take(place), self.size.take(place)
-        new = np.flatnonzero(self.hashes.take(place) != hashes)
+        known = (self.length.take(place) == told) & (self.head.take(place) == head) & (self.tail.take(place) == tail)
+        new = np.flatnonzero(~known)
         if not len(new):
             return begin, size
-        distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-        at = new[first]
-        data, begins, sizes = raw.tobytes(), np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+        data = raw.tobytes()
+        short, long_ = new[told[new] < 255], new[told[new] == 255]
+        order = short[np.lexsort((told[short], tail[short], head[short]))]
+        first = np.ones(len(order), bool)
+        first[1:] = (head[order[1:]] != head[order[:-1]]) | (tail[order[1:]] != tail[order[:-1]]) | (told[order[1:]] != told[order[:-1]])
+        seen: dict[bytes, int] = {}
+        of_long = [seen.setdefault(data[a:b], i) for i, (a, b) in enumerate(zip(start[long_].tolist(), end[long_].tolist(), strict=True))]
+        of_long, which_long = np.unique(np.array(of_long, np.int64), return_inverse=True)
+        at = np.concatenate([order[first], long_[of_long]])
+        begins, sizes = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
         for which, encoded in ((sure[at], self._encode_joined), (~sure[at], self._encode_apart)):
             some = at[which]
             ids, counts = encoded([data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
             sizes[which], begins[which] = counts, len(self.ids) + np.cumsum(counts) - counts
             self.ids = np.concatenate([self.ids, ids])
-        # Of pieces with one place the last keeps it, in all three tables.
-        self.hashes[place[at]], self.begin[place[at]], self.size[place[at]] = distinct, begins, sizes
-        begin[new], size[new] = begins[back], sizes[back]
+        # Of short pieces with one place the last keeps it, in all tables.
+        n = int(first.sum())
+        kept, where = at[:n], place[at[:n]]
+        self.head[where], self.tail[where], self.length[where] = head[kept], tail[kept], told[kept]
+        self.begin[where], self.size[where] = begins[:n], sizes[:n]
+        back = np.cumsum(first) - 1
+        begin[order], size[order] = begins[back], sizes[back]
+        begin[long_], size[long_] = begins[n + which_long], sizes[n + which_long]
         return begin, size
 
 
@@ -172,7 +190,7 @@ def _encoder(params: TokenParams) -> Encoder:
     return Encoder(params)
 
 
-_SEGMENT = "part int, seq int, doc_ids array<long>, lengths array<int>, n_ids long, data binary"
+_SEGMENT = "part int, before long, doc_ids array<long>, lengths array<int>, n_ids long, data binary"
 
 
 def write_ids(docs: DataFrame, path: str, params: TokenParams) -> None:
@@ -181,11 +199,11 @@ def write_ids(docs: DataFrame, path: str, params: TokenParams) -> None:
     Rows are dealt by range of doc_id and sorted; each task cuts its range into
     segments of whole documents, and each segment into blocks that are coded from
     nothing but themselves and carry a checksum. A segment is one row: the range's
-    number, its place in it, the documents' ids and lengths, and the coded blocks.
+    number, the ids before it in the range, the documents' ids and lengths, and the coded blocks.
     Files are written by Spark's committer, so a lost executor leaves no half file.
 
     Null text counts as empty, which is an end id alone. Null doc_ids come first;
-    ties are ordered by text. Other columns are ignored. An empty table writes
+    rows of one id, however many, spread over ranges by a hash of their text, and equal ones by a seeded draw. Very long texts are encoded as a slice of their own. Other columns are ignored. An empty table writes
     no segment.
     """
     p = params
@@ -193,7 +211,7 @@ def write_ids(docs: DataFrame, path: str, params: TokenParams) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, before = TaskContext.get().partitionId(), 0
         encoder = _encoder(p)
         ids: list[np.ndarray] = []
         docs_in: list[int | None] = []
@@ -206,13 +224,13 @@ def write_ids(docs: DataFrame, path: str, params: TokenParams) -> None:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
-                    pa.array([seq], pa.int32()),
+                    pa.array([before], pa.int64()),
                     pa.array([docs_in], pa.list_(pa.int64())),
                     pa.array([sizes.tolist()], pa.list_(pa.int32())),
                     pa.array([len(every)], pa.int64()),
                     pa.array([encode(every, p.block_ids)], pa.binary()),
                 ],
-                ["part", "seq", "doc_ids", "lengths", "n_ids", "data"],
+                ["part", "before", "doc_ids", "lengths", "n_ids", "data"],
             )
 
         for batch in batches:
@@ -225,27 +243,24 @@ def write_ids(docs: DataFrame, path: str, params: TokenParams) -> None:
                 held += len(ended)
                 if held >= p.segment_ids:
                     yield segment()
-                    ids, docs_in, lengths, held, seq = [], [], [], 0, seq + 1
+                    ids, docs_in, lengths, held, before = [], [], [], 0, before + held
         if held:
             yield segment()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(run, _SEGMENT).write.parquet(path)
+    keys = ["doc_id", "text_hash", "draw"]
+    ranged = slim.withColumns({"text_hash": F.xxhash64("text"), "draw": F.rand(3)}).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged.select("doc_id", "text").mapInArrow(run, _SEGMENT).write.parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SEGMENT).parquet(path)
 
 
-def segment_starts(spark: SparkSession, path: str) -> dict[tuple[int, int], int]:
-    """Ids before each segment; three numbers a segment (about four million ids) reach the driver."""
-    rows = segments(spark, path).select("part", "seq", "n_ids").collect()
-    out, total = {}, 0
-    for r in sorted(rows, key=lambda r: (r["part"], r["seq"])):
-        out[r["part"], r["seq"]] = total
-        total += r["n_ids"]
-    return out
+def range_starts(segments: DataFrame) -> DataFrame:
+    """``(part, first)``: the ids before each range; as many rows as ``write_ids`` had tasks."""
+    upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    return segments.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"))
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
@@ -253,16 +268,14 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
 
     ``start`` counts the ids of all documents before. Damaged blocks raise an error.
     """
-    starts = segment_starts(spark, path)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                row = {c: batch.column(c)[k] for c in ("part", "seq", "doc_ids", "lengths", "data")}
+                row = {c: batch.column(c)[k] for c in ("first", "doc_ids", "lengths", "data")}
                 ids = decode(row["data"].as_py())
                 lengths = np.asarray(row["lengths"].values).astype(np.int64)
                 ends = np.cumsum(lengths)
-                first = starts[row["part"].as_py(), row["seq"].as_py()]
+                first = row["first"].as_py()
                 if digest:
                     little = ids.astype("<u4")
                     last = pa.array([zlib.crc32(little[e - n : e].tobytes()) for e, n in zip(ends, lengths, strict=True)], pa.int64())
@@ -274,8 +287,11 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 )
 
     last = "ids_crc32 long" if digest else "ids array<int>"
-    spark_rows = segments(spark, path)
-    return spark_rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    rows = segments(spark, path)
+    # A row of two numbers for each task that wrote.
+    placed = rows.join(F.broadcast(range_starts(rows)), "part")
+    placed = placed.select((F.col("first") + F.col("before")).alias("first"), "doc_ids", "lengths", "data")
+    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def ids_round_trip(docs: DataFrame, params: TokenParams) -> DataFrame:
