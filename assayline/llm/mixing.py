@@ -18,6 +18,7 @@ class MixParams:
 
     ``blocks`` bounds how many blocks the whole mix is cut into (and with them the
     tree's numbers on the driver); up to ``sent_sources`` sources their table is sent out, above that it is joined by shuffle.
+    A source's rows are ordered in at least ``cells`` ranges, and in as many as leave about ``cell_words`` words to each.
     """
 
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
@@ -27,6 +28,7 @@ class MixParams:
     block_words: int = 10_000
     sent_sources: int = 10_000
     cells: int = 256
+    cell_words: int = 1 << 24
     seed: int = 20
 
 
@@ -52,7 +54,8 @@ def targets(sizes: list[int], weights: list[float], max_repeats: int) -> list[fl
         for i in over:
             goal[i] = float(max_repeats * sizes[i])
             left -= goal[i]
-        free = [i for i in free if i not in set(over)]
+        stopped = set(over)
+        free = [i for i in free if i not in stopped]
     return goal
 
 
@@ -101,10 +104,10 @@ def _is_long(rest: Column) -> Column:
     return F.col("size") * 16 > rest
 
 
-def _fillers(narrow: DataFrame, n: _Names, send, p: MixParams) -> DataFrame:
-    """``(source, shift, fill)``: of each source, the words of long rows that don't fit, and the row past the last
-    that fits whose size best fills what is left."""
-    placed = written(running_start(narrow, [n.source], n.r, [n.key], "size", n.pos, p.cells), "positions")
+def _fillers(narrow: DataFrame, n: _Names, send, cells: int) -> DataFrame:
+    """``(source, shift, fill)``: of each source, the words of long rows that don't fit, and where the one row past the last
+    that fits stands whose size best fills what is left. Repeated rows stand in places of their own, so that is one of them."""
+    placed = written(running_start(narrow, [n.source], n.r, [n.key], "size", n.pos, cells), "positions")
     size, end, rest = F.col("size"), F.col(n.pos) + F.col("size"), F.col(n.rest)
     long_ = _is_long(rest)
     shifts = placed.groupBy(n.source).agg(F.coalesce(F.sum(F.when(long_ & (end > rest), size)), F.lit(0)).alias(n.shift))
@@ -113,8 +116,8 @@ def _fillers(narrow: DataFrame, n: _Names, send, p: MixParams) -> DataFrame:
     gaps = shifted.groupBy(n.source).agg((F.first(n.rest) - F.coalesce(F.sum(F.when(fits, size)), F.lit(0))).alias("gap"))
     off = F.abs(F.col("gap") - size)
     past = shifted.where(~fits & (size > 0)).join(send(gaps), n.source).where(off < F.col("gap"))
-    best = past.groupBy(n.source).agg(F.min(F.struct(off.alias("off"), F.col(n.r).alias("r"))).alias("best"))
-    return shifts.join(best, n.source, "left").select(n.source, n.shift, F.col("best.r").alias(n.fill))
+    best = past.groupBy(n.source).agg(F.min(F.struct(off.alias("off"), F.col(n.r).alias("r"), F.col(n.pos).alias("pos"))).alias("best"))
+    return shifts.join(best, n.source, "left").select(n.source, n.shift, F.struct("best.r", "best.pos").alias(n.fill))
 
 
 def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -130,8 +133,8 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     ``place`` shuffles it.
 
     Null or blank texts have size 0 and are never taken. A null source is a source
-    of its own. Rows that repeat a doc_id and text share a place in the
-    permutation's order and each count. Columns of ``docs`` named size, source_size, target or copies are
+    of its own. Rows that repeat a doc_id and text stand one after the other in the
+    permutation and each count. Very long texts are taken whole. Columns of ``docs`` named size, source_size, target or copies are
     replaced; all others stay, whatever their names. An empty table gives an empty result. The
     driver holds a few numbers, and one for each shard, of each source. Rerun on the same rows it gives the same mix.
     """
@@ -166,9 +169,11 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     )
     end = F.col(n.pos) + F.col("size")
     fits = F.when(_is_long(rest), end).otherwise(end - F.col(n.shift)) <= rest
-    fill = _fillers(placed.select(n.source, n.r, n.key, "size", rest.alias(n.rest)), n, send, p)
-    placed = running_start(placed, [n.source], n.r, [n.key], "size", n.pos, p.cells).join(send(fill), n.source, "left")
-    once_more = fits | F.coalesce(F.col(n.r) == F.col(n.fill), F.lit(False))
+    cells = max(p.cells, -(-max(sizes, default=0) // p.cell_words))
+    fill = _fillers(placed.select(n.source, n.r, n.key, "size", rest.alias(n.rest)), n, send, cells)
+    placed = running_start(placed, [n.source], n.r, [n.key], "size", n.pos, cells).join(send(fill), n.source, "left")
+    filler = (F.col(n.r) == F.col(f"{n.fill}.r")) & (F.col(n.pos) == F.col(f"{n.fill}.pos"))
+    once_more = fits | F.coalesce(filler, F.lit(False))
     n_copies = F.when(F.col("size") > 0, F.col(n.passes) + once_more.cast("int")).otherwise(0)
 
     def copy(epoch: Column) -> Column:
@@ -178,7 +183,7 @@ def mix_plan(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         return F.struct(
             epoch.cast("int").alias("epoch"),
             shard.cast("int").alias("shard"),
-            F.xxhash64(F.lit(p.seed + 1), F.col(n.key), epoch, F.col(n.r)).alias("place"),
+            F.xxhash64(F.lit(p.seed + 1), F.col(n.key), epoch, F.col(n.r), F.col(n.pos)).alias("place"),
         )
 
     epochs = F.slice(F.array(*[F.lit(e).cast("long") for e in range(p.max_repeats + 1)]), 1, n_copies)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .mixing import word_count
 
@@ -107,9 +107,10 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     groups = max(1, -(-docs.select(F.lit(1)).count() // p.group_rows))
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.lit(p.seed), "doc_id", "piece", "cluster", "source"), F.lit(groups)).cast("long"))
     packed = dealt.where(~whole).groupBy("g").applyInPandas(_pack_group(p.capacity), _PACKED)
-    # A full piece needs no search: it is a bin, numbered below zero.
+    # A full piece needs no search: it is a bin, numbered below zero by its group and its place there, so that reruns agree.
+    line = F.row_number().over(W.partitionBy("g").orderBy("doc_id", "piece", "source", "cluster"))
     alone = dealt.where(whole).select(
         "doc_id", "piece", "start", "size", "source", "cluster",
-        (-1 - F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).alias("slot"), F.col("size").alias("bin_fill"),
+        (-F.col("g") * (1 << 32) - line).alias("bin_id"), F.lit(0).alias("slot"), F.col("size").alias("bin_fill"),
     )
     return packed.unionByName(alone)

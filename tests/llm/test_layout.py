@@ -101,6 +101,54 @@ def test_mix(spark):
     assert mixed.count() == plan["copies"].map(len).sum() and mixing.mix(df.limit(0), p).count() == 0
 
 
+def _plain_taken(rows, goal, most=3):
+    """How often each row of one source is taken: ``rows`` of ``(hash, doc_id, size)``, whole passes first, then the front of the order, then one filler."""
+    total = sum(n for *_, n in rows)
+    passes = int(goal // total) if total else 0
+    rest = goal - passes * total
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][2] * 16 <= rest, rows[i][0], rows[i][1]))
+    extra, place, lost, past = [0] * len(rows), 0, 0, []
+    for i in order:
+        n = rows[i][2]
+        long_ = n * 16 > rest
+        end = place + n
+        if (end if long_ else end - lost) <= rest:
+            extra[i] = 1
+        else:
+            past.append((i, place))
+            lost += n if long_ else 0
+        place = end
+    gap = rest - sum(rows[i][2] for i in order if extra[i])
+    off = [(abs(gap - rows[i][2]), k, i) for k, (i, _) in enumerate(past) if rows[i][2] > 0 and abs(gap - rows[i][2]) < gap]
+    if off:
+        extra[min(off)[2]] = 1
+    return [0 if n == 0 else min(passes, most) + e for e, (*_, n) in zip(extra, rows)]
+
+
+def test_mix_takes_the_rows_of_plain_python(spark):
+    rng = random.Random(12)
+    docs = [(i, " ".join(["w"] * rng.randrange(0, 40)) + f" x{i}", rng.choice(["a", "b", "b", "b", "c", None])) for i in range(150)]
+    docs += [(500, "nine words of one text that stands here often", "d")] * 50 + [(501, "other words", "d"), (502, "long " * 700, "a"), (503, "", "b"), (504, None, "c")]
+    df = _frame(spark, docs).repartition(4)
+    p = mixing.MixParams(shards=3, block_words=20, cells=4)
+    plan = mixing.mix_plan(df, p)
+    h = mixing.F.xxhash64(mixing.F.lit(p.seed), "doc_id", "text").bitwiseAND(mixing.F.lit((1 << 62) - 1))
+    got = plan.select("*", h.alias("h"), mixing.F.size("copies").alias("n")).toPandas()
+    for _, own in got.groupby("source", dropna=False):
+        rows = list(zip(own["h"], own["doc_id"], own["size"]))
+        want = _plain_taken(rows, own["target"].iloc[0])
+        # Rows that repeat are interchangeable.
+        assert sorted(zip(own["doc_id"], own["n"])) == sorted(zip(own["doc_id"], want))
+        assert abs((own["size"] * own["n"]).sum() - own["target"].iloc[0]) <= 9 or own["source"].iloc[0] != "d"
+
+
+def test_targets_of_many_sources():
+    sizes = [1 + i % 7 for i in range(30_000)]
+    weights = [float(1 + i % 50) for i in range(30_000)]
+    goal = mixing.targets(sizes, weights, 3)
+    assert sum(goal) == pytest.approx(sum(sizes)) and all(g <= 3 * n for g, n in zip(goal, sizes))
+
+
 def test_tree_gives_exact_shards():
     tree = mixing.splitting_tree([10, 0, 25, 7], 6, 1)
     assert tree.sum(axis=0).tolist() == [10, 0, 25, 7] and tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 1
