@@ -118,7 +118,7 @@ class Transducer:
 
     Nodes (read parts of tokens) and states are numbers, and what is known of them is in flat tables of
     numbers, which Python's garbage collector passes by. ``whats[state]`` holds, packed, the token emitted last (-1: none) and then, for each
-    branch, its node, how many tokens it has and these tokens; the last branch is the one whose tokens end here.
+    branch, its node, how many tokens it has and these tokens; the last branch is the one whose tokens end here, and has them in ``ends`` too.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int) -> None:
@@ -143,10 +143,10 @@ class Transducer:
         """Forgets all but the first state and the one of ``what``, whose new number it returns."""
         self.states: dict[bytes, int] = {}
         self.whats: list[bytes] = []
-        #: ``state << 8 | byte`` to the next state and, from bit 32 on, the place in ``emits`` of what is emitted.
+        self.ends: list[tuple[int, ...]] = []
+        #: ``state << 8 | byte`` to the next state, itself times 256; or, if ids are emitted, to ``~i``, where both stand at ``jumps[i]``.
         self.moves: dict[int, int] = {}
-        self.emits: list[tuple[int, ...]] = [()]
-        self.places: dict[tuple[int, ...], int] = {(): 0}
+        self.jumps: list[tuple[int, tuple[int, ...]]] = []
         self._state(_FIRST)
         return self._state(what)
 
@@ -155,6 +155,10 @@ class Transducer:
         if found is None:
             found = self.states[what] = len(self.whats)
             self.whats.append(what)
+            branches, at = array("i", what).tolist(), 1
+            while at + 2 + branches[at + 1] < len(branches):
+                at += 2 + branches[at + 1]
+            self.ends.append(tuple(branches[at + 2 :]))
         return found
 
     def _move(self, state: int, byte: int) -> int:
@@ -184,13 +188,10 @@ class Transducer:
         following = [(ended[n - 1] if n else emitted) if bare else -1]
         for node, tokens in (*alive, (0, ended)):
             following += (node, len(tokens) - n, *tokens[n:])
-        move = self._state(array("i", following).tobytes())
+        move = self._state(array("i", following).tobytes()) << 8
         if n:
-            place = self.places.get(ended[:n])
-            if place is None:
-                place = self.places[ended[:n]] = len(self.emits)
-                self.emits.append(ended[:n])
-            move |= place << 32
+            self.jumps.append((move, ended[:n]))
+            move = -len(self.jumps)
         self.moves[state << 8 | byte] = move
         return move
 
@@ -198,21 +199,21 @@ class Transducer:
         """The ids of one match, as unsigned 32-bit integers."""
         if len(self.whats) > self.max_states:
             self._forget(_FIRST)
-        out, state, moves = array("I"), 0, self.moves
-        for at, byte in enumerate(data):
-            move = moves.get(state << 8 | byte)
+        out, at, moves, jumps = array("I"), 0, self.moves, self.jumps
+        for i, byte in enumerate(data):
+            move = moves.get(at | byte)
             if move is None:
-                if at & 0xFFF == 0xFFF and len(self.whats) > self.max_states:
+                if i & 0xFFF == 0xFFF and len(self.whats) > self.max_states:
                     # A very long match goes on from its own state among fresh ones.
-                    state, moves = self._forget(self.whats[state]), self.moves
-                move = self._move(state, byte)
-            if move >> 32:
-                out.extend(self.emits[move >> 32])
-            state = move & 0xFFFFFFFF
-        what, at = array("i", self.whats[state]).tolist(), 1
-        while at + 2 + what[at + 1] < len(what):
-            at += 2 + what[at + 1]
-        out.extend(what[at + 2 :])
+                    at = self._forget(self.whats[at >> 8]) << 8
+                    moves, jumps = self.moves, self.jumps
+                move = self._move(at >> 8, byte)
+            if move >= 0:
+                at = move
+            else:
+                at, ids = jumps[~move]
+                out.extend(ids)
+        out.extend(self.ends[at >> 8])
         return out
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.ranks import rounded
 from . import sql
 from .bpe_transducer import BpeParams, decode_bpe, encode_bpe
+from .centroids import shallot, with_clusters
 from .chat_format import repair_chats
 from .fingerprints import fingerprints
 from .host_rules import host_rules
 from .licenses import scan_licenses
+from .merkle import manifest
 from .mixing import mix_plan
 from .near_dup import near_duplicates
 from .packing import pack
@@ -84,6 +86,14 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", *digests, "broken")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_clusters(*shallot(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_licenses": op2_licenses,
@@ -96,6 +106,8 @@ QUERIES = {
     "op9_host_rules": op9_host_rules,
     "op10_mixing": op10_mixing,
     "op11_bpe": op11_bpe,
+    "op12_manifest": op12_manifest,
+    "op13_centroids": op13_centroids,
 }
 
-SQL = {"op2_licenses": sql.licenses(), "op8_near_dup": sql.near_dup(), "op9_host_rules": sql.host_rules()}
+SQL = {"op2_licenses": sql.licenses(), "op8_near_dup": sql.near_dup(), "op9_host_rules": sql.host_rules(), "op13_centroids": sql.centroids()}

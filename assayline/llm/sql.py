@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import ShallotParams
 from .host_rules import HostRuleParams
 from .licenses import TEMPLATES, LicenseParams
 from .near_dup import NearDupParams
@@ -38,6 +39,37 @@ least AS (SELECT doc_id, min(to_) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least USING (doc_id)"""
 
 
+def centroids(p: ShallotParams = ShallotParams()) -> str:
+    steps = [
+        f"""WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({p.scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {p.dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {p.dims}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('{p.seed}:' || vec_id), vec_id, v) - 1 AS c, v AS m FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('{p.seed}:' || vec_id), vec_id, v) <= {p.centroids})"""
+    ]
+    for r in range(p.rounds + 1):
+        steps.append(
+            f"""a{r} AS (
+  SELECT * FROM (SELECT vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{r})
+  QUALIFY row_number() OVER (PARTITION BY vec_id, v ORDER BY d, c) = 1)"""
+        )
+        if r < p.rounds:
+            steps.append(
+                f"""s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, {p.dims + 1})) AS i FROM a{r}) GROUP BY c, i),
+m{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{r} GROUP BY c),
+c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)"""
+            )
+    r = p.rounds
+    return (
+        ",\n".join(steps)
+        + f"""
+SELECT vec_id, CAST(a{r}.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{r}.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{r} JOIN c{r} ON a{r}.c = c{r}.c"""
+    )
+
+
 def host_rules(p: HostRuleParams = HostRuleParams()) -> str:
     k = p.window
     return f"""
