@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.names import free_names
 from ..functions.positions import running_sums
 from ..functions.scratch import written
 from . import contracts, evaluation, labels
+from .boosting import Boosted, BoostParams, fit_boosted
 from .families import study_families
+from .fold_fits import FoldFits, fit_all
 
 # Feature profiles, and what may not be a feature.
 SCREEN_FEATURES = [
@@ -161,12 +165,8 @@ def fit_standardizer(df: DataFrame, columns: list[str], weight: str = "weight")
     return Standardizer(columns, medians, means, {n: s if s else 1.0 for n, s in spread.items()})
 
 
-def _classifier(kind: str, total_weight: float):
-    if kind == "logistic":
-        return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=300, regParam=1.0 / total_weight, elasticNetParam=0.0, standardization=False, tol=1e-8)
-    if kind == "boosted_trees":
-        return GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", stepSize=0.05, maxIter=60, maxDepth=4, minInstancesPerNode=10, seed=17)
-    raise ValueError(f"unknown model kind {kind!r}")
+#: What boosted trees are fitted with.
+BOOSTING = BoostParams()
 
 
 @dataclass
@@ -175,15 +175,24 @@ class Fitted:
     model: object
 
     def score(self, df: DataFrame, name: str) -> DataFrame:
-        scored = self.model.transform(self.standardizer.transform(df))
+        ready = self.standardizer.transform(df)
+        if isinstance(self.model, Boosted):
+            return self.model.score(ready.withColumn("features", vector_to_array("features")), name).drop("features")
         drop = ["features", "rawPrediction", "probability", "prediction"]
-        return scored.withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).drop(*drop)
+        return self.model.transform(ready).withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).drop(*drop)
 
 
 def _fit(df: DataFrame, columns: list[str], kind: str) -> Fitted:
-    total = df.agg(F.sum("weight")).first()[0]
+    """A model on standardized features: ``logistic``, or ``boosted_trees`` as ``BOOSTING`` says."""
     standard = fit_standardizer(df, columns)
-    return Fitted(standard, _classifier(kind, total).fit(standard.transform(df)))
+    ready = standard.transform(df)
+    if kind == "boosted_trees":
+        return Fitted(standard, fit_boosted(ready.withColumn("features", vector_to_array("features")), p=BOOSTING))
+    if kind != "logistic":
+        raise ValueError(f"unknown model kind {kind!r}")
+    total = df.agg(F.sum("weight")).first()[0]
+    learner = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=300, regParam=1.0 / total, elasticNetParam=0.0, standardization=False, tol=1e-8)
+    return Fitted(standard, learner.fit(ready))
 
 
 def deal_groups(df: DataFrame, group: str, n_splits: int, strata: str | None = None, seed: int = 17) -> DataFrame:
@@ -275,8 +284,8 @@ def out_of_fold(
 
     Studies of one family (shared data, transitively) are one group. Folds are
     stratified by the target. If any fold's weighted fit fails, no row has an ``ipw_score``.
-    Rows that aren't proper candidates (``check_candidates``) are an error. The driver loops over the folds,
-    at most ``n_splits``; the dealt rows are written before.
+    Rows that aren't proper candidates (``check_candidates``) are an error. Logistic models of all folds, inner
+    ones included, are fitted in the same scans; for boosted trees the driver loops over the folds, at most ``n_splits``.
     """
     check_features(columns)
     check_candidates(df, label, tested)
@@ -299,11 +308,13 @@ def out_of_fold(
     stuck = [f for f in numbers if pos - (by[f]["pos"] if f in by else 0) in (0, n - (by[f]["n"] if f in by else 0))]
     if stuck:
         raise ValueError(f"folds without both classes to train on: {stuck}")
+    if kind == "logistic":
+        return _fold_scores(rows, columns, numbers, ipw)
     plain, weighted, notes = None, None, []
     for f in numbers:
         train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
         fitted, _ = fit_success(train, columns, kind, "group_used", False)
-        scored = fitted.score(test, "score")
+        scored = written(fitted.score(test, "score"), "scored")
         plain = scored if plain is None else plain.unionByName(scored)
         if ipw:
             try:
@@ -313,11 +324,123 @@ def out_of_fold(
                 notes.append({"ipw_refused": 1.0, "reason": str(e)})
                 continue
             notes.append(stats)
-            scored = fitted.score(test, "ipw_score").select(*labels.KEYS, "ipw_score")
+            scored = written(fitted.score(test, "ipw_score").select(*labels.KEYS, "ipw_score"), "scored")
             weighted = scored if weighted is None else weighted.unionByName(scored)
     out = plain.join(weighted, list(labels.KEYS), "left") if weighted is not None else plain.withColumn("ipw_score", F.lit(None).cast("double"))
-    means = {f"ipw_mean_{k}": float(np.mean([s[k] for s in notes])) for k in (notes[0] if notes and weighted is not None else {})}
-    return out, means
+    return out, _means(notes if weighted is not None else [])
+
+
+def _means(notes: list[dict]) -> dict[str, float]:
+    return {f"ipw_mean_{k}": float(np.mean([s[k] for s in notes])) for k in (notes[0] if notes else {})}
+
+
+def _inner_folds(counts: list, folds: list[int], n_splits: int = 5) -> tuple[dict[str, list[int]], dict[int, int]]:
+    """For each group its fold within each fold's training groups (-1: none), and how many these have (0: one class alone, no model needed).
+
+    ``counts``: ``(g, fold, n, ones)`` of rows of known status. Largest groups first, each to the smallest fold.
+    """
+    inner = {r["g"]: [-1] * len(folds) for r in counts}
+    parts: dict[int, int] = {}
+    for k, f in enumerate(folds):
+        train = sorted((r for r in counts if r["fold"] != f), key=lambda r: (-r["n"], r["g"]))
+        n, ones = sum(r["n"] for r in train), sum(r["ones"] for r in train)
+        parts[k] = 0
+        if ones in (0, n):
+            continue
+        if len(train) < 2:
+            raise ValueError("IPW requires two groups or more")
+        parts[k] = min(n_splits, len(train))
+        held = [[0, j, 0] for j in range(parts[k])]
+        for r in train:
+            least = held[0]
+            inner[r["g"]][k] = least[1]
+            heapq.heapreplace(held, [least[0] + r["n"], least[1], least[2] + r["ones"]])
+        if any(ones - lost in (0, n - size) for size, _, lost in held):
+            raise ValueError("IPW requires both classes in each training fold")
+    return inner, parts
+
+
+def _fold_scores(rows: DataFrame, columns: list[str], folds: list[int], ipw: bool) -> tuple[DataFrame, dict[str, float]]:
+    """The out-of-fold scores of logistic models: models of success of all folds and of testing of all inner folds are
+    fitted in the same scans, then the weighted models of success of all folds. The driver holds a row of counts for each group."""
+    taken = free_names(rows, "x", "w", "w0", "inner", "clipped", "propensities")
+    x, w, w0, inner, clipped, chance = taken
+    usable, known = F.col("y").isNotNull() & (F.coalesce("tested", F.lit(-1)) == 1), F.col("tested").isNotNull()
+    sizes = rows.where(usable).groupBy("group_used").agg((1.0 / F.count("*")).alias(w0))
+    values = F.array(*[F.coalesce(_finite(c), F.lit(float("nan"))) for c in columns])
+    based = rows.join(sizes, "group_used", "left").withColumn(x, values)
+    others = [F.col("fold") != f for f in folds]
+
+    plan: dict[tuple[int, int | None], int] = {}
+    notes: list[dict] = []
+    if ipw:
+        try:
+            if not rows.where(known & F.col("group_used").isNull()).limit(1).isEmpty():
+                raise ValueError("IPW requires a group for each row of known status")
+            counts = rows.where(known).groupBy(F.col("group_used").alias("g"), "fold").agg(F.count("*").alias("n"), F.sum("tested").alias("ones")).collect()
+            dealt, parts = _inner_folds(counts, folds)
+            table = rows.sparkSession.createDataFrame(list(dealt.items()), f"group_used string, `{inner}` array<int>")
+            based = based.join(table, "group_used", "left")
+            for k in range(len(folds)):
+                for j in [*range(parts[k]), None] if parts[k] else []:
+                    plan[k, j] = len(folds) + len(plan)
+        except ValueError as e:
+            ipw = False
+            notes.append({"ipw_refused": 1.0, "reason": str(e)})
+
+    def fitted(table: DataFrame, weights: list[Column], targets: list[str], what: list[str]) -> FoldFits:
+        ready = written(table.select(F.col(x).alias("x"), F.array(*weights).alias("w"), F.col("y").cast("double").alias("y"), F.col("tested").cast("double").alias("tested")), "fits")
+        return fit_all(ready, len(columns), targets, what)
+
+    def balanced(table: DataFrame, each: list[Column]) -> list[Column]:
+        """For each fold the weights of usable rows of the others, one on average."""
+        own = [F.when(usable & other, weight) for other, weight in zip(others, each, strict=True)]
+        means = table.agg(*[F.avg(weight).alias(f"m{k}") for k, weight in enumerate(own)]).first()
+        return [F.coalesce(weight / F.lit(mean), F.lit(0.0)) for weight, mean in zip(own, means, strict=True)]
+
+    based = written(based, "based")
+    weights = balanced(based, [F.col(w0)] * len(folds))
+    weights += [F.when(known & others[k] & ((F.col(inner)[k] != j) if j is not None else F.lit(True)), 1.0).otherwise(0.0) for k, j in plan]
+    first = fitted(based, weights, ["y"] * len(folds) + ["tested"] * len(plan), [f"success without fold {f}" for f in folds] + [f"testing {key}" for key in plan])
+    number = F.lit(None).cast("int")
+    for k, f in enumerate(folds):
+        number = F.when(F.col("fold") == f, k).otherwise(number)
+    scored = based.withColumn("score", first.score(F.col(x), number))
+    if not ipw:
+        return scored.withColumn("ipw_score", F.lit(None).cast("double")).drop(*taken), {}
+
+    # Chances of being tested: by the inner model that didn't see the row's group, or by all of the training rows for unknown statuses.
+    chances = []
+    for k in range(len(folds)):
+        if (k, None) not in plan:
+            chances.append(F.when(others[k], 1.0))
+            continue
+        which = F.lit(plan[k, None])
+        for j in (j for i, j in plan if i == k and j is not None):
+            which = F.when(known & (F.col(inner)[k] == j), plan[k, j]).otherwise(which)
+        chances.append(first.score(F.col(x), F.when(others[k], which)))
+    scored = written(scored.withColumn(chance, F.array(*chances)), "chances")
+    stats = [_fit_notes(usable & other, known & other, F.col(chance)[k]) for k, other in enumerate(others)]
+    found = scored.agg(*[F.struct(*[c.alias(n) for n, c in s.items()]).alias(f"s{k}") for k, s in enumerate(stats)]).first()
+    notes = [r.asDict() for r in found]
+    weights = balanced(scored, [F.col(w0) / _clipped(F.col(chance)[k]) for k in range(len(folds))])
+    second = fitted(scored, weights, ["y"] * len(folds), [f"weighted success without fold {f}" for f in folds])
+    return scored.withColumn("ipw_score", second.score(F.col(x), number)).drop(*taken), _means(notes)
+
+
+def _clipped(p: Column) -> Column:
+    return F.least(F.greatest(p, F.lit(0.1)), F.lit(0.95))
+
+
+def _fit_notes(used: Column, known: Column, p: Column) -> dict[str, Column]:
+    """What is told of a weighted fit, over the rows that are used."""
+    own, w = F.when(used, p), F.when(used, 1.0 / _clipped(p))
+    return {
+        "n_labeled": F.count_if(used).cast("double"), "n_selection_status_known": F.count_if(known).cast("double"), "propensity_min": F.min(own),
+        "propensity_median": F.median(own), "propensity_max": F.max(own), "clip_lower_fraction": F.avg((own < 0.1).cast("double")),
+        "clip_upper_fraction": F.avg((own > 0.95).cast("double")), "effective_sample_size": F.sum(w) * F.sum(w) / F.sum(w * w),
+        "study_balancing_applied": F.lit(1.0), "outcome_observation_weighting_applied": F.lit(0.0),
+    }
 
 
 def evaluate(scored: DataFrame, query: list[str], score: str = "score") -> DataFrame:

@@ -102,7 +102,7 @@ def m05_group_folds(spark, sf_dir):
 def m11_out_of_fold(spark, sf_dir):
     # Candidates have one of two directions.
     rows = candidates(spark, sf_dir).withColumn("phenotype_direction", F.expr("case doc_id % 2 when 0 then 'resistance' else 'sensitization' end"))
-    scored, _ = model.out_of_fold(rows, _FEATURES, n_splits=2)
+    scored, _ = model.out_of_fold(rows, _FEATURES)
     return scored.select("gene_symbol", "group_used", "fold", "y", "score", "ipw_score")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.operators import extras, model
+from assayline.operators.boosting import BoostParams
 
 
 def _candidates(spark, n=160, groups=8):
@@ -48,7 +49,7 @@ def test_candidates_are_checked_before_any_fit(spark):
     model.check_candidates(df.withColumnRenamed("label_code", "own"), label="own")
 
 
-def test_propensity_and_weights(spark):
+def test_propensity_and_weights(spark, monkeypatch):
     df = _candidates(spark).withColumns({"y": F.when(F.col("label_code") == "V2", 1.0).when(F.col("label_code") == "F0", 0.0), "tested": model.testing_target(F.col("testing_status"))})
     got = model.fit_propensity(df, ["x"], "study_id", 2).collect()
     assert len(got) == 160 and all(0.2 < r["propensity"] < 0.99 for r in got)
@@ -59,6 +60,7 @@ def test_propensity_and_weights(spark):
     assert all(r["w"] == pytest.approx(1) for r in weights)
     _, stats = model.fit_success(df.withColumn("propensity", F.lit(0.5)), ["x"], "logistic", "study_id", True)
     assert len(stats) == 10 and stats["effective_sample_size"] == pytest.approx(stats["n_labeled"]) and stats["clip_upper_fraction"] == 0
+    monkeypatch.setattr(model, "BOOSTING", BoostParams(rounds=8, rate=0.2))
     fitted, _ = model.fit_success(df, ["x"], "boosted_trees", "study_id", False)
     scored = fitted.score(df, "score").where("y is not null").collect()
     assert np.mean([r["score"] for r in scored if r["y"]]) > np.mean([r["score"] for r in scored if not r["y"]]) + 0.1
