@@ -110,4 +110,4 @@ QUERIES = {
     "op13_centroids": op13_centroids,
 }
 
-SQL = {"op2_licenses": sql.licenses(), "op8_near_dup": sql.near_dup(), "op9_host_rules": sql.host_rules(), "op13_centroids": sql.centroids()}
+SQL = {"op2_licenses": sql.licenses(), "op8_near_dup": sql.near_dup(), "op9_host_rules": sql.host_rules(), "op12_manifest": sql.manifest(), "op13_centroids": sql.centroids()}

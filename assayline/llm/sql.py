@@ -5,6 +5,7 @@ from __future__ import annotations
 from .centroids import ShallotParams
 from .host_rules import HostRuleParams
 from .licenses import TEMPLATES, LicenseParams
+from .merkle import FIELDS, ManifestParams
 from .near_dup import NearDupParams
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -70,6 +71,67 @@ FROM a{r} JOIN c{r} ON a{r}.c = c{r}.c"""
     )
 
 
+def manifest(p: ManifestParams = ManifestParams(), heights: int = 8, upper_heights: int = 4) -> str:
+    """Trees of up to ``fan_out ** heights`` documents and ``fan_out ** upper_heights`` languages."""
+    k = p.fan_out
+    crc = (
+        "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), "
+        "lambda c, b: xor(t[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295)"
+    )
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(text: str) -> str:
+        fields = [text if f == "text" else f"CAST({f} AS VARCHAR)" for f in FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+    def heights_of(name: str, group: str, top: int) -> list[str]:
+        """Nodes of each height, with what stands before and after each in its run, and (at ``top``) the root."""
+        window = f"PARTITION BY {group}, p // {k} ORDER BY p ROWS BETWEEN"
+        out = []
+        for h in range(top):
+            out.append(
+                f"{name}x{h} AS (SELECT *, coalesce(string_agg(h, '') OVER ({window} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, "
+                f"coalesce(string_agg(h, '') OVER ({window} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{h})"
+            )
+            out.append(
+                f"{name}{h + 1} AS (SELECT {group}, p // {k} AS p, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h, "
+                f"(n + {k - 1}) // {k} AS n FROM {name}{h} GROUP BY {group}, p // {k}, n)"
+            )
+        return out
+
+    def folds(name: str, group: str, top: int, place: str, start: str) -> list[str]:
+        """For each row: proof so far and node so far, height by height."""
+        out = []
+        for h in range(top):
+            was = start if h == 0 else f"{name}f{h - 1}"
+            out.append(
+                f"{name}f{h} AS (SELECT r.* REPLACE (r.proof || x.b || x.a AS proof, CASE WHEN x.n = 1 THEN r.node ELSE sha256(x.b || r.node || x.a) END AS node) "
+                f"FROM {was} r JOIN {name}x{h} x ON x.{group} = r.{group} AND x.p = r.{place} // {k**h})"
+            )
+        return out
+
+    ctes = [
+        "c AS (SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], "
+        "lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)",
+        f"d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % {p.tamper_every} = 0 THEN {leaf(low)} END AS tampered FROM documents, c)",
+        "g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS langs FROM (SELECT DISTINCT lang FROM d))",
+        "r AS (SELECT doc_id, leaf, tree, langs, 0 AS whole, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, "
+        "'' AS proof, coalesce(tampered, leaf) AS node FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang)",
+        "n0 AS (SELECT tree, place AS p, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM r)",
+        *heights_of("n", "tree", heights),
+        f"u0 AS (SELECT 0 AS whole, tree AS p, h, count(*) OVER () AS n FROM n{heights})",
+        *heights_of("u", "whole", upper_heights),
+        *folds("n", "tree", heights, "place", "r"),
+        *folds("u", "whole", upper_heights, "tree", f"nf{heights - 1}"),
+    ]
+    done = f"uf{upper_heights - 1}"
+    return (
+        "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, s.h AS subroot, w.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = w.h AS verified
+FROM {done} f JOIN n{heights} s ON s.tree = f.tree JOIN u{upper_heights} w ON w.whole = f.whole"""
+    )
+
+
 def host_rules(p: HostRuleParams = HostRuleParams()) -> str:
     k = p.window
     return f"""
