@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.names import free_names
 from ..functions.scratch import written
 from ..sources.schemas import CONTRACTS, ENUMS, Field
 
@@ -15,16 +16,18 @@ def fields_of(contract: str) -> tuple[Field, ...]:
 
 
 def with_row_numbers(df: DataFrame, column: str = "row_number", first: int = 2) -> DataFrame:
-    """Numbers in the rows' own order, without a sort: counts per partition and places within it."""
-    counts = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
-    starts, total = {}, first
-    for p in sorted(counts):
-        starts[p], total = total, total + counts[p]
-    if not starts:
-        return df.withColumn(column, F.lit(None).cast("long"))
-    start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
-    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn(column, (F.element_at(start, F.spark_partition_id()) + inside).cast("long"))
+    """Numbers in the rows' own order, without a sort. ``df`` is read once and written with its rows' places in their
+    tasks, so numbers stay when tasks are done again; a row a task is counted up and joined."""
+    line, part, n, start = free_names(df.withColumn(column, F.lit(None)), "_line", "_part", "_n", "_start")
+    kinds = [kind for _, kind in df.dtypes]
+    plain = df.toDF(*[f"c{i}" for i in range(len(kinds))])  # any name can be written, but no column without a type
+    plain = plain.withColumns({f"c{i}": F.col(f"c{i}").cast("string") for i, kind in enumerate(kinds) if kind == "void"})
+    rows = written(plain.withColumn(line, F.monotonically_increasing_id()).withColumn(part, F.shiftright(line, 33)), "numbered")
+    counted = rows.groupBy(part).agg(F.count("*").alias(n), F.min(line).alias(start))
+    upto = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = written(counted.select(part, (F.coalesce(F.sum(n).over(upto), F.lit(0)) + first - F.col(start)).alias(start)), "starts")
+    found = rows.join(starts, part)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c != column], (F.col(start) + F.col(line)).cast("long").alias(column))
 
 
 def _text(name: str) -> Column:

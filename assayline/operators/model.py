@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import free_names
-from ..functions.positions import running_sums
+from ..functions.positions import running_start, running_sums
 from ..functions.scratch import written
 from . import contracts, evaluation, labels
 from .boosting import Boosted, BoostParams, fit_boosted
@@ -195,18 +195,27 @@ def _fit(df: DataFrame, columns: list[str], kind: str) -> Fitted:
     return Fitted(standard, learner.fit(ready))
 
 
-def deal_groups(df: DataFrame, group: str, n_splits: int, strata: str | None = None, seed: int = 17) -> DataFrame:
-    """``(group, fold)``: whole groups, largest first, each to the fold that stays most even by size and stratum.
+def deal_groups(df: DataFrame, group: str, n_splits: int, strata: str | None = None, seed: int = 17, heavy: int = 1000) -> DataFrame:
+    """``(group, fold)``: whole groups, dealt so that folds are even by size and stratum.
 
-    The driver holds a row of counts for each group.
+    Groups with at least one of ``heavy`` parts of all rows, hence ``heavy`` at most, are dealt on the driver: largest
+    first, each to the fold that stays most even. The others stay where they are. Their rows are shared out so that heavy
+    and light ones together fill the folds evenly, as far as heavy ones leave room; groups of like strata (shares
+    in fourths) stand in the order of a seeded hash, and a group goes to the fold in whose share of their rows its middle falls. So of each
+    kind of stratum a fold's light rows differ from its share by less than two light groups.
     """
     level = F.coalesce(F.col(strata).cast("int"), F.lit(-1)) if strata else F.lit(0)
-    counts = df.groupBy(F.col(group).cast("string").alias("g"), level.alias("s")).agg(F.count("*").alias("n")).toPandas()
-    table = counts.pivot_table(index="g", columns="s", values="n", fill_value=0).sort_index()
+    counts = written(df.groupBy(F.col(group).cast("string").alias("g"), level.alias("s")).agg(F.count("*").alias("n")), "group-counts")
+    levels = sorted(r[0] for r in counts.select("s").distinct().collect())
+    each = [F.coalesce(F.sum(F.when(F.col("s") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(levels)]
+    groups = counts.groupBy("g").agg(F.sum("n").alias("n"), *each)
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    table = groups.where(F.col("n") * heavy >= rows).toPandas().set_index("g").sort_index()
+    table = table[[f"n{i}" for i in range(len(levels))]]
     rng = np.random.default_rng(seed)
     table = table.iloc[rng.permutation(len(table))] if strata else table
     table = table.loc[table.sum(axis=1).sort_values(ascending=False, kind="stable").index]
-    have = np.zeros((n_splits, table.shape[1]))
+    have = np.zeros((n_splits, len(levels)))
     totals = np.maximum(table.sum(axis=0).to_numpy(float), 1)
     folds = []
     for row in table.to_numpy(float):
@@ -215,7 +224,28 @@ def deal_groups(df: DataFrame, group: str, n_splits: int, strata: str | None = N
         best = int(np.lexsort((have.sum(axis=1), np.round(spread, 12)))[0])
         have[best] += row
         folds.append(best)
-    return df.sparkSession.createDataFrame(list(zip(table.index.tolist(), folds, strict=True)), "group string, fold int")
+    dealt = df.sparkSession.createDataFrame(list(zip(table.index.tolist(), folds, strict=True)), "group string, fold int")
+    shares = np.cumsum(_room(have.sum(axis=1), rows - have.sum()))
+    if not shares[-1]:
+        return dealt
+    light = groups.where(F.col("n") * heavy < rows)
+    kind = F.concat_ws(",", *[F.round(4 * F.col(f"n{i}") / F.col("n")).cast("int") for i in range(len(levels))])
+    place = F.xxhash64(F.lit(seed), "g").bitwiseAND(F.lit((1 << 63) - 1))
+    light = written(light.select("g", "n", kind.alias("kind"), place.alias("place")), "light-groups")
+    stood = running_start(light, ["kind"], "place", ["g"], "n", "at").join(light.groupBy("kind").agg(F.sum("n").alias("of")), "kind")
+    share = (F.col("at") + F.col("n") / 2) / F.col("of")
+    fold = F.size(F.filter(F.array(*[F.lit(float(x / shares[-1])) for x in shares[:-1]]), lambda edge: edge <= share))
+    return dealt.union(stood.select("g", fold.cast("int")))
+
+
+def _room(have: np.ndarray, more: float) -> np.ndarray:
+    """How ``more`` is shared out among folds that have some already, so that all are as even as can be."""
+    order = np.sort(have)
+    for n in range(len(order), 0, -1):
+        water = (order[:n].sum() + more) / n
+        if water >= order[n - 1]:
+            return np.maximum(water - have, 0.0)
+    return np.zeros(len(have))
 
 
 def group_weights(df: DataFrame, group: str) -> DataFrame:
@@ -239,7 +269,7 @@ def fit_propensity(df: DataFrame, columns: list[str], groups: str, n_splits: int
     if n_groups < 2:
         raise ValueError("IPW requires two groups or more")
     folds = deal_groups(known, groups, min(n_splits, n_groups)).withColumnRenamed("group", groups).withColumnRenamed("fold", "_inner")
-    dealt = known.withColumn(groups, F.col(groups).cast("string")).join(F.broadcast(folds), groups)
+    dealt = known.withColumn(groups, F.col(groups).cast("string")).join(folds, groups)
     prepared = dealt.withColumns({"_label": F.col("y"), "y": F.col("tested").cast("double"), "weight": F.lit(1.0)})
     by_fold = prepared.groupBy("_inner").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()
     pos, n = sum(r["pos"] for r in by_fold), sum(r["n"] for r in by_fold)
@@ -300,7 +330,7 @@ def out_of_fold(
     if n_groups < 2:
         raise ValueError("two groups or more are needed")
     folds = deal_groups(grouped, "group_used", min(n_splits, n_groups), "y")
-    rows = written(grouped.join(F.broadcast(folds.withColumnRenamed("group", "group_used")), "group_used"), "folds")
+    rows = written(grouped.join(folds.withColumnRenamed("group", "group_used"), "group_used"), "folds")
     usable = rows.where("y is not null and tested = 1").groupBy("fold").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()
     pos, n = sum(r["pos"] for r in usable), sum(r["n"] for r in usable)
     by = {r["fold"]: r for r in usable}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.ranks import average_rank, rounded
+from ..functions.ranks import average_ranks, rounded
 from ..functions.scratch import written
 from ..operators import counts as C
 from . import demo_views as V
@@ -112,8 +112,7 @@ def w01_effect_percentile(spark, sf_dir):
 
 
 def w02_average_ranks(spark, sf_dir):
-    long = _long(spark, sf_dir).withColumn("r", average_rank(["sample_id"], "cnt"))
-    return _neat(long, ["sample_id", "sgrna_id"], "r")
+    return _neat(average_ranks(_long(spark, sf_dir), ["sample_id"], "cnt", "r"), ["sample_id", "sgrna_id"], "r")
 
 
 QUERIES = {

@@ -78,7 +78,7 @@ def test_few_bins_follow_weights(spark):
     x = np.arange(1000.0)[:, None]
     w = np.where(x[:, 0] < 500, 9.0, 1.0)
     edges = B.bin_edges(_table(spark, x, w * 0, w), "features", "weight", 1, B.BoostParams(bins=10))[0]
-    assert len(edges) == 9 and (edges < 500).sum() == 8 + 1 - (edges >= 500).sum() + 0 or (edges < 500).sum() >= 8
+    assert len(edges) == 9 and (edges < 500).sum() >= 8
     mass = [w[(x[:, 0] > a) & (x[:, 0] <= b)].sum() for a, b in zip([-1, *edges], [*edges, 1e9])]
     assert max(mass) <= 1.05 * w.sum() / 10 + 9
 

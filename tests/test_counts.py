@@ -1,9 +1,13 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from assayline.functions.ranks import average_ranks
 from assayline.operators import counts as C
+from assayline.operators.contracts import with_row_numbers
 
 SHEET = [("c1", "S", "K", "control", 1), ("c2", "S", "K", "control", 2), ("t1", "S", "K", "treatment", 1), ("t2", "S", "K", "treatment", 2)]
 
@@ -87,3 +91,26 @@ def test_leave_one_out(spark, n):
     else:
         want = statistics.stdev(statistics.median(values[:i] + values[i + 1 :]) for i in range(n))
         assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_average_ranks_by_ranges(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, None if rng.random() < 0.05 else float(v), int(i)) for g, n in (("a", 4000), (None, 50), ("b", 1), ("ties", 300)) for i, v in enumerate(rng.integers(0, 7, n) if g == "ties" else rng.normal(size=n).round(2))]
+    df = spark.createDataFrame(rows, "g string, v double, _cell int").repartition(3)
+    got = average_ranks(df, ["g"], "v", "r", of="n").toPandas()
+    assert len(got) == len(rows) and list(got.columns) == ["g", "v", "_cell", "r", "n"]
+    for g in ("a", None, "b", "ties"):
+        own = got[got["g"].isna() if g is None else got["g"] == g]
+        v = own["v"].fillna(-1e9)
+        assert (own["r"] == v.rank()).all() and set(own["n"]) == {len(own)}
+
+
+def test_row_numbers_stay_when_read_again(spark):
+    df = spark.range(1000).select(F.col("id").alias("an id #"), F.lit(None).alias("none"), F.lit("x").alias("row_number")).repartition(7)
+    got = with_row_numbers(df)
+    assert got.columns == ["an id #", "none", "row_number"]
+    assert sorted(r["row_number"] for r in got.collect()) == list(range(2, 1002)) and sorted(got.collect()) == sorted(got.collect())
+    ordered = with_row_numbers(spark.range(50).coalesce(1), "n", 1).collect()
+    assert all(r["n"] == r["id"] + 1 for r in ordered)
+    assert with_row_numbers(spark.range(0)).count() == 0
+    assert "map(" not in got._jdf.queryExecution().executedPlan().toString()

@@ -55,3 +55,25 @@ def test_groups_stay_in_one_fold(spark):
     df = spark.createDataFrame(rows, "g string, y int")
     folds = model.deal_groups(df, "g", 3, "y").collect()
     assert len({r["group"] for r in folds}) == len(folds) == 9 and {r["fold"] for r in folds} == {0, 1, 2}
+
+
+def test_a_million_groups_are_dealt_where_they_are(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(0), F.pmod(F.hash("id"), F.lit(3)))).alias("i"))
+    # Three groups hold a third of all rows.
+    rows = rows.withColumn("g", F.when(F.pmod(F.hash("g", "i"), F.lit(3)) == 0, -1 - F.pmod(F.hash("i", "g"), F.lit(3))).otherwise(F.col("g")))
+    rows = rows.withColumn("y", F.when(F.col("g") % 4 == 0, None).when(F.col("g") % 7 == 0, 1).otherwise(0))
+    folds = model.deal_groups(rows, "g", 5, "y")
+    dealt = rows.join(folds, rows["g"].cast("string") == folds["group"])
+    got = dealt.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("ones"), F.count_if(F.col("y").isNull()).alias("none")).toPandas()
+    assert len(got) == 5 and got["n"].sum() == rows.count() and folds.count() == folds.select("group").distinct().count()
+    # Kinds of strata here: all ones, all zeros, all without; a light group has three rows at most.
+    assert got["n"].max() - got["n"].min() <= 3 * 2 * 3 * 2
+    light = dealt.where("g >= 0").groupBy("fold").agg(F.avg((F.col("y") == 1).cast("double")).alias("share")).toPandas()
+    assert light["share"].max() - light["share"].min() < 0.01
+
+
+def test_room_in_folds():
+    assert model._room(np.array([0.0, 0.0]), 10).tolist() == [5, 5]
+    assert model._room(np.array([9.0, 1.0, 2.0]), 6).tolist() == [0, 3.5, 2.5]
+    assert model._room(np.array([1.0, 4.0]), 0).tolist() == [0, 0]
