@@ -82,15 +82,16 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def _rank(value: Column, edges: list[int], width: int = 256) -> Column:
-    """How many of the sorted ``edges`` are below ``value``: first of every ``width``-th edge, then of those between."""
-    groups = [edges[i : i + width] for i in range(0, len(edges), width)]
-    if not groups:
-        return F.lit(0).cast("long")
-    array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+def _edges(edges: list[int], width: int = 256) -> list[list[int]]:
+    """Sorted edges in groups, as data of one row: a plan doesn't grow with their number."""
+    return [edges[i : i + width] for i in range(0, len(edges), width)]
+
+
+def _rank(value: Column, groups: Column, width: int = 256) -> Column:
+    """How many of the grouped edges are below ``value``: first of every group's first edge, then of those of one group."""
     below = let(
-        F.size(F.filter(array([g[0] for g in groups]), lambda e: e < value)),
-        lambda k: F.when(k == 0, 0).otherwise((k - 1) * width + F.size(F.filter(F.get(F.array(*[array(g) for g in groups]), k - 1), lambda e: e < value))),
+        F.size(F.filter(groups, lambda g: F.get(g, F.lit(0)) < value)),
+        lambda k: F.when(k == 0, 0).otherwise((k - 1) * width + F.size(F.filter(F.get(groups, k - 1), lambda e: e < value))),
     )
     return below.cast("long")
 
@@ -106,15 +107,20 @@ def with_next(docs: DataFrame, columns: list[str], params: FingerprintParams = F
     lowest row it follows. Ids are compared, not calculated with, so any will do;
     columns of ``docs`` keep their names and values.
     """
-    cell, tie, guest, top, to, heavy, slot = free_names(docs, "_cell", "_tie", "_guest", "_top", "_to", "_heavy", "_slot")
+    cell, tie, guest, top, to, heavy, slot, edge = free_names(docs, "_cell", "_tie", "_guest", "_top", "_to", "_heavy", "_slot", "_edge")
     known = F.col("doc_id").isNotNull()
     n = docs.select(F.lit(1)).count()
     cells = max(1, min(params.max_cells, n // params.cell_rows))
     edges: list[int] = []
     if cells > 1:
-        found = docs.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 8 * cells).alias("e")).first()["e"]
+        # One literal, however many quantiles.
+        quantiles = F.split(F.lit(",".join(repr(i / cells) for i in range(1, cells))), ",").cast("array<double>")
+        found = docs.agg(F.percentile_approx("doc_id", quantiles, 8 * cells).alias("e")).first()["e"]
         edges = sorted(set(found or []))
-    placed = docs.withColumn(tie, F.xxhash64("text")).withColumn(cell, F.when(known, _rank(F.col("doc_id"), edges)).otherwise(F.lit(-1)))
+    bounds = docs.sparkSession.createDataFrame([(_edges(edges),)], f"`{edge}` array<array<long>>")
+    # One row, of at most ``max_cells`` numbers.
+    placed = docs.withColumn(tie, F.xxhash64("text")).crossJoin(F.broadcast(bounds))
+    placed = placed.withColumn(cell, F.when(known, _rank(F.col("doc_id"), F.col(edge))).otherwise(F.lit(-1))).drop(edge)
     most = 4 * max(params.cell_rows, n // cells)
     full = placed.groupBy(cell).agg(F.count("*").alias("n")).where(F.col("n") > most)
     # Ids with that many rows: at most a quarter as many as there are cells, so all of this is fit to be sent out.

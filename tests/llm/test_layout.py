@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayline.llm import fingerprints as FP, mixing, packing, sharding
 
@@ -65,6 +66,14 @@ def test_fingerprints(spark):
     assert len(ties) == 3
 
 
+def test_plan_does_not_grow_with_cells(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    few, many = (FP.with_next(df, ["text"], FP.FingerprintParams(cell_rows=n)) for n in (3000, 10))
+    sizes = [len(x._jdf.queryExecution().optimizedPlan().toString()) for x in (few, many)]
+    assert sizes[1] < 1.1 * sizes[0] + 2000
+    assert many.where("doc_id > 0 and next_text <> concat('t', doc_id - 1) or doc_id = 0 and next_text <> 't29999'").count() == 0 and many.count() == 30_000
+
+
 def test_sketches_estimate_jaccard(spark):
     rng = random.Random(9)
     words = [f"v{i}" for i in range(3000)]
