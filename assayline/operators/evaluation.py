@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.positions import running_sums
@@ -24,7 +21,8 @@ def query_key(columns: list[str]) -> Column:
 
 
 def _steps(df: DataFrame, by: list[str], target: str, score: str) -> DataFrame:
-    return df.groupBy(*by, score).agg(F.sum(F.col(target).cast("double")).alias("tp"), F.count("*").cast("double").alias("n"))
+    value = F.col(target).cast("double")
+    return df.groupBy(*by, score).agg(F.sum(value).alias("tp"), F.count("*").cast("double").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 
 def _gained() -> Column:
@@ -33,10 +31,10 @@ def _gained() -> Column:
 
 
 def _ap(df: DataFrame, by: list[str], target: str, score: str) -> DataFrame:
-    """Average precision per ``by``, the rows of one query."""
+    """Average precision per ``by``, the rows of one query, with its least and greatest target."""
     down = W.partitionBy(*by).orderBy(F.col(score).desc())
     steps = _steps(df, by, target, score).withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
-    return steps.groupBy(*by).agg(_gained().alias("ap"))
+    return steps.groupBy(*by).agg(_gained().alias("ap"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def global_average_precision(df: DataFrame, target: str = "target", score: str = "score") -> DataFrame:
@@ -46,7 +44,7 @@ def global_average_precision(df: DataFrame, target: str = "target", score: str =
 
 
 def average_precision(df: DataFrame, by: list[str], target: str = "target", score: str = "score") -> DataFrame:
-    return _ap(df.where(F.col(target).isNotNull() & F.col(score).isNotNull()), by, target, score)
+    return _ap(df.where(F.col(target).isNotNull() & F.col(score).isNotNull()), by, target, score).drop("lo", "hi")
 
 
 def brier(df: DataFrame, target: str = "target", score: str = "score") -> DataFrame:
@@ -103,8 +101,9 @@ def per_query_metrics(df: DataFrame, query: list[str], study: str, target: str =
     """Long ``(study, metric, value)`` rows: each query's value of each metric."""
     candidates = df.where(F.col(score).isNotNull())
     known = candidates.where(F.col(target).isNotNull())
-    both = known.groupBy(*query).agg(F.first(study).alias("study"), F.min(target).alias("lo"), F.max(target).alias("hi")).where("lo <> hi")
-    out = _ap(known, query, target, score).join(both, query).select("study", F.lit("average_precision").alias("metric"), F.col("ap").alias("value"))
+    # A query lies in one study, so its study may be one more key; with it, members of the query may be null.
+    mixed = _ap(known, list(dict.fromkeys([*query, study])), target, score).where("lo <> hi")
+    out = mixed.select(F.col(study).alias("study"), F.lit("average_precision").alias("metric"), F.col("ap").alias("value"))
     observed = candidates.withColumn(target, F.coalesce(target, F.lit(0.0)))
     some = F.col("positives") > 0
     for rows, judged in ((known, True), (observed, False)):
@@ -121,6 +120,24 @@ def per_query_metrics(df: DataFrame, query: list[str], study: str, target: str =
     return out.where("value is not null")
 
 
+def named_means(means: DataFrame, *kept: str) -> DataFrame:
+    """``(metric, q, st)`` means over queries and over studies as ``(metric, value)``, under all names that a mean goes by."""
+    m = F.col("metric")
+    at = ~m.isin("average_precision")
+    bare = F.regexp_replace(m, "^adjudicated_", "")
+    return means.select(*kept, F.explode(F.concat(
+        F.array(_pair(F.concat(F.lit("query_macro_"), m), "q"), _pair(F.concat(F.lit("study_macro_"), m), "st")),
+        F.when(at, F.array(_pair(m, "st"))).otherwise(F.array(_pair("macro_average_precision", "st"))),
+        F.when(m.startswith("adjudicated_"), F.array(_pair(bare, "st"))).otherwise(F.array().cast("array<struct<metric:string,value:double>>")),
+    )).alias("v")).select(*kept, "v.metric", "v.value")
+
+
+def query_metrics(ks: tuple[int, ...] = KS) -> list[str]:
+    """The names that ``per_query_metrics`` gives."""
+    each = ("adjudicated_precision", "adjudicated_ndcg", "observed_success_yield", "observed_recall", "observed_ndcg")
+    return ["average_precision", *[f"{name}_at_{k}" for k in ks for name in each]]
+
+
 def check_nesting(df: DataFrame, query: list[str], study: str) -> None:
     odd = df.groupBy(*query).agg(F.count_distinct(study).alias("n")).where("n <> 1").limit(1)
     if not odd.isEmpty():
@@ -147,14 +164,7 @@ def ranking_metrics(df: DataFrame, query: list[str], study: str | None = None, t
     means = each.groupBy("metric", "study").agg(F.sum("value").alias("s"), F.count("*").alias("n")).groupBy("metric").agg(
         (F.sum("s") / F.sum("n")).alias("q"), F.avg(F.col("s") / F.col("n")).alias("st")
     )
-    m = F.col("metric")
-    at = ~m.isin("average_precision")
-    bare = F.regexp_replace(m, "^adjudicated_", "")
-    macro = means.select(F.explode(F.concat(
-        F.array(_pair(F.concat(F.lit("query_macro_"), m), "q"), _pair(F.concat(F.lit("study_macro_"), m), "st")),
-        F.when(at, F.array(_pair(m, "st"))).otherwise(F.array(_pair("macro_average_precision", "st"))),
-        F.when(m.startswith("adjudicated_"), F.array(_pair(bare, "st"))).otherwise(F.array().cast("array<struct<metric:string,value:double>>")),
-    )).alias("v")).select("v.metric", "v.value")
+    macro = named_means(means)
     whole = global_average_precision(known, target, score).select(F.explode(F.array(
         _pair("average_precision", "ap"), _pair("global_average_precision", "ap")
     )).alias("v")).select("v.metric", "v.value")
@@ -165,80 +175,3 @@ def ranking_metrics(df: DataFrame, query: list[str], study: str | None = None, t
     both = each.where("metric = 'average_precision'").agg(F.count("*").cast("double").alias("value")).select(F.lit("n_groups_with_both_classes").alias("metric"), "value")
     loss = brier(known, target, score).select(F.lit("uncalibrated_brier_score").alias("metric"), F.col("brier").alias("value"))
     return whole.unionByName(loss).unionByName(counts).unionByName(studies).unionByName(both).unionByName(macro)
-
-
-def cluster_bootstrap(
-    df: DataFrame, study: str, query: list[str], target: str = "target", score: str = "score", *, n_bootstrap: int = 1000,
-    confidence: float = 0.95, min_effective_fraction: float = 0.8, seed: int = 17, tie: tuple[str, ...] = (),
-) -> DataFrame:
-    """Percentile intervals of ranking metrics over studies drawn with replacement.
-
-    A draw is how often it holds each study. Per-query metrics don't depend on the
-    draw, so each study is summed up once and a draw is a weighted sum of studies;
-    average precision and Brier score weigh the rows. Returns ``(metric,
-    effective_draws, interval_available, median, lower, upper)``, with the rows
-    ``_requested_draws, _valid_draws, _skipped_draws, _attempts`` holding counts
-    in effective_draws. The driver holds studies' names, and no rows.
-    """
-    if n_bootstrap < 1 or not 0 < confidence < 1 or not 0 < min_effective_fraction <= 1:
-        raise ValueError("n_bootstrap, confidence or min_effective_fraction is out of range")
-    spark = df.sparkSession
-    eligible = df.where(F.col(score).isNotNull() & F.col(study).isNotNull())
-    for c in query:
-        eligible = eligible.where(F.col(c).isNotNull())
-    known = eligible.where(F.col(target).isNotNull())
-    classes = {r[0] for r in known.select(F.col(target).cast("double")).distinct().limit(3).collect()}
-    names = sorted(r[0] for r in df.where(F.col(study).isNotNull()).select(study).distinct().collect())
-    if len(names) < 2:
-        raise ValueError("drawing studies takes two studies or more")
-    if classes != {0.0, 1.0}:
-        raise ValueError("targets have to be binary, with both 0 and 1 among all rows")
-    held = {r[study]: (r["lo"], r["hi"]) for r in known.groupBy(study).agg(F.min(target).alias("lo"), F.max(target).alias("hi")).collect()}
-    # A draw is used if it holds both classes.
-    rng, most, attempts = np.random.default_rng(seed), max(20 * n_bootstrap, n_bootstrap + 100), 0
-    drawn: list[tuple[int, str, int]] = []
-    valid = 0
-    lo = np.array([held.get(s, (2, -1))[0] for s in names], float)
-    hi = np.array([held.get(s, (2, -1))[1] for s in names], float)
-    while valid < n_bootstrap and attempts < most:
-        attempts += 1
-        times = np.bincount(rng.integers(0, len(names), len(names)), minlength=len(names))
-        inside = times > 0
-        if lo[inside].min() != 0 or hi[inside].max() != 1:
-            continue
-        drawn += [(valid, names[i], int(times[i])) for i in np.flatnonzero(inside)]
-        valid += 1
-    if not valid:
-        raise ValueError("no draw held targets of both classes")
-    draws = spark.createDataFrame(drawn, "draw int, study string, times int")
-    sums = per_query_metrics(eligible, query, study, target, score, tie=tie).groupBy("metric", "study").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    times = F.col("times")
-    macro = sums.join(draws, "study").groupBy("metric", "draw").agg(
-        (F.sum(times * F.col("s")) / F.sum(times * F.col("n"))).alias("q"),
-        (F.sum(times * F.col("s") / F.col("n")) / F.sum(times)).alias("st"),
-    )
-    values = macro.select("draw", F.explode(F.array(
-        _pair(F.concat(F.lit("query_macro_"), "metric"), "q"), _pair(F.concat(F.lit("study_macro_"), "metric"), "st")
-    )).alias("v")).select("draw", "v.metric", "v.value")
-    # Rows are first summed up by study and distinct score: a draw weighs those.
-    steps = known.groupBy(F.col(study).alias("study"), F.col(score).alias("score")).agg(F.sum(target).alias("tp"), F.count("*").alias("n"))
-    weighed = steps.join(draws, "study").groupBy("draw", "score").agg(F.sum(times * F.col("tp")).alias("tp"), F.sum(times * F.col("n")).alias("n"))
-    down = W.partitionBy("draw").orderBy(F.col("score").desc())
-    whole = weighed.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)}).groupBy("draw").agg(
-        (F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.sum("tp")).alias("global_average_precision"),
-        (F.sum(F.col("tp") * (F.col("score") - 1) * (F.col("score") - 1) + (F.col("n") - F.col("tp")) * F.col("score") * F.col("score")) / F.sum("n")).alias("uncalibrated_brier_score"),
-    )
-    values = values.unionByName(whole.unpivot(["draw"], ["global_average_precision", "uncalibrated_brier_score"], "metric", "value"))
-    alpha = (1 - confidence) / 2
-    need = max(2, math.ceil(n_bootstrap * min_effective_fraction))
-    enough = F.col("effective_draws") >= need
-    cuts = values.groupBy("metric").agg(
-        F.count("value").alias("effective_draws"), F.expr(f"percentile(value, array(0.5, {alpha}, {1 - alpha}))").alias("p")
-    )
-    out = cuts.select(
-        "metric", F.col("effective_draws").cast("double").alias("effective_draws"), enough.cast("double").alias("interval_available"),
-        *[F.when(enough, F.get("p", F.lit(i))).alias(c) for i, c in enumerate(("median", "lower", "upper"))],
-    )
-    facts = {"_requested_draws": n_bootstrap, "_valid_draws": valid, "_skipped_draws": attempts - valid, "_attempts": attempts, "_minimum_effective_draws": need}
-    notes = spark.createDataFrame([(k, float(v)) for k, v in facts.items()], "metric string, effective_draws double")
-    return out.unionByName(notes, allowMissingColumns=True)

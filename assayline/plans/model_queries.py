@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ranks import rounded
-from ..operators import design, evaluation as G, extras, model
+from ..operators import design, extras, model
 from ..operators.counts import gene_effects, guide_effects
 from ..operators.families import study_families
+from ..operators.resampling import cluster_bootstrap
 from . import count_queries as CQ, demo_views as V, ranking_queries as RQ
 
 # Contrasts, screens, designs and samples over parts, suppliers and customers.
@@ -160,7 +161,7 @@ def d10_family_bootstrap(spark, sf_dir):
     """Intervals of metrics over families of studies drawn with replacement."""
     rows = candidates(spark, sf_dir)
     families = study_families(rows.select("study_id", "source_family_id").distinct(), families=("source_family_id",))
-    return G.cluster_bootstrap(rows.join(families, "study_id"), "family_group", RQ._QUERY, tie=("gene_symbol",))
+    return cluster_bootstrap(rows.join(families, "study_id"), "family_group", RQ._QUERY, tie=("gene_symbol",))
 
 
 def d01_leave_one_out(spark, sf_dir):

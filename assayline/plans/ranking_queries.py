@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import rounded
 from ..operators import evaluation as G, families, labels as L
+from ..operators.resampling import cluster_bootstrap
 from . import demo_views as V
 
 _QUERY = ["screen_id", "contrast_id", "phenotype_direction"]
@@ -73,7 +74,7 @@ def w03_top_k_rows(spark, sf_dir):
 
 
 def g12_cluster_bootstrap(spark, sf_dir):
-    return G.cluster_bootstrap(V.scored(spark, sf_dir), "study_id", _QUERY, tie=_TIE)
+    return cluster_bootstrap(V.scored(spark, sf_dir), "study_id", _QUERY, tie=_TIE)
 
 
 QUERIES = {

@@ -3,6 +3,7 @@ import math
 import pytest
 
 from assayline.operators import evaluation as G
+from assayline.operators.resampling import cluster_bootstrap
 
 Q = ["screen_id", "contrast_id", "phenotype_direction"]
 
@@ -35,14 +36,14 @@ def test_query_in_two_studies(spark):
 
 def test_bootstrap(spark):
     rows = [(st, f"{st}1", "c", "r", f"{st}{i}", float(i % 2), i / 10) for st in "ABC" for i in range(6)]
-    out = {r["metric"]: r for r in G.cluster_bootstrap(_frame(spark, rows), "study_id", Q, n_bootstrap=50).collect()}
+    out = {r["metric"]: r for r in cluster_bootstrap(_frame(spark, rows), "study_id", Q, n_bootstrap=50).collect()}
     assert out["_valid_draws"]["effective_draws"] == 50
     got = out["study_macro_average_precision"]
     assert got["lower"] <= got["median"] <= got["upper"] and got["interval_available"] == 1
     with pytest.raises(ValueError, match="binary"):
-        G.cluster_bootstrap(_frame(spark, [r[:5] + (1.0,) + r[6:] for r in rows]), "study_id", Q)
+        cluster_bootstrap(_frame(spark, [r[:5] + (1.0,) + r[6:] for r in rows]), "study_id", Q)
     with pytest.raises(ValueError, match="two studies"):
-        G.cluster_bootstrap(_frame(spark, rows[:6]), "study_id", Q)
+        cluster_bootstrap(_frame(spark, rows[:6]), "study_id", Q)
 
 
 def test_registered_bootstrap_has_all_draws(spark):
