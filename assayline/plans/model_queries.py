@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ranks import rounded
-from ..operators import design, extras, model
+from ..operators import design, extras, held_out, model
 from ..operators.counts import gene_effects, guide_effects
 from ..operators.families import study_families
 from ..operators.resampling import cluster_bootstrap
@@ -173,6 +173,32 @@ def d02_as_of(spark, sf_dir):
     return found.select("o_custkey", "o_orderkey")
 
 
+def d01_held_out_scores(spark, sf_dir):
+    """Each candidate's score by a fit without its study and the families linked with it."""
+    rows = candidates(spark, sf_dir).withColumn("all_length", F.ln(F.col("n_chars") + 1.0))
+    found = held_out.leave_group_out_scores(rows, "study_id", "source_family_id", ["score", "all_length"])
+    return found.select("study_id", "gene_symbol", "training_rows", rounded("held_out_score").alias("held_out_score"))
+
+
+def d02_as_of_join(spark, sf_dir):
+    """Each order with its user's last event by its own cutoff; days hold many events of a user, the greatest counts."""
+    orders = V.table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 50 as user_id", "timestampadd(DAY, cast(o_orderkey % 40 as int), timestamp'2024-01-01') as cutoff")
+    events = V.table(spark, sf_dir, "events").selectExpr("user_id % 50 as user_id", "date_trunc('DAY', ts) as available", "event_id", "event_type")
+    found = held_out.as_of_join(orders, events, ["user_id"], "cutoff", "available", ["event_id", "event_type"])
+    return found.select("o_orderkey", "user_id", "available", "event_id", "event_type")
+
+
+def d02_temporal_split(spark, sf_dir):
+    found = held_out.temporal_split(V.table(spark, sf_dir, "orders"), "o_orderdate", "1996-01-01", "o_custkey")
+    return found.select("o_orderkey", "split")
+
+
+def d03_training_recurrence(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "lineitem").selectExpr("concat('GENE', l_partkey) as gene_symbol", "concat('F', l_suppkey) as family", "l_returnflag as direction", "cast(l_suppkey % 5 as int) as fold")
+    found = held_out.training_recurrence(rows, ["gene_symbol"], "family", "direction", "fold")
+    return found.select("gene_symbol", "family", "fold", "training_families", rounded("same_direction_fraction").alias("same_direction_fraction"))
+
+
 def d03_recurrence(spark, sf_dir):
     rows = V.label_events(spark, sf_dir).where("gene_symbol is not null")
     found = extras.recurrence(rows, ["gene_symbol"], "label_code", "phenotype_direction")
@@ -216,7 +242,7 @@ QUERIES = {
     for f in (
         a26_design_features, a27_artifact_context, p06_aligned_direction, p07_testing_target, m02_weighted_medians, m05_group_folds, m11_out_of_fold, j04_assembled, d05_uplift, d06_coverage,
         d07_graded_ndcg, d07_failure_rate, d08_screen_quality, d08_guide_flags, d10_family_bootstrap,
-        d01_leave_one_out, d02_as_of, d03_recurrence, d04_calibration, d07_reciprocal_rank, d07_budget_curve, d09_count_gini, d09_leave_best_out, d11_panel,
+        d01_leave_one_out, d01_held_out_scores, d02_as_of, d02_as_of_join, d02_temporal_split, d03_recurrence, d03_training_recurrence, d04_calibration, d07_reciprocal_rank, d07_budget_curve, d09_count_gini, d09_leave_best_out, d11_panel,
         d12_family_priority,
     )
 }
@@ -285,6 +311,23 @@ SELECT screen_id, contrast_id, round((avg(guide_lfc) FILTER (NOT e AND NOT c) -
 SELECT 'G' || p_partkey AS sgrna_id, 'GENE' || (p_partkey // 4) AS gene_symbol, CASE WHEN p_size % 3 <> 0 THEN p_size % 4 > 0 END AS multi_target, e.g IS NOT NULL AS common_essential FROM part LEFT JOIN e ON e.g = p_partkey // 4""",
     "d01_leave_one_out": f"WITH {_SC} SELECT study_id, count(*) AS held_out, CAST((SELECT count(*) FROM sc WHERE study_id IS NOT NULL) - count(*) AS BIGINT) AS training FROM sc WHERE study_id IS NOT NULL GROUP BY study_id",
     "d02_as_of": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01') WHERE n = 1",
+    "d01_held_out_scores": f"""WITH {_SC}, c AS (SELECT sc.study_id, gene_symbol, CASE WHEN sc.study_id IN ('src1', 'src2') THEN 'shared' ELSE sc.study_id END AS fam, score AS a, ln(n_chars + 1.0::DOUBLE) AS b, target AS y
+  FROM sc JOIN documents d ON sc.gene_symbol = 'GENE' || d.doc_id),
+f AS (SELECT fam, count(*)::DOUBLE AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS "by" FROM c WHERE y IS NOT NULL AND fam IS NOT NULL GROUP BY fam),
+g AS (SELECT DISTINCT study_id, fam FROM c WHERE study_id IS NOT NULL),
+t AS (SELECT g.study_id, sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(aa) AS aa, sum(bb) AS bb, sum(ab) AS ab, sum(ay) AS ay, sum("by") AS "by" FROM g JOIN f ON f.fam <> g.fam GROUP BY g.study_id),
+s AS (SELECT *, sqrt(aa / n - a * a / n / n) AS sa, sqrt(bb / n - b * b / n / n) AS sb, ab - a * b / n AS cab, ay - a * y / n AS cay, "by" - b * y / n AS cby FROM t),
+u AS (SELECT *, (n + 1) * (n + 1) - (cab / sa / sb) * (cab / sa / sb) AS det FROM s),
+w AS (SELECT study_id, n, a / n AS ma, b / n AS mb, y / n AS my, ((n + 1) * cay / sa - cab / sa / sb * cby / sb) / det / sa AS wa, ((n + 1) * cby / sb - cab / sa / sb * cay / sa) / det / sb AS wb FROM u)
+SELECT c.study_id, gene_symbol, CAST(n AS BIGINT) AS training_rows, round(my + wa * (c.a - ma) + wb * (c.b - mb), 6) + 0.0 AS held_out_score FROM c LEFT JOIN w USING (study_id)""",
+    "d02_as_of_join": """WITH o AS (SELECT o_orderkey, o_custkey % 50 AS user_id, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST(o_orderkey % 40 AS INT) AS cutoff FROM orders),
+e AS (SELECT user_id % 50 AS user_id, date_trunc('day', ts)::TIMESTAMP AS available, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL)
+SELECT o_orderkey, o.user_id, available, event_id, event_type FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.cutoff >= e.available""",
+    "d02_temporal_split": """SELECT o_orderkey, CASE WHEN o_orderdate IS NULL THEN 'undated' WHEN o_orderdate <= TIMESTAMP '1996-01-01' THEN 'train'
+  WHEN min(o_orderdate) OVER (PARTITION BY o_custkey) <= TIMESTAMP '1996-01-01' THEN 'purged' ELSE 'test' END AS split FROM orders""",
+    "d03_training_recurrence": """WITH per AS (SELECT l_partkey, l_suppkey, max(l_returnflag) AS d, CAST(l_suppkey % 5 AS INT) AS fold FROM lineitem GROUP BY ALL),
+c AS (SELECT *, count(*) OVER (PARTITION BY l_partkey) - count(*) OVER (PARTITION BY l_partkey, fold) AS t, count(*) OVER (PARTITION BY l_partkey, d) - count(*) OVER (PARTITION BY l_partkey, d, fold) AS a FROM per)
+SELECT 'GENE' || l_partkey AS gene_symbol, 'F' || l_suppkey AS family, fold, t AS training_families, round(a / nullif(t, 0), 6) + 0.0 AS same_direction_fraction FROM c""",
     "d03_recurrence": f"""WITH {RQ._EVENTS}, per AS (SELECT gene_symbol, label_code, max(phenotype_direction) AS d FROM ev WHERE gene_symbol IS NOT NULL GROUP BY ALL)
 SELECT gene_symbol, label_code, count(*) OVER (PARTITION BY gene_symbol) - 1 AS other_families,
   round((count(*) OVER (PARTITION BY gene_symbol, d) - 1) / nullif(count(*) OVER (PARTITION BY gene_symbol) - 1, 0), 6) + 0.0 AS same_direction_fraction FROM per""",
