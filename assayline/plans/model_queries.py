@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ranks import rounded
-from ..operators import design, extras, held_out, model
+from ..functions.scratch import written
+from ..operators import baselines, design, extras, held_out, model
 from ..operators.counts import gene_effects, guide_effects
 from ..operators.families import study_families
 from ..operators.resampling import cluster_bootstrap
@@ -125,6 +126,39 @@ def d05_uplift(spark, sf_dir):
     return found.select("baseline", "queries", *[rounded(c).alias(c) for c in ("score_ap", "baseline_ap", "uplift")])
 
 
+def _guides(spark, sf_dir) -> DataFrame:
+    return guide_effects(CQ._logged(spark, sf_dir))
+
+
+def d05_smoothed_z(spark, sf_dir):
+    found = baselines.smoothed_z(_guides(spark, sf_dir), window=100)
+    return found.select("screen_id", "contrast_id", "gene_symbol", "guide_n", rounded("norm_z").alias("norm_z"))
+
+
+def d05_rank_scores(spark, sf_dir):
+    found = baselines.rank_scores(_guides(spark, sf_dir))
+    return found.select("screen_id", "contrast_id", "gene_symbol", "guide_n", rounded("rho").alias("rho"))
+
+
+def d05_rank_aggregation(spark, sf_dir):
+    found = baselines.rank_aggregation(_guides(spark, sf_dir))
+    return found.select("screen_id", "contrast_id", "gene_symbol", "guide_n", rounded("rho").alias("rho"), "p_value")
+
+
+def d05_baseline_uplift(spark, sf_dir):
+    """How much better than both baselines the mean of a gene's guides ranks its successes, per contrast."""
+    keys = ["screen_id", "contrast_id", "gene_symbol"]
+    guides = written(_guides(spark, sf_dir), "guides")
+    means = guides.groupBy(*keys).agg((-F.avg("guide_lfc")).alias("score"))
+    part = V.table(spark, sf_dir, "part").selectExpr("concat('GENE', p_partkey div 4) as gene_symbol", "p_size")
+    labels = part.groupBy("gene_symbol").agg((F.max("p_size") > 40).cast("double").alias("target"))
+    rows = means.join(baselines.rank_scores(guides).drop("guide_n"), keys).join(baselines.smoothed_z(guides, window=100).drop("guide_n"), keys).join(labels, "gene_symbol")
+    # Scores that differ by rounding alone are ties.
+    rows = written(rows.withColumns({"score": rounded("score"), "norm_z": rounded("norm_z"), "rho": rounded("rho")}), "rows")
+    found = extras.uplift(rows, ["screen_id", "contrast_id"], "target", "score", {"rank_aggregation": -F.col("rho"), "smoothed_z": -F.col("norm_z")})
+    return found.select("baseline", "queries", *[rounded(c).alias(c) for c in ("score_ap", "baseline_ap", "uplift")])
+
+
 def d06_coverage(spark, sf_dir):
     rows = candidates(spark, sf_dir)
     found = extras.coverage(rows, rows.where("target is not null"), "demo", {"screen": ["score_feature"], "design": ["length_feature", "toxic"]})
@@ -240,7 +274,7 @@ def d12_family_priority(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        a26_design_features, a27_artifact_context, p06_aligned_direction, p07_testing_target, m02_weighted_medians, m05_group_folds, m11_out_of_fold, j04_assembled, d05_uplift, d06_coverage,
+        a26_design_features, a27_artifact_context, p06_aligned_direction, p07_testing_target, m02_weighted_medians, m05_group_folds, m11_out_of_fold, j04_assembled, d05_uplift, d05_smoothed_z, d05_rank_scores, d05_rank_aggregation, d05_baseline_uplift, d06_coverage,
         d07_graded_ndcg, d07_failure_rate, d08_screen_quality, d08_guide_flags, d10_family_bootstrap,
         d01_leave_one_out, d01_held_out_scores, d02_as_of, d02_as_of_join, d02_temporal_split, d03_recurrence, d03_training_recurrence, d04_calibration, d07_reciprocal_rank, d07_budget_curve, d09_count_gini, d09_leave_best_out, d11_panel,
         d12_family_priority,
@@ -264,6 +298,29 @@ def _uplift_sql(name: str, value: str) -> str:
       SELECT '{name}' AS baseline, count(*) AS queries, round(avg(a.ap), 6) + 0.0 AS score_ap, round(avg(b.ap), 6) + 0.0 AS baseline_ap, round(avg(a.ap - b.ap), 6) + 0.0 AS uplift FROM mixed JOIN a USING ({_Q}) JOIN b USING ({_Q})"""
 
 
+_SMOOTHED = """pz AS (SELECT *, (row_number() OVER (PARTITION BY screen_id, contrast_id ORDER BY mean_control_count DESC NULLS LAST, sgrna_id) - 1) // 100 AS run FROM guides WHERE guide_lfc IS NOT NULL),
+rz AS (SELECT screen_id, contrast_id, run, count(*) AS n, sum(guide_lfc) AS s, sum(guide_lfc * guide_lfc) AS q FROM pz GROUP BY ALL),
+az AS (SELECT screen_id, contrast_id, run, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM rz WINDOW w AS (PARTITION BY screen_id, contrast_id ORDER BY run ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+sz AS (SELECT screen_id, contrast_id, run, max(sqrt(greatest((q - s * s / n) / nullif(n - 1, 0), 0))) OVER (PARTITION BY screen_id, contrast_id ORDER BY run) AS sd FROM az),
+gz AS (SELECT screen_id, contrast_id, gene_symbol, count(*) AS guide_n, sum(guide_lfc / nullif(sd, 0)) / sqrt(count(guide_lfc / nullif(sd, 0))) AS z FROM pz JOIN sz USING (screen_id, contrast_id, run) GROUP BY ALL),
+smoothed AS (SELECT screen_id, contrast_id, gene_symbol, guide_n, round((z - avg(z) OVER c) / stddev_samp(z) OVER c, 6) + 0.0 AS norm_z FROM gz WINDOW c AS (PARTITION BY screen_id, contrast_id))"""
+_RANKED = """pr AS (SELECT *, (rank() OVER (PARTITION BY screen_id, contrast_id ORDER BY guide_lfc) + (count(*) OVER (PARTITION BY screen_id, contrast_id, guide_lfc) - 1) / 2.0::DOUBLE - 0.5::DOUBLE)
+  / count(*) OVER (PARTITION BY screen_id, contrast_id) AS u FROM (SELECT * REPLACE (round(guide_lfc, 9) AS guide_lfc) FROM guides) WHERE guide_lfc IS NOT NULL),
+kr AS (SELECT *, row_number() OVER (PARTITION BY screen_id, contrast_id, gene_symbol ORDER BY u, sgrna_id) AS k, count(*) OVER (PARTITION BY screen_id, contrast_id, gene_symbol) AS n FROM pr),
+rra AS (SELECT screen_id, contrast_id, gene_symbol, max(n) AS guide_n,
+  round(coalesce(min(list_sum(list_transform(range(k, n + 1), lambda j: factorial(CAST(n AS INT))::DOUBLE / factorial(CAST(j AS INT))::DOUBLE / factorial(CAST(n - j AS INT))::DOUBLE * pow(u, j) * pow(1 - u, n - j)))) FILTER (u <= 0.25), 1.0), 6) + 0.0 AS rho FROM kr GROUP BY ALL)"""
+_RQ = "screen_id, contrast_id"
+
+
+def _screen_uplift_sql(name: str, value: str) -> str:
+    def ap(score: str) -> str:
+        return f"""SELECT {_RQ}, sum(tp * ctp / cn) / nullif(sum(tp), 0) AS ap FROM (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn
+          FROM (SELECT {_RQ}, {score} AS s, sum(target) AS tp, count(*)::DOUBLE AS n FROM r WHERE {value} IS NOT NULL GROUP BY ALL) WINDOW w AS (PARTITION BY {_RQ} ORDER BY s DESC)) GROUP BY ALL"""
+
+    return f"""SELECT '{name}' AS baseline, count(*) AS queries, round(avg(a.ap), 6) + 0.0 AS score_ap, round(avg(b.ap), 6) + 0.0 AS baseline_ap, round(avg(a.ap - b.ap), 6) + 0.0 AS uplift
+  FROM (SELECT {_RQ} FROM r WHERE {value} IS NOT NULL GROUP BY ALL HAVING min(target) <> max(target)) JOIN ({ap('score')}) a USING ({_RQ}) JOIN ({ap(value)}) b USING ({_RQ})"""
+
+
 SQL = {
     "a26_design_features": f"""WITH c AS (SELECT {', '.join(_CONTRAST)} FROM part), s AS (SELECT {', '.join(_SCREEN)} FROM supplier), d AS (SELECT {', '.join(_DESIGN)} FROM supplier),
 x AS (SELECT {', '.join(_SAMPLE)} FROM customer),
@@ -294,6 +351,12 @@ SELECT feature, round(min(v), 6) + 0.0 AS median FROM c WHERE c >= t / 2 GROUP B
 SELECT g.screen_id, g.contrast_id, g.gene_symbol, guide_n, control_sample_n, CASE WHEN p_size > 25 THEN 'V2' WHEN p_size IS NOT NULL THEN 'F0' END AS label_code
 FROM genes0 g LEFT JOIN d USING (screen_id, contrast_id) LEFT JOIN part p ON g.gene_symbol = 'GENE' || p_partkey AND g.contrast_id = 'SC' || (p_partkey % 4) || ':C' || (p_size % 2)""",
     "d05_uplift": " UNION ALL ".join(f"SELECT * FROM ({_uplift_sql(name, value)})" for name, value in (("length", "n_chars::DOUBLE"), ("absolute_effect", "abs(score - 0.5)"))),
+    "d05_smoothed_z": f"WITH {CQ._LONG}, {_SMOOTHED} SELECT * FROM smoothed",
+    "d05_rank_scores": f"WITH {CQ._LONG}, {_RANKED} SELECT * FROM rra",
+    "d05_baseline_uplift": f"""WITH {CQ._LONG}, {_SMOOTHED}, {_RANKED}, lab AS (SELECT 'GENE' || (p_partkey // 4) AS gene_symbol, CAST(max(p_size) > 40 AS DOUBLE) AS target FROM part GROUP BY ALL),
+m AS (SELECT screen_id, contrast_id, gene_symbol, round(-avg(guide_lfc), 6) + 0.0 AS score FROM guides GROUP BY ALL),
+r AS (SELECT screen_id, contrast_id, score, norm_z, rho, target FROM m JOIN smoothed USING (screen_id, contrast_id, gene_symbol) JOIN rra USING (screen_id, contrast_id, gene_symbol) JOIN lab USING (gene_symbol))
+{_screen_uplift_sql("rank_aggregation", "-rho")} UNION ALL {_screen_uplift_sql("smoothed_z", "-norm_z")}""",
     "d06_coverage": f"""WITH {_SC}, c AS (SELECT sc.*, d.doc_id, n_chars, toxic, CASE WHEN d.doc_id % 10 <> 0 THEN ln(n_chars + 1.0) END AS lf FROM sc JOIN documents d ON sc.gene_symbol = 'GENE' || d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id),
 t AS (SELECT min(score) AS s0, max(score) AS s1, min(lf) AS l0, max(lf) AS l1, min(toxic) AS t0, max(toxic) AS t1 FROM c WHERE target IS NOT NULL)
 SELECT gene_symbol, 'demo' AS profile_name, round((1 + CAST(lf IS NOT NULL AS INT) + CAST(toxic IS NOT NULL AS INT)) / 3.0::DOUBLE, 6) + 0.0 AS metadata_completeness_fraction,
