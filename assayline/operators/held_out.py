@@ -43,8 +43,8 @@ def as_of_join(left: DataFrame, right: DataFrame, key: list[str], at: str, avail
     # Peers, rows of one time and side, see each other: rows of the right side stand before those of the left.
     inside = W.partitionBy(*keys, part).orderBy(time, kind)
     matched = ranged.withColumn(last, F.max(last).over(inside)).where(F.col(kind) == 1).join(starts, [*keys, part])
-    # A later row of the same key is greater, as structs compare by time first.
-    best = F.coalesce(last, carried)
+    # Structs compare by time first. Rows of one time may lie in several ranges, so the last one met isn't always the greatest.
+    best = F.greatest(last, carried)
     plain = lambda df, s: df.select(f"{row}.*", *[s[c].alias(c) for c in (available, *values)])
     rest = lefts.where(~usable).withColumn(last, F.lit(None).cast(ranged.schema[last].dataType))
     return plain(matched, best).unionByName(plain(rest, F.col(last)))

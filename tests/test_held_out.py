@@ -49,6 +49,15 @@ def test_as_of_join_spreads_a_hot_key(spark, monkeypatch):
         assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2
 
 
+def test_as_of_join_takes_the_greatest_of_rows_of_one_time_in_several_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    right = spark.range(4000).selectExpr("'one' as k", "timestamp_seconds(100) as seen", "id as v")
+    left = spark.range(50).selectExpr("id", "'one' as k", "timestamp_seconds(100 + id) as at")
+    found = H.as_of_join(left, right, ["k"], "at", "seen", ["v"])
+    assert {r["v"] for r in found.collect()} == {3999} and found.count() == 50
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_temporal_split(spark):
     day = lambda n: dt.datetime(2024, 1, n)
     rows = [(1, "f", day(1)), (2, "f", day(9)), (3, "g", day(9)), (4, None, day(9)), (5, None, day(2)), (6, "g", None), (7, "h", day(5)), (7, "h", day(5))]
