@@ -65,7 +65,8 @@ def sorted_cells(df: DataFrame, group: list[str], value: str, cell: str, cells:
     """``df`` with ``cell``: a range of ``value`` in its group, ascending, so that no task sorts a large group whole.
 
     Ranges end at the group's approximate quantiles; equal values share a cell, nulls
-    are in cell 0. Columns of ``group`` may be null.
+    are in cell 0. Columns of ``group`` may be null. Such quantiles depend on the order in which parts arrive, so they are
+    written once: every reader of the result then cuts at the same places.
     """
     if group:
         marks, given = free_names(df, "_marks", "_given")
@@ -74,7 +75,7 @@ def sorted_cells(df: DataFrame, group: list[str], value: str, cell: str, cells:
         keys += [F.col(c).isNull().alias(f"{given}n{i}") for i, c in enumerate(group)]
         names = [f"{given}{i}" for i in range(len(group))] + [f"{given}n{i}" for i in range(len(group))]
         edges = df.select(*keys, F.col(value)).groupBy(*names).agg(F.percentile_approx(value, steps, F.lit(1000)).alias(marks))
-        keyed = df.select("*", *keys).join(edges, names)
+        keyed = df.select("*", *keys).join(written(edges, "edges"), names)
         edge = F.col(marks)
         out = keyed.withColumn(cell, F.coalesce(F.size(F.filter(edge, lambda m: m < F.col(value))), F.lit(0)))
         return out.drop(marks, *names)

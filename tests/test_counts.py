@@ -128,3 +128,12 @@ def test_only_one_row_a_sample_is_broadcast(spark):
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "sgrna_id" in line]
     sd = C.replicate_effect_sd(written(logged, "logged"))._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in sd
+
+
+def test_ranges_are_cut_once_for_all_readers(spark):
+    """Approximate quantiles taken anew by each reader may differ, and with them the ranges."""
+    df = spark.range(500).selectExpr("id % 3 as g", "id * 7 % 101 as v")
+    ranked = average_ranks(df, ["g"], "v", "r")
+    assert "percentile_approx" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    held = {g: sorted(r["v"] for r in df.where(f"g = {g}").collect()) for g in range(3)}
+    assert all(r["r"] == sum(v < r["v"] for v in held[r["g"]]) + (held[r["g"]].count(r["v"]) + 1) / 2 for r in ranked.collect())
