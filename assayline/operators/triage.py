@@ -139,38 +139,45 @@ def decide(checks: DataFrame, stage: str, policy_version: int = 2) -> DataFrame:
     if stage not in ("index", "curated"):
         raise ValueError(f"unknown stage {stage!r}")
     scope, bench = (sorted(x) for x in POLICIES[policy_version])
+    # Flags, not texts, are brought together, which needs no sort.
     by_rule = checks.groupBy("intake_id", "rule_id").agg(
-        F.count("*").alias("n"), F.max((F.col("assessment_stage") != stage).cast("int")).alias("other"), F.min("outcome").alias("outcome")
-    )
-    checked = by_rule.withColumn(
-        "outcome",
+        F.count("*").alias("n"), F.max((F.col("assessment_stage") != stage).cast("int")).alias("other"),
+        F.max(F.col("outcome") == "fail").alias("fails"), F.max(F.col("outcome") != "pass").alias("open"),
+    )
+    wrong = (
         F.when(F.col("other") == 1, F.raise_error(F.lit("a check's assessment_stage differs from the reducer's stage")))
-        .when(F.col("n") > 1, F.raise_error(F.concat(F.lit("duplicate checks for rule "), "rule_id"))).otherwise(F.col("outcome")),
+        .when(F.col("n") > 1, F.raise_error(F.concat(F.lit("duplicate checks for rule "), "rule_id"))).otherwise(F.lit(False))
     )
-    rule, outcome = F.col("rule_id"), F.col("outcome")
-    sets = checked.groupBy("intake_id").agg(
-        F.sort_array(F.collect_list(F.when(rule.isin(*scope) & (outcome == "fail"), rule))).alias("failed"),
+    rule = F.col("rule_id")
+    sets = by_rule.withColumns({"fails": wrong | F.col("fails"), "open": wrong | F.col("open")}).groupBy("intake_id").agg(
+        F.sort_array(F.collect_list(F.when(rule.isin(*scope) & F.col("fails"), rule))).alias("failed"),
         F.collect_list(F.when(rule.isin(*bench), rule)).alias("seen"),
-        F.sort_array(F.collect_list(F.when(rule.isin(*bench) & (outcome != "pass"), rule))).alias("open"),
-    )
-    missing = F.transform(F.array_except(F.array(*[F.lit(b) for b in bench]), "seen"), lambda r: F.concat(F.lit("missing:"), r))
-    blockers = F.concat(missing, "open")
-    out, free = F.size("failed") > 0, F.size(blockers) == 0
+        F.sort_array(F.collect_list(F.when(rule.isin(*bench) & F.col("open"), rule))).alias("open"),
+    )
+    return sets.select("intake_id", *_decision(F.col("failed"), F.col("seen"), F.col("open"), bench, stage))
+
+
+def _decision(failed: Column, seen: Column, open_: Column, bench: list[str], stage: str) -> list[Column]:
+    """What follows from an intake's failed scope rules, and its benchmark rules that are there and that aren't passed."""
+    missing = F.transform(F.array_except(F.array(*[F.lit(b) for b in bench]), seen), lambda r: F.concat(F.lit("missing:"), r))
+    blockers = F.concat(missing, open_)
+    out, free = F.size(failed) > 0, F.size(blockers) == 0
     ready = ~out & free & F.lit(stage == "curated")
-    return sets.select(
-        "intake_id",
+    return [
         F.when(out, "exclude").when(ready, "benchmark_ready").otherwise("metadata_only").alias("status"),
         (~out).alias("candidate_for_full_curation"),
         ready.alias("benchmark_ready"),
-        F.when(out, F.array_join("failed", "|")).when(~free, F.array_join(blockers, "|"))
+        F.when(out, F.array_join(failed, "|")).when(~free, F.array_join(blockers, "|"))
         .when(F.lit(stage == "index"), "full_text_curation_required").alias("reason_codes"),
-    )
+    ]
 
 
 def triage_index(
     raw: DataFrame, *, release: str, retrieved: date | str, organism_scope: str | None = None, policy_version: int = 2
 ) -> Triage:
     """Intake rows, their checks, candidate ids and a summary (``key, value``) of an index."""
+    if policy_version not in POLICIES:
+        raise ValueError(f"unsupported policy_version {policy_version}")
     table = parse_index(raw, release=release, retrieved=retrieved, organism_scope=organism_scope).normalized
     release = release.strip()
     sid = screen_id(release, F.col("screen_id"))
@@ -186,12 +193,19 @@ def triage_index(
         F.concat("intake_id", F.lit(":check:"), "k.rule_id").alias("check_id"), "intake_id", "screen_id", F.lit("index").alias("assessment_stage"), "k.rule_id", F.col("k.v.outcome").alias("outcome"),
         "k.observed_value", "k.normalized_value", "k.required_for_scope", "k.required_for_benchmark", F.col("k.v.reason").alias("reason_code"), "source_locator",
     )
-    decided = decide(checks, "index", policy_version)
-    intake = table.select(
+    # An intake has one row of the index, which holds all of its checks: it is decided where it is.
+    scope, bench = (sorted(x) for x in POLICIES[policy_version])
+    each = F.col("_checks")
+    rules = lambda test: F.sort_array(F.transform(F.filter(each, test), lambda k: k["rule_id"]))
+    failed = rules(lambda k: k["rule_id"].isin(*scope) & (k["v"]["outcome"] == "fail"))
+    seen, open_ = rules(lambda k: k["rule_id"].isin(*bench)), rules(lambda k: k["rule_id"].isin(*bench) & (k["v"]["outcome"] != "pass"))
+    sets = keyed.withColumn("_checks", index_checks(keyed)).withColumns({"_failed": failed, "_seen": seen, "_open": open_})
+    intake = sets.select(
         intake_id.alias("intake_id"), sid.alias("screen_id"), F.col("screen_id").alias("external_screen_id"), dataset.alias("external_dataset_id"),
         F.lit(SOURCE).alias("source_name"), F.lit(release).alias("source_version"), F.lit(policy_version).alias("policy_version"),
         F.lit("index").alias("assessment_stage"), F.lit(date.fromisoformat(str(retrieved))).alias("assessed_date"),
-    ).join(decided, "intake_id")
+        *_decision(F.col("_failed"), F.col("_seen"), F.col("_open"), bench, "index"),
+    )
     candidates = intake.where("candidate_for_full_curation").select("external_screen_id")
     counts = intake.agg(
         F.count("*").alias("total_screens"), F.count_if("candidate_for_full_curation").alias("candidates"), F.count_if("benchmark_ready").alias("benchmark_ready"),

@@ -94,3 +94,11 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in D.read_lossless(spark, str(tmp_path / "raw.tsv")).collect()] == [("-", ""), ("NA", "2")]
     with pytest.raises(ValueError, match="suffix"):
         D.read_table(spark, "x.parquet")
+
+
+def test_an_index_is_decided_row_by_row_as_from_its_checks(spark):
+    """No shuffle brings an intake's checks together again; the general reducer agrees."""
+    out = T.triage_index(_index(spark, *ROWS), release="1.1", retrieved="2026-07-30")
+    names = ["intake_id", "status", "candidate_for_full_curation", "benchmark_ready", "reason_codes"]
+    assert sorted(map(tuple, out.intake.select(names).collect())) == sorted(map(tuple, T.decide(out.checks, "index").select(names).collect()))
+    assert "Aggregate" not in out.intake._jdf.queryExecution().sparkPlan().toString()
