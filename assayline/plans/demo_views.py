@@ -26,7 +26,11 @@ def wide_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column for each sample, a row for each part; parts without lines have zeros."""
     lines = table(spark, sf_dir, "lineitem").selectExpr(*_KEYS, "l_partkey", "l_quantity")
     samples = sorted(r["sample_id"] for r in sheet(spark, sf_dir).collect())
-    pivoted = lines.groupBy("l_partkey").pivot("sample_id", samples).agg(F.sum("l_quantity").cast("long"))
+    # Every count is summed up before it is brought to its part, so that no task makes a wide row of a single count. The number of
+    # partitions is given: narrow counts pack well, and merged by their packed size they would fill a task with wide rows.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    summed = lines.repartition(n, "l_partkey", "sample_id").groupBy("l_partkey", "sample_id").agg(F.sum("l_quantity").alias("n"))
+    pivoted = summed.repartition(n, "l_partkey").groupBy("l_partkey").pivot("sample_id", samples).agg(F.sum("n").cast("long"))
     parts = table(spark, sf_dir, "part").select("p_partkey")
     return (
         parts.join(pivoted, parts.p_partkey == pivoted.l_partkey, "left").na.fill(0)

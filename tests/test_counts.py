@@ -137,3 +137,19 @@ def test_ranges_are_cut_once_for_all_readers(spark):
     assert "percentile_approx" not in ranked._jdf.queryExecution().optimizedPlan().toString()
     held = {g: sorted(r["v"] for r in df.where(f"g = {g}").collect()) for g in range(3)}
     assert all(r["r"] == sum(v < r["v"] for v in held[r["g"]]) + (held[r["g"]].count(r["v"]) + 1) / 2 for r in ranked.collect())
+
+
+def test_wide_counts_are_made_of_whole_parts(spark, tmp_path):
+    """Wide rows are made only where all counts of a part are, so none is shuffled."""
+    from assayline.plans import demo_views as V
+
+    keys = ("id l_suppkey", "id % 5 l_partkey", "cast(id % 3 as int) l_linenumber", "if(id % 2 = 0, 'O', 'F') l_linestatus", "'A' l_returnflag", "cast(id as double) l_quantity")
+    spark.range(90).selectExpr(*keys).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(7).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    wide = V.wide_counts(spark, str(tmp_path))
+    rows = {r["sgrna_id"]: r for r in wide.collect()}
+    assert len(rows) == 7 and sum(sum(r[2:]) for r in rows.values()) == sum(range(90)) and not any(rows["G6"][2:])
+    assert rows["G1"]["SC1:C1:FA"] == sum(i for i in range(90) if i % 5 == 1 and i % 4 == 1 and i % 3 % 2 == 1)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in a and "pivotfirst" in b for a, b in zip(plan.splitlines(), plan.splitlines()[1:]))
+    assert "pivotfirst" in plan
