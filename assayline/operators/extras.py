@@ -150,8 +150,9 @@ def screen_quality(guides: DataFrame, essential: DataFrame, controls: DataFrame)
     ``guides(screen_id, contrast_id, sgrna_id, gene_symbol, guide_lfc)``, ``essential(gene_symbol)``, ``controls(sgrna_id)``.
     """
     keys = ["screen_id", "contrast_id"]
-    marked = guides.join(essential.select("gene_symbol").distinct().withColumn("_e", F.lit(True)), "gene_symbol", "left").join(
-        controls.select("sgrna_id").distinct().withColumn("_c", F.lit(True)), "sgrna_id", "left"
+    # Genes and guides grow with the data: they are brought together by key, never sent whole.
+    marked = guides.join(essential.select("gene_symbol").distinct().withColumn("_e", F.lit(True)).hint("merge"), "gene_symbol", "left").join(
+        controls.select("sgrna_id").distinct().withColumn("_c", F.lit(True)).hint("merge"), "sgrna_id", "left"
     )
     e = F.coalesce("_e", F.lit(False))
     control = F.coalesce("_c", F.lit(False))
@@ -167,4 +168,4 @@ def guide_flags(guides: DataFrame, annotations: DataFrame, essential: DataFrame)
     """``guides`` with ``multi_target`` (null if the annotation doesn't tell) and ``common_essential``; annotations are unique per guide."""
     notes = annotations.select("sgrna_id", (F.col("multi_target_count") > 0).alias("multi_target")).dropDuplicates(["sgrna_id"])
     common = essential.select("gene_symbol").distinct().withColumn("common_essential", F.lit(True))
-    return guides.join(notes, "sgrna_id", "left").join(common, "gene_symbol", "left").na.fill(False, ["common_essential"])
+    return guides.join(notes.hint("merge"), "sgrna_id", "left").join(common.hint("merge"), "gene_symbol", "left").na.fill(False, ["common_essential"])
