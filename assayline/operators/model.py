@@ -112,7 +112,9 @@ def assemble_features(features: DataFrame, designs: DataFrame, candidates: DataF
         if not df.groupBy(*keys).count().where("count > 1").limit(1).isEmpty():
             raise ValueError(f"several {name} rows of one {'/'.join(keys)}")
         taken = [c for c in df.columns if c in keys or c not in wanted.columns]
-        wanted = wanted.join(df.select(*taken), keys, "left")
+        # Candidates are as many as genes; on disk they look smaller than what a driver could send.
+        side = df.select(*taken)
+        wanted = wanted.join(side.hint("merge") if name == "candidate" else side, keys, "left")
     if not features.groupBy("screen_id", "contrast_id", "gene_symbol").count().where("count > 1").limit(1).isEmpty():
         raise ValueError("several feature rows of one gene")
     return wanted
