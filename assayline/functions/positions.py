@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .names import free_names
-from .scratch import written
+from .scratch import joinable, written
 
 
 def running_start(
@@ -52,7 +52,8 @@ def places(df: DataFrame, group: list[str], order: list[str], out: str, of: str
     starts = counted.withColumn(out, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first))
     if of:
         starts = starts.withColumn(of, F.sum(n).over(W.partitionBy(*group)))
-    starts = written(starts.drop(first, n), "starts")
+    # A row for each group and range: few where groups are large, as many as the rows where they are small.
+    starts = joinable(written(starts.drop(first, n), "starts"))
     given = starts.select(*[F.col(c).alias(f"{part}{i}") for i, c in enumerate(group)], F.col(part).alias(n), out, *([of] if of else []))
     same = F.col(part) == F.col(n)
     for i, c in enumerate(group):

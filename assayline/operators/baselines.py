@@ -154,4 +154,5 @@ def rank_aggregation(
     levels = scored.select("guide_n", "rho").distinct()
     low = F.size(F.filter("null", lambda r: r <= F.col("rho") * (1 + 1e-12)))
     valued = levels.join(nulls, levels.guide_n == nulls.size).select("guide_n", "rho", ((low + 1.0) / (permutations + 1.0)).alias("p_value"))
-    return scored.join(valued, ["guide_n", "rho"]).select(*by, "gene_symbol", "guide_n", "rho", "p_value")
+    # Both sides grow with the genes, however small they are on disk.
+    return scored.hint("merge").join(valued, ["guide_n", "rho"]).select(*by, "gene_symbol", "guide_n", "rho", "p_value")

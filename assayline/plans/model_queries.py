@@ -152,7 +152,9 @@ def d05_baseline_uplift(spark, sf_dir):
     means = guides.groupBy(*keys).agg((-F.avg("guide_lfc")).alias("score"))
     part = V.table(spark, sf_dir, "part").selectExpr("concat('GENE', p_partkey div 4) as gene_symbol", "p_size")
     labels = part.groupBy("gene_symbol").agg((F.max("p_size") > 40).cast("double").alias("target"))
-    rows = means.join(baselines.rank_scores(guides).drop("guide_n"), keys).join(baselines.smoothed_z(guides, window=100).drop("guide_n"), keys).join(labels, "gene_symbol")
+    # All four have a row for each gene, which no driver should send.
+    ranks, zs = baselines.rank_scores(guides).drop("guide_n"), baselines.smoothed_z(guides, window=100).drop("guide_n")
+    rows = means.join(ranks.hint("merge"), keys).join(zs.hint("merge"), keys).join(labels.hint("merge"), "gene_symbol")
     # Scores that differ by rounding alone are ties.
     rows = written(rows.withColumns({"score": rounded("score"), "norm_z": rounded("norm_z"), "rho": rounded("rho")}), "rows")
     found = extras.uplift(rows, ["screen_id", "contrast_id"], "target", "score", {"rank_aggregation": -F.col("rho"), "smoothed_z": -F.col("norm_z")})

@@ -7,8 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from assayline.operators import baselines as B
+from assayline.functions.positions import places
+from assayline.functions.scratch import written
+from assayline.operators import baselines as B, extras, model
 
 SCHEMA = "screen_id string, contrast_id string, gene_symbol string, sgrna_id string, guide_lfc double, mean_control_count double, x string"
 
@@ -116,3 +119,30 @@ def test_smoothed_z_of_equal_and_single_guides(spark):
     assert {r["norm_z"] for r in B.smoothed_z(spark.createDataFrame(same, SCHEMA)).collect()} == {None}
     assert [r["norm_z"] for r in B.smoothed_z(spark.createDataFrame(same[:1], SCHEMA)).collect()] == [None]
     assert B.smoothed_z(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _broadcast(frame):
+    frame.collect()
+    return "BroadcastHashJoin" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_of_many_small_groups_are_not_sent_whole(spark):
+    """Starts of groups pack well on disk, so that Spark would take them for a small side."""
+    many = spark.range(25_000).selectExpr("concat('g', id) as g", "id as v")
+    placed = places(many, ["g"], ["v"], "k", of="n")
+    assert not _broadcast(placed) and placed.where("k = 0 and n = 1").count() == 25_000
+    few = places(many.withColumn("g", F.lit("one")), ["g"], ["v"], "k", of="n")
+    assert _broadcast(few) and few.where("k = v and n = 25000").count() == 25_000
+
+
+def test_genes_are_not_sent_whole(spark):
+    guides = written(spark.createDataFrame(_guides(), SCHEMA), "guides")
+    values = B.rank_aggregation(guides, permutations=10)
+    assert not any("BroadcastHashJoin" in line and "rho" in line for line in values._jdf.queryExecution().sparkPlan().toString().splitlines())
+    genes, ids = guides.select("gene_symbol"), guides.select("sgrna_id")
+    assert "BroadcastHashJoin" not in extras.screen_quality(guides, genes, ids)._jdf.queryExecution().sparkPlan().toString()
+    notes = guides.selectExpr("sgrna_id", "1 as multi_target_count")
+    assert "BroadcastHashJoin" not in extras.guide_flags(guides.select("sgrna_id", "gene_symbol"), notes, genes)._jdf.queryExecution().sparkPlan().toString()
+    features, labels = genes.distinct().selectExpr("'t' study_id", "'s' screen_id", "'c' contrast_id", "gene_symbol"), genes.distinct().selectExpr("'t' study_id", "'s' screen_id", "'c' contrast_id", "gene_symbol", "'V' label_code")
+    joined = model.assemble_features(features, features.select("screen_id", "contrast_id").distinct().withColumn("d", F.lit(1)), labels)
+    assert "SortMergeJoin" in joined._jdf.queryExecution().sparkPlan().toString() and joined.where("d = 1").count() == genes.distinct().count()
