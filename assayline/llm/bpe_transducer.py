@@ -57,6 +57,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+#: What a worker's encoder and decoder share.
+_ranks = lru_cache(maxsize=1)(read_ranks)
+
+
 class Merges:
     """What the ranks say of tokens: whether one stands, and whether two stay apart."""
 
@@ -281,7 +285,7 @@ class Encoder:
         import regex
 
         self.pattern = regex.compile(params.pattern)
-        self.matches = _Matches(read_ranks(params.ranks), params)
+        self.matches = _Matches(_ranks(params.ranks), params)
         self.stand_ins = stand_ins()
         unlike = sorted(self.stand_ins)
         self.unlike = re.compile(_any_of(unlike) if unlike else "(?!)")
@@ -362,7 +366,7 @@ class Utf8Machine:
 
 class Decoder:
     def __init__(self, params: BpeParams) -> None:
-        ranks = read_ranks(params.ranks)
+        ranks = _ranks(params.ranks)
         self.tokens, self.step = {rank: token for token, rank in ranks.items()}, params.step_ids
 
     def decode(self, ids: np.ndarray) -> tuple[str, int]:
@@ -383,6 +387,29 @@ def _decoder(params: BpeParams) -> Decoder:
     return Decoder(params)
 
 
+def _encoded(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for piece in B.slices(batch):
+        ids = [encoder.encode(text) for text in piece.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [piece.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]
+        )
+
+
+def _decoded(decoder: Decoder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for piece in B.slices(batch, "ids"):
+        found = [decoder.decode(np.frombuffer(ids or b"", "<u4")) for ids in piece.column("ids").to_pylist()]
+        texts, broken = [x for x, _ in found], [n for _, n in found]
+        yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string()), pa.array(broken, pa.int64())], [*piece.schema.names, "text", "broken"])
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+_ENCODED = "doc_id long, n_tokens long, ids binary"
+_DECODED = f"{_ENCODED}, text string, broken long"
+
+
 def encode_bpe(docs: DataFrame, params: BpeParams) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of ``docs(doc_id, text)``, one row a row; ``ids`` are little-endian unsigned 32-bit integers.
 
@@ -394,14 +421,9 @@ def encode_bpe(docs: DataFrame, params: BpeParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(params)
         for batch in batches:
-            for piece in B.slices(batch):
-                ids = [encoder.encode(text) for text in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]
-                )
+            yield from _encoded(encoder, batch)
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return _slim(docs).mapInArrow(run, _ENCODED)
 
 
 def decode_bpe(encoded: DataFrame, params: BpeParams) -> DataFrame:
@@ -413,10 +435,18 @@ def decode_bpe(encoded: DataFrame, params: BpeParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(params)
         for batch in batches:
-            for piece in B.slices(batch, "ids"):
-                found = [decoder.decode(np.frombuffer(ids or b"", "<u4")) for ids in piece.column("ids").to_pylist()]
-                texts, broken = [x for x, _ in found], [n for _, n in found]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string()), pa.array(broken, pa.int64())], [*piece.schema.names, "text", "broken"])
+            yield from _decoded(decoder, batch)
+
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, _DECODED)
+
+
+def bpe_round_trip(docs: DataFrame, params: BpeParams) -> DataFrame:
+    """``decode_bpe(encode_bpe(docs))`` in one pass: a task has one Python worker that does both, so an executor holds half as many machines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(params), _decoder(params)
+        for batch in batches:
+            for ids in _encoded(encoder, batch):
+                yield from _decoded(decoder, ids)
 
-    slim = encoded.select("doc_id", "n_tokens", "ids")
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string, broken long")
+    return _slim(docs).mapInArrow(run, _DECODED)

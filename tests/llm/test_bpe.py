@@ -96,3 +96,15 @@ def test_query_and_edges(spark, tmp_path, library):
     assert T.decode_bpe(T.encode_bpe(df.limit(0), PARAMS), PARAMS).count() == 0
     plan = T.encode_bpe(df, PARAMS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_one_worker_a_task(spark, tmp_path):
+    """Encoding and decoding in two steps keeps two Python workers a task, each with tables of its own."""
+    rows = [(i, t) for i, t in enumerate(["", None, "ab " * 500, "日本語 \U0001ed57", "x" * 70_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.op11_bpe(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    both, steps = T.bpe_round_trip(df, PARAMS), T.decode_bpe(T.encode_bpe(df, PARAMS), PARAMS)
+    assert both.schema == steps.schema and sorted(both.collect()) == sorted(steps.collect())
+    assert [r["text"] for r in both.orderBy("doc_id").collect()] == [t or "" for _, t in rows]
