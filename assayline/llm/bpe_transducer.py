@@ -32,6 +32,8 @@ from . import _bytes as B
 _NEVER = 1 << 62
 #: The state before any byte: no token, and one branch at the root.
 _FIRST = array("i", [-1, 0, 0]).tobytes()
+#: So many of a match's first bytes are read in one step.
+_START = 6
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class BpeParams:
     """``ranks``: a file of base64 tokens and ranks; ``pattern`` cuts texts into matches.
 
     ``max_states`` and ``max_matches`` bound what a Python worker keeps: when there are
-    more, it forgets all and works them out anew. ``step_ids``: ids that are decoded at a time.
+    more, it forgets all and works them out anew; first bytes of matches are kept up to ``max_states`` too. ``step_ids``: ids that are decoded at a time.
     """
 
     ranks: str
@@ -151,60 +153,82 @@ class Transducer:
         #: ``state << 8 | byte`` to the next state, itself times 256; or, if ids are emitted, to ``~i``, where both stand at ``jumps[i]``.
         self.moves: dict[int, int] = {}
         self.jumps: list[tuple[int, tuple[int, ...]]] = []
-        self._state(_FIRST)
-        return self._state(what)
-
-    def _state(self, what: bytes) -> int:
-        found = self.states.get(what)
-        if found is None:
-            found = self.states[what] = len(self.whats)
+        #: A match's first bytes to the state after them, times 256, and the ids emitted by then.
+        self.starts: dict[bytes, tuple[int, tuple[int, ...]]] = {}
+        self._state(_FIRST, ())
+        branches, at = array("i", what).tolist(), 1
+        while at + 2 + branches[at + 1] < len(branches):
+            at += 2 + branches[at + 1]
+        return self._state(what, tuple(branches[at + 2 :]))
+
+    def _state(self, what: bytes, ends: tuple[int, ...]) -> int:
+        found = self.states.setdefault(what, len(self.whats))
+        if found == len(self.whats):
             self.whats.append(what)
-            branches, at = array("i", what).tolist(), 1
-            while at + 2 + branches[at + 1] < len(branches):
-                at += 2 + branches[at + 1]
-            self.ends.append(tuple(branches[at + 2 :]))
+            self.ends.append(ends)
         return found
 
     def _move(self, state: int, byte: int) -> int:
         what = array("i", self.whats[state]).tolist()
         emitted, at, ended, alive = what[0], 1, None, []
+        child, apart = self.child, self.merges.apart
         while at < len(what):
-            node, upto = self.child.get(what[at] << 8 | byte), at + 2 + what[at + 1]
+            upto = at + 2 + what[at + 1]
+            node = child.get(what[at] << 8 | byte)
             if node is not None:
-                tokens = tuple(what[at + 2 : upto])
-                token = self.token[node]
-                if token >= 0 and ended is None:
-                    before = tokens[-1] if tokens else emitted
-                    if before < 0 or self.merges.apart(before, token):
-                        ended = (*tokens, token)
+                if ended is None and (token := self.token[node]) >= 0:
+                    # Branches stand from the oldest, so the first that may end here is the only one.
+                    before = what[upto - 1] if what[at + 1] else emitted
+                    if before < 0 or apart(before, token):
+                        ended = [*what[at + 2 : upto], token]
                 if self.more[node]:
-                    alive.append((node, tokens))
+                    alive.append((node, what[at + 2 : upto]))
             at = upto
         if ended is None:
             raise AssertionError("each prefix of a match has an encoding")
-        n = 0
-        # The oldest branch has the fewest tokens that it could share with all.
-        oldest = alive[0][1] if alive else ended
-        while n < len(oldest) and all(tokens[n : n + 1] == ended[n : n + 1] for _, tokens in alive):
-            n += 1
+        # How many tokens all branches share; the oldest branch has the fewest that it could.
+        n = min(map(len, (ended, *(tokens for _, tokens in alive))))
+        while n and any(tokens[:n] != ended[:n] for _, tokens in alive):
+            n -= 1
         # The last token is asked for by branches that have none of their own.
-        bare = len(oldest) == n or any(len(tokens) == n for _, tokens in alive)
+        bare = len(ended) == n or any(len(tokens) == n for _, tokens in alive)
         following = [(ended[n - 1] if n else emitted) if bare else -1]
-        for node, tokens in (*alive, (0, ended)):
+        for node, tokens in alive:
             following += (node, len(tokens) - n, *tokens[n:])
-        move = self._state(array("i", following).tobytes()) << 8
+        rest = ended[n:]
+        following += (0, len(rest), *rest)
+        move = self._state(array("i", following).tobytes(), tuple(rest)) << 8
         if n:
-            self.jumps.append((move, ended[:n]))
+            self.jumps.append((move, tuple(ended[:n])))
             move = -len(self.jumps)
         self.moves[state << 8 | byte] = move
         return move
 
+    def _after(self, first: bytes) -> tuple[int, tuple[int, ...]]:
+        """The state after a match's first bytes, times 256, and the ids emitted by then; kept for the next match that begins so."""
+        at, out = 0, []
+        for byte in first:
+            move = self.moves.get(at | byte)
+            if move is None:
+                move = self._move(at >> 8, byte)
+            if move >= 0:
+                at = move
+            else:
+                at, ids = self.jumps[~move]
+                out += ids
+        if len(self.starts) >= self.max_states:
+            self.starts.clear()
+        found = self.starts[first] = at, tuple(out)
+        return found
+
     def encode(self, data: bytes) -> array:
         """The ids of one match, as unsigned 32-bit integers."""
         if len(self.whats) > self.max_states:
             self._forget(_FIRST)
-        out, at, moves, jumps = array("I"), 0, self.moves, self.jumps
-        for i, byte in enumerate(data):
+        first = data[:_START]
+        at, ids = self.starts.get(first) or self._after(first)
+        out, moves, jumps = array("I", ids), self.moves, self.jumps
+        for i, byte in enumerate(data[_START:]):
             move = moves.get(at | byte)
             if move is None:
                 if i & 0xFFF == 0xFFF and len(self.whats) > self.max_states:

@@ -68,6 +68,22 @@ def test_small_vocabularies():
             assert machine.encode(data).tolist() == [ranks[p] for p in parts]
 
 
+def test_first_bytes_are_read_in_one_step(encoder, library):
+    """Words that begin alike go on from one kept state, whatever has been forgotten meanwhile."""
+    rng = random.Random(8)
+    machine = T.Transducer(T.read_ranks(RANKS), 60)
+    begins = [" enthou", "straße", " xqzéé", "日本語", "ab"]
+    for _ in range(2000):
+        word = rng.choice(begins) + "".join(rng.choice("aeionrstß") for _ in range(rng.randint(0, 8)))
+        match = library.encode_ordinary(word)
+        if word.encode() not in machine.merges.ranks:
+            assert machine.encode(word.encode()).tolist() == match, word
+        assert len(machine.starts) <= 60
+    assert machine.starts and all(len(first) <= 6 for first in machine.starts)
+    at, ids = next(iter(machine.starts.values()))
+    assert at % 256 == 0 and at >> 8 < len(machine.whats)
+
+
 def test_streaming_decode():
     rng = random.Random(6)
     for _ in range(4000):
