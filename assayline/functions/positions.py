@@ -85,6 +85,28 @@ def sorted_cells(df: DataFrame, group: list[str], value: str, cell: str, cells:
     return df.withColumn(cell, F.coalesce(F.size(F.filter(edge, lambda m: m < F.col(value))), F.lit(0)))
 
 
+def medians(df: DataFrame, group: list[str], value: str, out: str, cells: int = 64) -> DataFrame:
+    """``(*group, out)``: the exact median of each group's values that aren't null, without one task holding a group's values.
+
+    Ranges of ``value`` are counted first; only the distinct values of the one or two ranges around the middle are counted
+    up one by one. ``df`` is read several times, so it is best written before; columns of ``group`` hold no nulls.
+    """
+    cell, n, upto, total, before = free_names(df, "_cell", "_n", "_upto", "_total", "_before")
+    keyed = sorted_cells(df.select(*group, value).where(F.col(value).isNotNull()), group, value, cell, cells)
+    by = W.partitionBy(*group)
+    counted = keyed.groupBy(*group, cell).agg(F.count("*").alias(n)).withColumns({
+        total: F.sum(n).over(by), before: F.coalesce(F.sum(n).over(by.orderBy(cell).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+    })
+    # Of n values in order, the median is the mean of those at (n - 1) div 2 and n div 2, counted from 0.
+    low, high = F.floor((F.col(total) - 1) / 2), F.floor(F.col(total) / 2)
+    middle = counted.where((F.col(before) <= high) & (F.col(before) + F.col(n) > low)).drop(n)  # at most two rows a group
+    kept = keyed.join(F.broadcast(middle), [*group, cell]).groupBy(*group, cell, value, total, before).agg(F.count("*").alias(n))
+    inside = W.partitionBy(*group, cell).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    placed = kept.withColumn(upto, F.col(before) + F.sum(n).over(inside))
+    at = lambda place: F.max(F.when((F.col(upto) - F.col(n) <= place) & (F.col(upto) > place), F.col(value)))
+    return placed.groupBy(*group).agg(((at(low) + at(high)) / 2).alias(out))
+
+
 def running_sums(df: DataFrame, group: list[str], value: str, sums: dict[str, str], down: bool = False, cells: int = 64) -> DataFrame:
     """``df`` with, for each name of ``sums``, the sum of that column over the group's rows up to this one in order of ``value``.
 

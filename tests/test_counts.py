@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assayline.functions.positions import medians
 from assayline.functions.ranks import average_ranks
 from assayline.functions.scratch import written
 from assayline.operators import counts as C
@@ -106,6 +107,24 @@ def test_average_ranks_by_ranges(spark):
         assert (own["r"] == v.rank()).all() and set(own["n"]) == {len(own)}
 
 
+def test_medians_by_ranges(spark):
+    rng = np.random.default_rng(9)
+    groups = {"odd": rng.normal(size=3001), "even": rng.normal(size=2000).round(1), "one": np.array([2.5]), "two": np.array([1.0, 4.0]), "ties": np.r_[np.zeros(500), np.ones(500)], "same": np.full(700, 0.3)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("odd", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    found = medians(df, ["g"], "v", "m")
+    assert {r["g"]: r["m"] for r in found.collect()} == {g: statistics.median(v.tolist()) for g, v in groups.items()}
+    assert medians(df.limit(0), ["g"], "v", "m").count() == 0
+
+
+def test_no_task_holds_the_ratios_of_a_sample(spark):
+    long = spark.range(900).selectExpr("'S' as screen_id", "concat('s', id % 3) as sample_id", "concat('g', id div 3) as sgrna_id", "1 + id * 7 % 50 as cnt")
+    found = C.size_factors(long)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "median" not in plan and "percentile(" not in plan
+    assert found.count() == 3
+
+
 def test_row_numbers_stay_when_read_again(spark):
     df = spark.range(1000).select(F.col("id").alias("an id #"), F.lit(None).alias("none"), F.lit("x").alias("row_number")).repartition(7)
     got = with_row_numbers(df)
